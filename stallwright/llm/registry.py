@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, mixing, quality, simhash
 
-MODULES = (simhash,)
+MODULES = (mixing, simhash, decontaminate, quality)
 
 
 def queries() -> dict:
