@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, simhash
+from . import decontaminate, mixing, quality, simhash, token_files
 
-MODULES = (mixing, simhash, decontaminate, quality)
+MODULES = (mixing, simhash, token_files, decontaminate, quality)
 
 
 def queries() -> dict:
