@@ -56,7 +56,7 @@ def open_out(uri: str):
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_in(uri: str):

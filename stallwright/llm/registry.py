@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, quality, simhash, substring, token_files
+from . import decontaminate, mixing, pii, quality, simhash, substring, token_files, warc
 
-MODULES = (mixing, simhash, token_files, decontaminate, quality, pii, substring)
+MODULES = (mixing, simhash, token_files, decontaminate, warc, quality, pii, substring)
 
 
 def queries() -> dict:
