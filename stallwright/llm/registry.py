@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, quality, simhash, substring, token_files, warc
+from . import decontaminate, mixing, pii, quality, simhash, substring, token_files, warc, weak_quality
 
-MODULES = (mixing, simhash, token_files, decontaminate, warc, quality, pii, substring)
+MODULES = (mixing, simhash, token_files, decontaminate, warc, quality, pii, substring, weak_quality)
 
 
 def queries() -> dict:
