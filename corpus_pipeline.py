@@ -1,29 +1,56 @@
 """Corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token ids.
 
-Each stage takes (spark, docs, sf_dir) and returns what the next one reads.
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept;
+all but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwright.llm import common, simhash
+from stallwright.llm import common, decontaminate, mixing, quality, simhash, token_files
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the tokeniser-fertility rules reject go."""
+    return quality.reject(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays (five-word shingles)."""
+    """One document of each SimHash group stays, that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontaminate.decontaminate(docs, decontaminate.benchmark_table(spark, sf_dir))
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat, or go, as their source's target weight asks."""
+    return mixing.poisson_mix(docs).select(docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards are written and read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_files.token_output(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing_to_weights),
+    ("token_output", token_output),
+]
 
-#: The tokenizer and the fingerprints can't be said in SQL; tests/llm has a
-#: brute-force version.
+#: The vocabularies, XXH64 and CRC-32 can't be said in DuckDB's SQL; tests/llm has a
+#: brute-force version of all stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each but the last written and read again."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")

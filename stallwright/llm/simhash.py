@@ -186,7 +186,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, distance: int = 3)
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, distance: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """The row with the smallest doc_id of each group; of repeated rows one stays.
     Rows without a doc_id can't be told apart and stay."""
     groups = near_duplicate_groups(docs.where("doc_id is not null"), shingle, distance)
