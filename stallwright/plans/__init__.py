@@ -1,0 +1,15 @@
+"""Queries on the driver tables, each with its DuckDB SQL."""
+
+from __future__ import annotations
+
+from . import aggregations, classification, lookups, registry
+
+__all__ = ["aggregations", "classification", "lookups"]
+
+
+def queries() -> dict:
+    return registry.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return registry.SQL
