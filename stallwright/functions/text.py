@@ -85,8 +85,11 @@ def occurrences(text: Column, term: str) -> Column:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """Distinct character n-grams; none of a shorter text."""
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams; none of a shorter text. The text is split into
+    characters once: a substring of UTF-8 would walk there from its start each time."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    grams = lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: F.array_join(F.slice(cs, i, F.lit(n)), ""))
+    return F.when(F.length(text) >= n, F.array_distinct(F.element_at(F.transform(F.array(chars), grams), 1))).otherwise(F.array().cast("array<string>"))
 
 
 #: Entities of visible text and what they stand for (fixed values).

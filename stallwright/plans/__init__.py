@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregations, classification, lookups, registry
+from . import aggregations, classification, lifecycle, lookups, registry, texts
 
-__all__ = ["aggregations", "classification", "lookups"]
+__all__ = ["aggregations", "classification", "lifecycle", "lookups", "texts"]
 
 
 def queries() -> dict:
