@@ -51,14 +51,19 @@ def _starts(words: Column, window: int) -> Column:
     return F.when(F.size(words) >= window, F.sequence(F.lit(0), F.size(words) - window)).otherwise(F.array().cast("array<int>"))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """benchmark(item_id, text) -> (item_id, ipos, h, bvals, n_windows), usable
-    windows only; n_windows is their number in the item."""
-    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text")).alias("w"), template(F.col("text"), True).alias("v")).dropDuplicates(["item_id", "v"])
-    b = b.select("item_id", "w", "v", F.explode(_starts(F.col("w"), window)).alias("ipos"))
-    b = b.select("item_id", "ipos", F.slice("w", F.col("ipos") + 1, window).alias("t"), F.slice("v", F.col("ipos") + 1, window).alias("bvals"))
-    b = b.where(F.size(F.filter("t", lambda x: ~x.startswith(MARK))) >= MIN_LITERAL)
-    b = b.select("item_id", "ipos", F.xxhash64("t").alias("h"), "bvals")
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """benchmark(item_id, text) -> (item_id, w, v): template tokens, without and with
+    values; repeated rows once."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text")).alias("w"), template(F.col("text"), True).alias("v"))
+    return rows.dropDuplicates(["item_id", "v"])
+
+
+def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Items -> (item_id, ipos, h, n_windows), usable windows only; n_windows is their
+    number in the item."""
+    b = items.select("item_id", "w", F.explode(_starts(F.col("w"), window)).alias("ipos"))
+    b = b.select("item_id", "ipos", F.slice("w", F.col("ipos") + 1, window).alias("t"))
+    b = b.where(F.size(F.filter("t", lambda x: ~x.startswith(MARK))) >= MIN_LITERAL).select("item_id", "ipos", F.xxhash64("t").alias("h"))
     return b.join(b.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows")), "item_id")
 
 
@@ -71,29 +76,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     match nothing (null and empty texts too); repeated rows give one row; null ids
     are ids like any other; empty tables give an empty result; other columns are
     ignored. text_hash tells rows with the same doc_id and other texts apart."""
-    spark = docs.sparkSession
-    bench = written(benchmark_windows(benchmark, window), "bench-windows")
-    hashes = bench.select("h").distinct()
-    if hashes.count() <= BROADCAST_WINDOWS:
-        hashes, bench = F.broadcast(hashes), F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench
+    items = written(benchmark_items(benchmark), "bench-items")
+    bench = written(benchmark_windows(items, window), "bench-windows")
+    hashes, small = bench.select("h").distinct(), bench.count() <= BROADCAST_WINDOWS
+    if small:
+        hashes, bench, items = F.broadcast(hashes), F.broadcast(bench), F.broadcast(items)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     words = keyed.select("doc_id", "text_hash", template(F.col("text")).alias("w"))
     found = words.select("doc_id", "text_hash", F.posexplode(F.transform(_starts(F.col("w"), window), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, F.lit(window))))).alias("pos", "h"))
     found = written(found.join(hashes, "h", "left_semi").distinct(), "window-hits")
-    hits = found.join(bench, "h").select("doc_id", "text_hash", "pos", "item_id", "ipos", "bvals", "n_windows")
-    # Only documents with a placeholder in a matched window are read again.
-    slotted = hits.where(F.exists("bvals", lambda x: x.startswith(MARK)))
-    again = slotted.groupBy("doc_id", "text_hash").agg(F.lit(1).alias("slotted"))
-    x, y = keyed.alias("x"), again.alias("y")
+    hits = found.join(bench, "h").select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "n_windows")
+    # Each aligned occurrence of an item with placeholders: only its documents are read
+    # again, and the values over the whole item must map one to one.
+    slots = items.where(F.exists("v", lambda x: x.startswith(MARK))).select("item_id", F.col("v").alias("b"))
+    aligned = hits.select("doc_id", "text_hash", "item_id", "offset").distinct().join(slots, "item_id")
+    x, y = keyed.alias("x"), aligned.select("doc_id", "text_hash").distinct().alias("y")
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.text_hash") == F.col("y.text_hash"))
     valued = x.join(y, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", template(F.col("text"), True).alias("v"))
-    x, y = slotted.alias("x"), valued.alias("y")
-    pairs = x.join(y, same).select("x.doc_id", "x.text_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("offset"), F.explode(F.arrays_zip("bvals", F.slice("v", F.col("pos") + 1, window).alias("dvals"))).alias("s"))
-    pairs = pairs.where(F.col("s.bvals").startswith(MARK)).select("doc_id", "text_hash", "item_id", "offset", F.col("s.bvals").alias("b"), F.col("s.dvals").alias("d")).distinct()
+    x, y = aligned.alias("x"), valued.alias("y")
+    n = F.size("b")
+    theirs = F.slice("b", F.greatest(F.lit(1), 1 - F.col("offset")), n).alias("b")
+    ours = F.slice("v", F.greatest(F.lit(1), 1 + F.col("offset")), n).alias("d")
+    pairs = x.join(y, same).select("x.doc_id", "x.text_hash", "item_id", "offset", F.explode(F.arrays_zip(theirs, ours)).alias("s"))
+    pairs = pairs.where(F.col("s.b").startswith(MARK) & (F.substring("s.b", 1, 2) == F.substring("s.d", 1, 2))).select("doc_id", "text_hash", "item_id", "offset", "s.b", "s.d").distinct()
     at = ["doc_id", "text_hash", "item_id", "offset"]
     clash = pairs.groupBy(*at).agg(F.count("*").alias("n"), F.count_distinct("b").alias("nb"), F.count_distinct("d").alias("nd")).where("n > nb or n > nd").alias("y")
-    x = hits.select("*", (F.col("pos") - F.col("ipos")).alias("offset")).alias("x")
-    ok = x.join(clash, same & F.col("x.item_id").eqNullSafe(F.col("y.item_id")) & (F.col("x.offset") == F.col("y.offset")), "left_anti")
+    ok = hits.alias("x").join(clash, same & F.col("x.item_id").eqNullSafe(F.col("y.item_id")) & (F.col("x.offset") == F.col("y.offset")), "left_anti")
     out = ok.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("ipos").alias("n_matched"), F.max("n_windows").alias("n_windows"))
     return out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
 
