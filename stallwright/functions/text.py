@@ -44,7 +44,7 @@ def first_filled(*cs: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Items of a list parted by | or ;, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(c, "[|;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[|;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def unique_words(c: Column) -> Column:

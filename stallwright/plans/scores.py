@@ -92,7 +92,7 @@ def opportunity(title: Column, visible: Column, score: Column) -> tuple[Column,
     """(how much a text could gain, why), from its commercial score and weak points."""
     n = F.length(visible)
     lines = F.size(F.filter(F.split(visible, "\n"), lambda x: x != ""))
-    parts = F.size(F.array_distinct(F.filter(F.transform(F.split(visible, "[。\n]"), F.trim), lambda x: x != "")))
+    parts = F.size(F.array_distinct(F.filter(F.transform(F.split(visible, "[。\n]"), lambda x: F.trim(x)), lambda x: x != "")))
     tests = [(F.length(F.trim(title)) < 28, 10, "short_title"), (n < 120, 10, "short_description"), (~visible.rlike("【[^】]+】") & (lines < 3), 8, "weak_structure"), ((n > 0) & (parts <= 2), 5, "thin_information")]
     total = reduce(lambda a, b: a + b, [F.when(c, p).otherwise(0) for c, p, _ in tests], text.clamp(100 - score))
     why = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(w)) for c, _, w in tests])), ",")
