@@ -1,0 +1,71 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stallwright.llm import pii
+
+from ..conftest import SMALL
+from .brute import ODD, documents, empty, odd
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def slow(text):
+    text = text or ""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    return (
+        [("email", *m.span()) for m in EMAIL.finditer(text)]
+        + [("ip", *m.span()) for m in IP.finditer(text) if all(int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
+        + [("card", *m.span()) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+        + [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+    )
+
+
+def base(text):
+    return [x for x in pii.find_spans(text) if x[0] in pii.BASE_KINDS]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="00012345679..@@+- ()ab:/é", max_size=70))
+def test_anchors_find_what_a_search_finds(text):
+    assert base(text) == slow(text)
+
+
+def test_cards_and_long_runs():
+    for t in ("4111 1111 1111 1111", "x4111-1111-1111-1111.", "4111 1111 1111 1112", "1." * 9 + "1", "0" * 5000 + ".1.2.3", "a@b@c.d.e@f.g", "٣٣٣.1.2.3"):
+        assert base(t) == slow(t), t
+
+
+def test_added_spans():
+    found = {k: t[a:b] for t in ("see https://joe:pw@host.example/x", "IBAN DE89 3704 0044 0532 0130 00.", "account no. 12345678 is mine") for k, a, b in pii.find_spans(t) if k in pii.ADDED_KINDS}
+    assert found == {"login": "joe:pw@host.example", "iban": "DE89 3704 0044 0532 0130 00", "account": "12345678"}
+    assert pii.find_spans("an account of the year, accountable to all") == []
+
+
+def test_query_against_brute_force(spark):
+    got = {r.doc_id: r for r in pii.op8_pii_anchors(spark, SMALL).collect()}
+    for i, t in zip(*(documents()[c] for c in ("doc_id", "text"))):
+        want = slow(t)
+        assert got[i].base_sha256 == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.BASE_KINDS] == [sum(x[0] == k for x in want) for k in pii.BASE_KINDS]
+        assert got[i].spans.startswith(pii.joined(want))
+
+
+def test_awkward_rows(spark):
+    rows = pii.personal_data(odd(spark)).collect()
+    assert [r.spans for r in rows] == [pii.joined(pii.find_spans(t or "")) for _, t, *_ in ODD]
+    assert rows[7].n_email == rows[7].n_ip == rows[7].n_phone == 1
+    assert pii.personal_data(empty(spark)).count() == 0
+    clean = pii.redact(odd(spark))
+    assert clean.columns == odd(spark).columns
+    texts = [r.text for r in clean.collect()]
+    assert texts[2] is None and "<phone> <email> <ip>" in texts[7]
