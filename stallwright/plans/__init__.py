@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregations, classification, lifecycle, lookups, registry, texts
+from . import aggregations, classification, lifecycle, lookups, registry, reviews, texts
 
-__all__ = ["aggregations", "classification", "lifecycle", "lookups", "texts"]
+__all__ = ["aggregations", "classification", "lifecycle", "lookups", "reviews", "texts"]
 
 
 def queries() -> dict:
