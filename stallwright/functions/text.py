@@ -104,7 +104,7 @@ def visible_text(html: Column) -> Column:
     for entity, stands in ENTITIES.items():
         t = F.replace(t, F.lit(entity), F.lit(stands))
     t = F.regexp_replace(t, "[ \\t]+", " ")
-    return F.trim(F.regexp_replace(t, " ?\\n[ \\n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
 
 
 def repeated_marks(c: Column) -> Column:

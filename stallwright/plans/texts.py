@@ -117,7 +117,7 @@ def html_cards(t: Tables) -> DataFrame:
 
 @query("""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS x FROM pages), b AS (SELECT page_id, regexp_replace(x, '(?i)<br[^>]*>|</(p|div|li|tr|h1|h2|h3)>', chr(10), 'g') AS x FROM a),
 c AS (SELECT page_id, regexp_replace(x, '<[^>]+>', ' ', 'g') AS x FROM b), d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM c),
-e AS (SELECT page_id, regexp_replace(x, '[ \\t]+', ' ', 'g') AS x FROM d) SELECT page_id, sha256(trim(regexp_replace(x, ' ?\\n[ \\n]*', chr(10), 'g'), ' ')) AS text_sha, length(trim(regexp_replace(x, ' ?\\n[ \\n]*', chr(10), 'g'), ' '))::BIGINT AS n_chars FROM e""")
+e AS (SELECT page_id, regexp_replace(x, '[ \\t]+', ' ', 'g') AS x FROM d) SELECT page_id, sha256(regexp_replace(regexp_replace(x, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS text_sha, length(regexp_replace(regexp_replace(x, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g'))::BIGINT AS n_chars FROM e""")
 def visible_text(t: Tables) -> DataFrame:
     seen = text.visible_text(F.col("html"))
     return t.pages.select("page_id", F.sha2(seen, 256).alias("text_sha"), F.length(seen).cast("long").alias("n_chars"))
