@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, hashed_sample, written
 from .quality import base_measures
 
 #: Frequent function words of English, French, German and Spanish (fixed values).
@@ -33,8 +33,8 @@ FUNCTION_WORDS = frozenset(
 LABELLERS = ("length", "symbols", "capitals", "marks", "lines", "repeats", "variety", "sentences", "function_words")
 PATTERNS = 3 ** len(LABELLERS)
 _SPACE, _MARK = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", b"!#*$%&|"))
-#: The scorer is fitted on the texts with the smallest hashes among those of at most
-#: FIT_CHARS characters, at most FIT_DOCS of them.
+#: The scorer is fitted on about FIT_DOCS texts, chosen by a hash among those of at most
+#: FIT_CHARS characters.
 FIT_DOCS, FIT_CHARS = 20_000, 50_000
 BUCKETS, EPOCHS, RATE, L2 = 1 << 15, 6, 0.5, 1e-6
 KEEP = 0.5
@@ -181,8 +181,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for pattern, n in vote_patterns(docs).collect():  # at most PATTERNS rows
         counts[pattern] = n
     posterior, _ = fit_labellers(counts)
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
-    sample = docs.where(F.length("text") <= FIT_CHARS).select(F.col("text").cast("string").alias("text"), order.alias("k")).orderBy("k").limit(FIT_DOCS)
+    sample = hashed_sample(docs.where(F.length("text") <= FIT_CHARS), FIT_DOCS, "doc_id", "text").select(F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -194,7 +193,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 rows.append((*p.features(), float(posterior[pattern_of(p.votes())])))
         yield pd.DataFrame({"w": [fit_scorer(rows).astype("<f8").tobytes()]})
 
-    weights = written(sample.coalesce(1).mapInPandas(run, "w binary"), "quality-weights").first()
+    weights = written(sample.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInPandas(run, "w binary"), "quality-weights").first()
     return posterior, np.frombuffer(bytes(weights.w), "<f8") if weights else np.zeros(BUCKETS + 1)
 
 
