@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -95,16 +96,16 @@ class Fertility:
         self.cache: dict[bytes, bytes] = {}
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        if new := [w for w in set(words) if w not in cache]:
+        known = self.cache
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        if new := [w for w in set(words) if w not in known]:
             found = self.sp.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
-            cache.update((w, array("H", x).tobytes()) for w, x in zip(new, found, strict=True))
-        ids = np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint16)
+            known.update((w, array("H", x).tobytes()) for w, x in zip(new, found, strict=True))
+        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint16)
         for w in new:
             if len(w) > CACHE_WORD_BYTES:
-                del cache[w]
+                del known[w]
         return ids
 
     def measure(self, words: list[bytes], chars: int) -> tuple[int, float, float, float]:
@@ -123,6 +124,12 @@ class Fertility:
 _LATIN, _CYRILLIC = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ӿ]")
 
 
+@cache
+def fertility_of(path: str) -> Fertility:
+    """One for each worker process, so its cache outlives a task."""
+    return Fertility(path)
+
+
 def band_of(lang: str | None, text: str) -> str:
     if lang in BANDS:
         return lang
@@ -157,7 +164,7 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: dict[st
         import pyarrow as pa
         import public_tokenizers
 
-        fertility = Fertility(vocabulary or public_tokenizers.path("piece_bpe_32k.model"))
+        fertility = fertility_of(vocabulary or public_tokenizers.path("piece_bpe_32k.model"))
         names = [c.split()[0] for c in COLUMNS.split(", ")][1:]
         for b in batches:
             rows = [judge(fertility, bands, t.as_py(), lang.as_py()) for t, lang in zip(b.column(1), b.column(2), strict=True)]
@@ -177,7 +184,7 @@ def reject(docs: DataFrame, bands: dict[str, Band] | None = None) -> DataFrame:
         import pyarrow as pa
         import public_tokenizers
 
-        fertility = Fertility(public_tokenizers.path("piece_bpe_32k.model"))
+        fertility = fertility_of(public_tokenizers.path("piece_bpe_32k.model"))
         for b in batches:
             langs = [None] * b.num_rows if lang is None else b.column(lang).to_pylist()
             yield b.filter(pa.array([judge(fertility, bands, t.as_py(), x)[-1] for t, x in zip(b.column(text), langs, strict=True)], pa.bool_()))
