@@ -15,27 +15,36 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, open_in, open_out, written
+from .common import documents, fresh_path, hashed_sample, open_in, open_out, written
 
 MAGIC, TAIL = b"TOKZ1\n", b"TOKZ"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8")])
 FOOTER = "<QQB32s4s"
 END_ID = 2
-#: The dictionary is trained on the texts with the smallest hashes among those of
-#: at most so many characters.
+#: The dictionary is trained on about SAMPLE_DOCS texts, chosen by a hash among those
+#: of at most SAMPLE_CHARS characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
 LEVEL = 3
 #: Bounds of each worker's cache of encoded pieces.
-CACHE_PIECES, CACHE_PIECE_CHARS = 250_000, 40
+CACHE_PIECES, CACHE_PIECE_CHARS = 400_000, 40
+#: Marks that a word of letters is cut from; they are no letters, digits or white space.
+MARKS = ".,;:!?|#*$%&"
+_ONE_TOKEN = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[" + re.escape(MARKS) + "]+)").fullmatch
+#: Byte-level vocabularies write a byte as itself where that is a visible character of
+#: Latin-1, and as the next free character from 256 on where it is not.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 class PieceEncoder:
@@ -43,40 +52,89 @@ class PieceEncoder:
 
     Its pre-tokenizer never joins letters, digits or marks across white space, and a
     single space or line end goes with what follows it or stands alone, so a text
-    falls apart before each single space or line end between two other characters.
-    The pieces are encoded once and kept in a bounded cache; texts with any other
-    white space, or with a special token, are encoded whole."""
+    falls apart before each single space or line end between two other characters; and
+    a word of letters falls apart from the marks after it. Each part is encoded by the
+    library once and kept in a bounded cache; a text with any other white space is
+    encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}  # "b" for " b", "\nb" for itself
+        self.parts: dict[str, bytes] = {}
+        self.again: set[str] = set()  # pieces met in a second text: kept when the cache is full
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def single(self, words: list[str]) -> list[bytes]:
+        """The same for texts of one pre-token each, by the library's model alone."""
+        ids = self.tok.model.tokenize
+        return [array("I", [t.id for t in ids(w.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes() for w in words]
+
+    def _encoded(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Parts that are one word of letters or one run of marks need no pre-tokenizer."""
+        plain, other = [], []
+        for x in parts:
+            (plain if _ONE_TOKEN(x) else other).append(x)
+        yield from zip(plain, self.single(plain), strict=True)
+        yield from zip(other, self.whole(other), strict=True)
+
+    def _learn(self, new: list[str]) -> bool:
+        """Adds pieces; false, and none, if one has white space that is not its own."""
+        split = []
+        for p in new:
+            line = p[:1] == "\n"
+            if p[line:].split() != [p[line:]]:
+                return False
+            bare = p.rstrip(MARKS)
+            word = bare[1:] if line else " " + bare
+            cut = len(bare) < len(p) and bare[line:].isalpha()
+            split.append((["\n"] if line else []) + ([word, p[len(bare) :]] if cut else [p[1:] if line else " " + p]))
+        parts = self.parts
+        if missing := [x for x in {x for xs in split for x in xs} if x not in parts]:
+            if len(parts) > CACHE_PIECES:
+                parts.clear()
+                missing = list({x for xs in split for x in xs})
+            parts.update(self._encoded(missing))
+        self.pieces.update((p, b"".join([parts[x] for x in xs])) for p, xs in zip(new, split, strict=True))
+        for x in missing:
+            if len(x) > CACHE_PIECE_CHARS:
+                del parts[x]
+        return True
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if not text:
             return b""
-        if " ".join(text.split()) != text.replace("\n", " ") or any(x in text for x in self.special):
+        first, *pieces = text.replace("\n", " \n").split(" ")
+        seen = set(pieces)
+        new = [p for p in seen if p not in self.pieces]
+        if 2 * len(self.pieces) > CACHE_PIECES:
+            self.again.update(seen.difference(new))
+        if first.split() != [first] or (new and not self._learn(new)):
             return self.whole([text])[0]
-        first, *pieces = text.replace("\n", " \n").split(" ")  # "a b\nc": "a", then "b" for " b", then "\nc"
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        if new := [p for p in set(pieces) if p not in cache]:
-            cache.update(zip(new, self.whole([p if p[0] == "\n" else " " + p for p in new]), strict=True))
-        out = self.whole([first])[0] + b"".join(map(cache.__getitem__, pieces))
+        out = self.whole([first])[0] + b"".join(map(self.pieces.__getitem__, pieces))
         for p in new:
             if len(p) > CACHE_PIECE_CHARS:
-                del cache[p]
+                del self.pieces[p]
+        if len(self.pieces) > CACHE_PIECES:
+            if len(self.again) < 0.7 * CACHE_PIECES:
+                self.pieces = {p: self.pieces[p] for p in self.again if p in self.pieces}
+            else:
+                self.pieces = {}
+            self.again = set()
         return out
 
 
+@cache
+def piece_encoder(path: str) -> PieceEncoder:
+    """One for each worker process, so its cache outlives a task."""
+    return PieceEncoder(path)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -98,9 +156,8 @@ def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
     empty where there is nothing to train on."""
     import zstandard
 
-    order = F.xxhash64(F.col("doc_id"), F.col("text"))
-    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", order.alias("k")).orderBy("k").limit(SAMPLE_DOCS).collect()
-    encoder = PieceEncoder(path)
+    rows = hashed_sample(docs.where(F.length("text").between(1, SAMPLE_CHARS)), SAMPLE_DOCS, "doc_id", "text").select("text").collect()
+    encoder = piece_encoder(path)
     samples = [_packed(encoder.encode(r.text), width) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -132,7 +189,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         import zstandard
         from pyspark import TaskContext
 
-        encoder = PieceEncoder(path)
+        encoder = piece_encoder(path)
         cctx = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         shard, out, index, at, total = TaskContext.get().partitionId(), None, [], len(MAGIC), 0
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tokz"
