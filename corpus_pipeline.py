@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwright.llm import common, decontaminate, mixing, quality, simhash, token_files
+from stallwright.llm import common, decontaminate, mixing, near_copies, quality, token_files
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays, that with the smallest doc_id:
+    op2's groups, and five-word Jaccard similarities of 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
