@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Numbers, names and units of texts and benchmark items become typed placeholders;
-windows of template tokens meet in a hash join; and the values behind the
-placeholders must map one to one along each aligned occurrence, which also catches
+windows of template tokens meet in a hash join; and each value behind the item's
+placeholders must have one value along an aligned occurrence, which also catches
 questions that were only given new numbers or names.
 """
 
@@ -46,7 +46,7 @@ def template(text: Column, values: bool = False) -> Column:
     return F.split(F.lower(F.trim(t)), SPACES)
 
 
-def _starts(words: Column, window: int) -> Column:
+def _starts(words: Column, window: int | Column) -> Column:
     """Window starts (from 0); none in shorter texts."""
     return F.when(F.size(words) >= window, F.sequence(F.lit(0), F.size(words) - window)).otherwise(F.array().cast("array<int>"))
 
@@ -67,10 +67,30 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return b.join(b.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows")), "item_id")
 
 
+def _same_token(x: Column, y: Column) -> Column:
+    """Equal words, or placeholders of one type."""
+    return (x == y) | (x.startswith(MARK) & (F.substring(x, 1, 2) == F.substring(y, 1, 2)))
+
+
+def clashes(b: Column, d: Column, window: int) -> Column:
+    """Positions (from 0) of an item's valued tokens b whose value has several values
+    among the document's tokens d aligned with them. Only positions inside template
+    windows that agree count."""
+    size = F.least(F.size(b), F.lit(window))
+    agree = F.zip_with(b, d, lambda x, y: F.coalesce(_same_token(x, y), F.lit(False)))
+    starts = F.filter(_starts(b, size), lambda i: F.forall(F.slice(agree, i + 1, size), lambda x: x))
+    at = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + size - 1))))
+    slots = F.transform(at, lambda i: F.struct(i.alias("i"), F.get(b, i).alias("b"), F.get(d, i).alias("d")))
+    slots = F.filter(slots, lambda s: s.b.startswith(MARK))
+    return F.transform(F.filter(slots, lambda s: F.exists(slots, lambda o: (o.b == s.b) & (o.d != s.d))), lambda s: s.i)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text) -> (doc_id, text_hash,
     item_id, n_matched, n_windows, coverage), one row for each document and item of
-    which it holds at least ``coverage`` of the usable windows with consistent slots.
+    which it holds at least ``coverage`` of the usable windows with consistent slots:
+    along an aligned occurrence a value of the item has one value in the document
+    (several may have the same); windows at which it has more don't count.
 
     Texts and items with fewer template tokens than ``window`` have no windows and
     match nothing (null and empty texts too); repeated rows give one row; null ids
@@ -87,21 +107,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     found = written(found.join(hashes, "h", "left_semi").distinct(), "window-hits")
     hits = found.join(bench, "h").select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "n_windows")
     # Each aligned occurrence of an item with placeholders: only its documents are read
-    # again, and the values over the whole item must map one to one.
+    # again, and windows whose values clash go.
     slots = items.where(F.exists("v", lambda x: x.startswith(MARK))).select("item_id", F.col("v").alias("b"))
     aligned = hits.select("doc_id", "text_hash", "item_id", "offset").distinct().join(slots, "item_id")
     x, y = keyed.alias("x"), aligned.select("doc_id", "text_hash").distinct().alias("y")
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.text_hash") == F.col("y.text_hash"))
     valued = x.join(y, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", template(F.col("text"), True).alias("v"))
     x, y = aligned.alias("x"), valued.alias("y")
-    n = F.size("b")
-    theirs = F.slice("b", F.greatest(F.lit(1), 1 - F.col("offset")), n).alias("b")
-    ours = F.slice("v", F.greatest(F.lit(1), 1 + F.col("offset")), n).alias("d")
-    pairs = x.join(y, same).select("x.doc_id", "x.text_hash", "item_id", "offset", F.explode(F.arrays_zip(theirs, ours)).alias("s"))
-    pairs = pairs.where(F.col("s.b").startswith(MARK) & (F.substring("s.b", 1, 2) == F.substring("s.d", 1, 2))).select("doc_id", "text_hash", "item_id", "offset", "s.b", "s.d").distinct()
-    at = ["doc_id", "text_hash", "item_id", "offset"]
-    clash = pairs.groupBy(*at).agg(F.count("*").alias("n"), F.count_distinct("b").alias("nb"), F.count_distinct("d").alias("nd")).where("n > nb or n > nd").alias("y")
-    ok = hits.alias("x").join(clash, same & F.col("x.item_id").eqNullSafe(F.col("y.item_id")) & (F.col("x.offset") == F.col("y.offset")), "left_anti")
+    # Tokens before the document's start stand as nulls, so that positions stay aligned.
+    before = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(0), -F.col("offset")))
+    ours = F.slice(F.concat(before, F.slice("v", F.greatest(F.lit(1), 1 + F.col("offset")), F.size("b"))), 1, F.size("b")).alias("d")
+    pairs = x.join(y, same).select("x.doc_id", "x.text_hash", "item_id", "offset", "b", ours)
+    clash = pairs.select("doc_id", "text_hash", "item_id", "offset", clashes(F.col("b"), F.col("d"), window).alias("bad")).where(F.size("bad") > 0).alias("y")
+    inside = F.exists("y.bad", lambda i: (i >= F.col("x.ipos")) & (i < F.col("x.ipos") + window))
+    ok = hits.alias("x").join(clash, same & F.col("x.item_id").eqNullSafe(F.col("y.item_id")) & (F.col("x.offset") == F.col("y.offset")) & inside, "left_anti")
     out = ok.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("ipos").alias("n_matched"), F.max("n_windows").alias("n_windows"))
     return out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
 

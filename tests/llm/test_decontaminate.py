@@ -52,3 +52,20 @@ def test_awkward_rows(spark):
     assert kept.columns == odd(spark).columns and kept.count() == 12
     twice = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, ITEM), (2, "x")], "doc_id long, text string")
     assert [r.doc_id for r in dc.decontaminate(twice, b).collect()] == [2]
+
+
+def test_two_values_may_become_one(spark):
+    item = "A farmer has 3 red baskets and then buys 5 more baskets at the market so how many baskets are there now"
+    assert leaked(spark, [item.replace("3", "4").replace("5", "4")], item) == [(0, 0)]
+
+
+def test_inserted_word_and_partial_quote(spark):
+    item = "If Maria walks 12 km to the old town and back again then she sees 30 birds by the river and then counts 7 boats near the small bridge before lunch"
+    inserted = item.replace("then counts 7", "then slowly counts 7")
+    quote = item.split(" by the river")[0] + " by the river and then nobody there knew Ivan or 12 other people, 30 was the limit and 12 more came for Maria and 9 for Ann"
+    assert leaked(spark, [inserted, quote], item) == [(0, 0), (1, 0)]
+    # The item's 12 stands twice; the quote has another value outside the matched windows.
+    item = "Then 12 boys walk along the quiet river to the old mill and play there until evening and 12 girls come"
+    quote = "Then 40 boys walk along the quiet river to the old mill and play there until evening but 50 cows moo"
+    clash = item.replace("12 girls", "50 girls")
+    assert leaked(spark, [quote, clash], item) == [(0, 0), (1, 0)]
