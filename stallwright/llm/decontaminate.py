@@ -52,39 +52,68 @@ def _starts(words: Column, window: int | Column) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """benchmark(item_id, text) -> (item_id, w, v): template tokens, without and with
-    values; repeated rows once."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), template(F.col("text")).alias("w"), template(F.col("text"), True).alias("v"))
-    return rows.dropDuplicates(["item_id", "v"])
+    """benchmark(item_id, text) -> (item_id, item, w, v): template tokens, without and
+    with values; repeated rows once. ``item`` tells equal item_ids apart; items
+    without tokens go."""
+    tokens = lambda values: F.filter(template(F.col("text"), values), lambda x: x != "")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(False).alias("w"), tokens(True).alias("v"))
+    rows = rows.where(F.size("w") > 0).dropDuplicates(["item_id", "v"])
+    return rows.select("item_id", F.xxhash64("item_id", "v").alias("item"), "w", "v")
+
+
+def plain(tokens: Column) -> Column:
+    """Tokens with values; names are words again, as a name is one by its place only."""
+    return F.transform(tokens, lambda x: F.regexp_replace(x, f"{MARK}n", ""))
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Items -> (item_id, ipos, h, n_windows), usable windows only; n_windows is their
-    number in the item."""
-    b = items.select("item_id", "w", F.explode(_starts(F.col("w"), window)).alias("ipos"))
-    b = b.select("item_id", "ipos", F.slice("w", F.col("ipos") + 1, window).alias("t"))
-    b = b.where(F.size(F.filter("t", lambda x: ~x.startswith(MARK))) >= MIN_LITERAL).select("item_id", "ipos", F.xxhash64("t").alias("h"))
-    return b.join(b.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows")), "item_id")
+    """Items -> (item_id, item, way, width, ipos, h, n_windows), usable windows only;
+    n_windows is their number in the item by that way.
+
+    Way 0: template windows with enough plain words. Items without any have way 1,
+    windows (the whole item, if shorter) with their values, and, if the whole item
+    has enough plain words, way 2, its whole template."""
+    literals = lambda t: F.size(F.filter(t, lambda x: ~x.startswith(MARK)))
+    cut = lambda t, size: F.transform(_starts(t, size), lambda i: F.struct(i.alias("ipos"), F.slice(t, i + 1, size).alias("t")))
+    hashed = lambda xs: F.transform(xs, lambda x: F.struct(x.ipos.alias("ipos"), F.xxhash64(x.t).alias("h")))
+    way = lambda i, width, xs: F.struct(F.lit(i).alias("way"), width.cast("int").alias("width"), xs.alias("xs"))
+    w, n = F.col("w"), F.size("w")
+    usable, short = F.filter(cut(w, F.lit(window)), lambda x: literals(x.t) >= MIN_LITERAL), F.least(n, F.lit(window))
+    # The first word may stand for a name in a running text.
+    named = F.concat(F.array(F.lit(f"{MARK}n")), F.slice(w, 2, n))
+    wholes = F.transform(F.array(w, named), lambda t: F.struct(F.lit(0).alias("ipos"), F.xxhash64(t).alias("h")))
+    exact = way(1, short, hashed(cut(plain(F.col("v")), short)))
+    others = F.when(literals(w) >= MIN_LITERAL, F.array(exact, way(2, n, wholes))).otherwise(F.array(exact))
+    first = F.transform(F.filter(usable, lambda x: x.ipos == 0), lambda x: F.struct(x.ipos.alias("ipos"), F.slice(named, 1, window).alias("t")))
+    ways = F.when(F.size(usable) > 0, F.array(way(0, F.lit(window), hashed(F.concat(usable, first))))).otherwise(others)
+    rows = items.select("item_id", "item", F.inline(ways))
+    return rows.select("item_id", "item", "way", "width", F.size(F.array_distinct(F.transform("xs", lambda x: x.ipos))).cast("long").alias("n_windows"), F.inline("xs"))
 
 
 def _same_token(x: Column, y: Column) -> Column:
     """Equal words, or placeholders of one type."""
-    return (x == y) | (x.startswith(MARK) & (F.substring(x, 1, 2) == F.substring(y, 1, 2)))
+    word = lambda t: F.regexp_replace(t, f"^{MARK}n", "")
+    return (word(x) == word(y)) | (x.startswith(MARK) & (F.substring(x, 1, 2) == F.substring(y, 1, 2)))
 
 
-def clashes(b: Column, d: Column, window: int) -> Column:
+def clashes(b: Column, d: Column, width: Column) -> Column:
     """Positions (from 0) of an item's valued tokens b whose value has several values
     among the document's tokens d aligned with them. Only positions inside template
     windows that agree count."""
-    size = F.least(F.size(b), F.lit(window))
     agree = F.zip_with(b, d, lambda x, y: F.coalesce(_same_token(x, y), F.lit(False)))
-    starts = F.filter(_starts(b, size), lambda i: F.forall(F.slice(agree, i + 1, size), lambda x: x))
-    at = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + size - 1))))
+    starts = F.filter(_starts(b, width), lambda i: F.forall(F.slice(agree, i + 1, width), lambda x: x))
+    at = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + width - 1))))
     slots = F.transform(at, lambda i: F.struct(i.alias("i"), F.get(b, i).alias("b"), F.get(d, i).alias("d")))
     slots = F.filter(slots, lambda s: s.b.startswith(MARK))
     return F.transform(F.filter(slots, lambda s: F.exists(slots, lambda o: (o.b == s.b) & (o.d != s.d))), lambda s: s.i)
 
 
+def _document_windows(tokens: Column, widths: list[int]) -> Column:
+    """Array of (pos, h) of all windows of the widths."""
+    one = lambda size: F.transform(_starts(tokens, size), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, F.lit(size))).alias("h")))
+    return F.flatten(F.array(*map(one, widths)))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text) -> (doc_id, text_hash,
     item_id, n_matched, n_windows, coverage), one row for each document and item of
@@ -92,24 +121,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     along an aligned occurrence a value of the item has one value in the document
     (several may have the same); windows at which it has more don't count.
 
-    Texts and items with fewer template tokens than ``window`` have no windows and
-    match nothing (null and empty texts too); repeated rows give one row; null ids
+    Items without usable windows (shorter than ``window``, or mostly placeholders) are
+    matched by windows with their values, or by the whole template if it has enough
+    plain words; the way with the largest coverage counts.
+
+    Null and empty texts and items match nothing; repeated rows give one row; null ids
     are ids like any other; empty tables give an empty result; other columns are
     ignored. text_hash tells rows with the same doc_id and other texts apart."""
     items = written(benchmark_items(benchmark), "bench-items")
     bench = written(benchmark_windows(items, window), "bench-windows")
+    widths = {k: sorted(r.width for r in bench.where(k).select("width").distinct().collect()) for k in ("way <> 1", "way = 1")}
     hashes, small = bench.select("h").distinct(), bench.count() <= BROADCAST_WINDOWS
     if small:
         hashes, bench, items = F.broadcast(hashes), F.broadcast(bench), F.broadcast(items)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     words = keyed.select("doc_id", "text_hash", template(F.col("text")).alias("w"))
-    found = words.select("doc_id", "text_hash", F.posexplode(F.transform(_starts(F.col("w"), window), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, F.lit(window))))).alias("pos", "h"))
+    sizes = widths["way <> 1"]
+    if sizes in ([], [window]):
+        found = words.select("doc_id", "text_hash", F.posexplode(F.transform(_starts(F.col("w"), window), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, F.lit(window))))).alias("pos", "h"))
+    else:
+        found = words.select("doc_id", "text_hash", F.inline(_document_windows(F.col("w"), sizes)))
+    if widths["way = 1"]:
+        valued = keyed.select("doc_id", "text_hash", plain(template(F.col("text"), True)).alias("v"))
+        found = found.unionByName(valued.select("doc_id", "text_hash", F.inline(_document_windows(F.col("v"), widths["way = 1"]))))
     found = written(found.join(hashes, "h", "left_semi").distinct(), "window-hits")
-    hits = found.join(bench, "h").select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "n_windows")
+    hits = found.join(bench, "h").select("doc_id", "text_hash", "item_id", "item", "way", "width", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "n_windows")
     # Each aligned occurrence of an item with placeholders: only its documents are read
     # again, and windows whose values clash go.
-    slots = items.where(F.exists("v", lambda x: x.startswith(MARK))).select("item_id", F.col("v").alias("b"))
-    aligned = hits.select("doc_id", "text_hash", "item_id", "offset").distinct().join(slots, "item_id")
+    slots = items.where(F.exists("v", lambda x: x.startswith(MARK))).select("item", F.col("v").alias("b"))
+    aligned = hits.where("way <> 1").select("doc_id", "text_hash", "item", "way", "width", "offset").distinct().join(slots, "item")
     x, y = keyed.alias("x"), aligned.select("doc_id", "text_hash").distinct().alias("y")
     same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.text_hash") == F.col("y.text_hash"))
     valued = x.join(y, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", template(F.col("text"), True).alias("v"))
@@ -117,12 +157,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # Tokens before the document's start stand as nulls, so that positions stay aligned.
     before = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(0), -F.col("offset")))
     ours = F.slice(F.concat(before, F.slice("v", F.greatest(F.lit(1), 1 + F.col("offset")), F.size("b"))), 1, F.size("b")).alias("d")
-    pairs = x.join(y, same).select("x.doc_id", "x.text_hash", "item_id", "offset", "b", ours)
-    clash = pairs.select("doc_id", "text_hash", "item_id", "offset", clashes(F.col("b"), F.col("d"), window).alias("bad")).where(F.size("bad") > 0).alias("y")
-    inside = F.exists("y.bad", lambda i: (i >= F.col("x.ipos")) & (i < F.col("x.ipos") + window))
-    ok = hits.alias("x").join(clash, same & F.col("x.item_id").eqNullSafe(F.col("y.item_id")) & (F.col("x.offset") == F.col("y.offset")) & inside, "left_anti")
-    out = ok.groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("ipos").alias("n_matched"), F.max("n_windows").alias("n_windows"))
-    return out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    pairs = x.join(y, same).select("x.doc_id", "x.text_hash", "item", "way", "width", "offset", "b", ours)
+    clash = pairs.select("doc_id", "text_hash", "item", "way", "offset", clashes(F.col("b"), F.col("d"), F.col("width")).alias("bad")).where(F.size("bad") > 0).alias("y")
+    inside = F.exists("y.bad", lambda i: (i >= F.col("x.ipos")) & (i < F.col("x.ipos") + F.col("x.width")))
+    ok = hits.alias("x").join(clash, same & (F.col("x.item") == F.col("y.item")) & (F.col("x.way") == F.col("y.way")) & (F.col("x.offset") == F.col("y.offset")) & inside, "left_anti")
+    out = ok.groupBy("doc_id", "text_hash", "item_id", "item", "way").agg(F.count_distinct("ipos").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    out = out.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
+    best = out.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("coverage", "n_matched", "n_windows")).alias("m"))
+    return best.select("doc_id", "text_hash", "item_id", "m.n_matched", "m.n_windows", "m.coverage")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -69,3 +69,21 @@ def test_inserted_word_and_partial_quote(spark):
     quote = "Then 40 boys walk along the quiet river to the old mill and play there until evening but 50 cows moo"
     clash = item.replace("12 girls", "50 girls")
     assert leaked(spark, [quote, clash], item) == [(0, 0), (1, 0)]
+
+
+def test_items_without_usable_windows(spark):
+    short, numbers, nouns = "Who wrote the novel about Ahab?", "3 4 8 15 16 23 42 7 9 11", "Der Hund von Anna und die Katze von Otto"
+    tiny = "Is 7 prime?"
+    docs = [
+        f"Some text. Question: {short} Answer: him",
+        f"The row {numbers} was read out",
+        f"Erst kam der Satz: {nouns}, dann nichts",
+        short.replace("Ahab", "Emma"),
+        nouns.replace("Anna", "Eva").replace("Hund", "Vogel"),
+        "The row 3 4 8 15 16 23 42 8 10 12 was read out",
+        "Who wrote the letter about Ahab?",
+        f"One asks, {tiny}",
+        "Is 9 prime?",
+    ]
+    assert leaked(spark, docs, short, numbers, nouns, tiny) == [(0, 0), (1, 1), (2, 2), (3, 0), (4, 2), (7, 3)]
+    assert leaked(spark, ["", " ", None, "..."], "", " ", "?", "...") == []
