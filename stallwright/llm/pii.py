@@ -45,6 +45,17 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int:
+    """End of the IBAN at a position, 0 if there is none; capital words that follow are left off."""
+    m = _IBAN.match(text, at)
+    end = m.end() if m else 0
+    while end and len(text[at:end].replace(" ", "")) >= 15:
+        if iban_ok(text[at:end]):
+            return end
+        end = max(0, text.rfind(" ", at, end))
+    return 0
+
+
 @cache
 def anchors():
     import ahocorasick
@@ -68,7 +79,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     The base kinds are found as a leftmost, non-overlapping search for each would
     find them; a match that fails its check is dropped and not tried again."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
-    email_end = ip_end = chain_end = phone_end = account_end = 0
+    email_end = ip_end = chain_end = phone_end = account_end = bank_end = 0
     for last, (kind, size) in anchors().iter(text):
         i = last - size + 1
         if kind == "digit":
@@ -90,6 +101,10 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                     digits = m[0].replace(" ", "").replace("-", "")
                     if 16 <= len(digits) <= 19 and luhn(digits):
                         found["card"].append((i, chain_end))
+            # An IBAN needs no cue: two capital letters at a word's start, then digits.
+            if i - 2 >= bank_end and text[i - 2 : i].isupper() and not (i > 2 and text[i - 3].isalnum()) and (end := iban_end(text, i - 2)):
+                bank_end = end
+                found["iban"].append((i - 2, end))
         elif kind == "at":
             start = i
             while start > email_end and text[start - 1] in _LOCAL:
@@ -110,9 +125,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 account_end = m.end()
                 found["account"].append(m.span(1))
             for at in range(last + 1, min(last + 4, len(text))):
-                if (m := _IBAN.match(text, at)) and iban_ok(m[0]):
-                    account_end = max(account_end, m.end())
-                    found["iban"].append(m.span())
+                if at >= bank_end and (end := iban_end(text, at)):
+                    account_end, bank_end = max(account_end, end), end
+                    found["iban"].append((at, end))
                     break
     return [(kind, *span) for kind, spans in found.items() for span in spans]
 

@@ -69,3 +69,11 @@ def test_awkward_rows(spark):
     assert clean.columns == odd(spark).columns
     texts = [r.text for r in clean.collect()]
     assert texts[2] is None and "<phone> <email> <ip>" in texts[7]
+
+
+def test_ibans_without_a_cue_next_to_it():
+    code = "DE89 3704 0044 0532 0130 00"
+    for text in (f"please pay to {code} soon", f"IBAN number: {code}.", f"{code} BIC COBADEFF", f"IBAN {code}", "(GB82WEST12345698765432)"):
+        found = [text[a:b] for k, a, b in pii.find_spans(text) if k == "iban"]
+        assert found == (["GB82WEST12345698765432"] if "GB" in text else [code]), text
+    assert not [x for x in pii.find_spans("DE88 3704 0044 0532 0130 00 and XDE89370400440532013000") if x[0] == "iban"]
