@@ -18,7 +18,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,14 +36,15 @@ END_ID = 2
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
 LEVEL = 3
 #: Bounds of each worker's cache of encoded pieces.
-CACHE_PIECES, CACHE_PIECE_CHARS = 400_000, 40
-#: Marks that a word of letters is cut from; they are no letters, digits or white space.
+CACHE_PIECES, CACHE_PIECE_CHARS = 500_000, 40
+#: Texts are encoded together up to so many characters.
+CHUNK_CHARS = 1 << 17
+#: Marks that a word is cut from; they are no letters, digits or white space.
 MARKS = ".,;:!?|#*$%&"
-_ONE_TOKEN = re.compile("[ ]?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[" + re.escape(MARKS) + "]+)").fullmatch
-#: Byte-level vocabularies write a byte as itself where that is a visible character of
-#: Latin-1, and as the next free character from 256 on where it is not.
-_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+#: Inside the encoder: marks that follow a word, a word that follows no space.
+AFTER, BARE = "\x00", "\x01"
+_UNSPACED = (AFTER, BARE, "\n")
+_OWN_MARKS = re.compile(f"[{AFTER}{BARE}]").search
 
 
 class PieceEncoder:
@@ -53,82 +53,111 @@ class PieceEncoder:
     Its pre-tokenizer never joins letters, digits or marks across white space, and a
     single space or line end goes with what follows it or stands alone, so a text
     falls apart before each single space or line end between two other characters; and
-    a word of letters falls apart from the marks after it. Each part is encoded by the
-    library once and kept in a bounded cache; a text with any other white space is
-    encoded whole."""
+    a word falls apart from the marks after its last letter. The pieces of many texts
+    that are new go through the library in one call and stay in a bounded cache; a text
+    with other white space, or with a token added to the model, is encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}  # "b" for " b", "\nb" for itself
-        self.parts: dict[str, bytes] = {}
-        self.again: set[str] = set()  # pieces met in a second text: kept when the cache is full
+        #: Little-endian ids of 16 bits where the vocabulary allows, else 32.
+        self.ids = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
+        self.pieces: dict[str, bytes | None] = {}  # None: not to be encoded alone
+        self.again: set[str] = set()  # pieces met in a second chunk: kept when the cache is full
+        self.long: set[str] = set()  # pieces too long to be kept
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def single(self, words: list[str]) -> list[bytes]:
-        """The same for texts of one pre-token each, by the library's model alone."""
-        ids = self.tok.model.tokenize
-        return [array("I", [t.id for t in ids(w.encode().decode("latin-1").translate(BYTE_CHARS))]).tobytes() for w in words]
-
-    def _encoded(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Parts that are one word of letters or one run of marks need no pre-tokenizer."""
-        plain, other = [], []
-        for x in parts:
-            (plain if _ONE_TOKEN(x) else other).append(x)
-        yield from zip(plain, self.single(plain), strict=True)
-        yield from zip(other, self.whole(other), strict=True)
-
-    def _learn(self, new: list[str]) -> bool:
-        """Adds pieces; false, and none, if one has white space that is not its own."""
-        split = []
+        return [np.array(e.ids, self.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_space(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words with a space before each. Words have no white space themselves,
+        so exactly their first tokens start with a space."""
+        e = self.tok.encode_batch_fast([[" " + w for w in words]], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(e.ids, self.ids)
+        at = (np.flatnonzero(self.spaced[ids]) * self.ids.itemsize).tolist()
+        return map(ids.tobytes().__getitem__, map(slice, at, [*at[1:], ids.nbytes]))
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.pieces
+        bare = " ".join(new).replace("\n", "")
+        if bare.split() != bare.split(" ") or any(t in bare for t in self.added):
+            alone = [p for p in new if (x := p.removeprefix("\n")) and x.split() == [x] and not any(t in x for t in self.added)]
+            known.update(dict.fromkeys(set(new).difference(alone)))
+            new = alone
+        cut, wanted = [], set()
         for p in new:
-            line = p[:1] == "\n"
-            if p[line:].split() != [p[line:]]:
-                return False
-            bare = p.rstrip(MARKS)
-            word = bare[1:] if line else " " + bare
-            cut = len(bare) < len(p) and bare[line:].isalpha()
-            split.append((["\n"] if line else []) + ([word, p[len(bare) :]] if cut else [p[1:] if line else " " + p]))
-        parts = self.parts
-        if missing := [x for x in {x for xs in split for x in xs} if x not in parts]:
-            if len(parts) > CACHE_PIECES:
-                parts.clear()
-                missing = list({x for xs in split for x in xs})
-            parts.update(self._encoded(missing))
-        self.pieces.update((p, b"".join([parts[x] for x in xs])) for p, xs in zip(new, split, strict=True))
-        for x in missing:
-            if len(x) > CACHE_PIECE_CHARS:
-                del parts[x]
-        return True
+            word = p.rstrip(MARKS)
+            if len(word) < len(p) and "A" <= word[-1:] <= "\u024f" and word[-1].isalpha():
+                marks = AFTER + p[len(word) :]
+                cut.append((p, word, marks))
+                if word not in known:
+                    wanted.add(word)
+                if marks not in known:
+                    wanted.add(marks)
+            else:
+                wanted.add(p)
+        words = [p for p in wanted if p[0] not in _UNSPACED]
+        known.update(zip(words, self._after_space(words), strict=True))
+        others = list(wanted.difference(words))
+        known.update(zip(others, self.whole([p.lstrip(AFTER + BARE) for p in others]), strict=True))
+        known.update([(p, known[word] + known[marks]) for p, word, marks in cut])
+        for p in wanted.union(new):
+            if len(p) > CACHE_PIECE_CHARS:
+                self.long.add(p)
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
-        if not text:
-            return b""
-        first, *pieces = text.replace("\n", " \n").split(" ")
-        seen = set(pieces)
-        new = [p for p in seen if p not in self.pieces]
-        if 2 * len(self.pieces) > CACHE_PIECES:
+        """Little-endian 32-bit ids of one text."""
+        return np.frombuffer(self.encode_all([text])[0], self.ids).astype("<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as numbers of type ``ids``."""
+        split = [[] if _OWN_MARKS(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        for s in split:
+            if s and s[0]:
+                s[0] = BARE + s[0]
+            elif s:
+                del s[0]  # the text is empty, or starts with a space or a line end
+        pieces, seen = self.pieces, set().union(*split)
+        new = [p for p in seen if p not in pieces]
+        if 2 * len(pieces) > CACHE_PIECES:
             self.again.update(seen.difference(new))
-        if first.split() != [first] or (new and not self._learn(new)):
-            return self.whole([text])[0]
-        out = self.whole([first])[0] + b"".join(map(self.pieces.__getitem__, pieces))
-        for p in new:
-            if len(p) > CACHE_PIECE_CHARS:
-                del self.pieces[p]
-        if len(self.pieces) > CACHE_PIECES:
-            if len(self.again) < 0.7 * CACHE_PIECES:
-                self.pieces = {p: self.pieces[p] for p in self.again if p in self.pieces}
-            else:
-                self.pieces = {}
-            self.again = set()
+        if new:
+            self._learn(new)
+        out = []
+        for t, s in zip(texts, split, strict=True):
+            try:
+                out.append(b"".join(map(pieces.__getitem__, s)) if s else None)
+            except TypeError:
+                out.append(None)
+        at = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(at, self.whole([texts[i] for i in at]), strict=True):
+            out[i] = x
+        for p in self.long:
+            pieces.pop(p, None)
+        self.long.clear()
+        if len(pieces) > CACHE_PIECES:
+            kept = self.again if len(self.again) < 0.7 * CACHE_PIECES else ()
+            self.pieces, self.again = {p: pieces[p] for p in kept if p in pieces}, set()
         return out
 
 
+def chunked(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of at most CHUNK_CHARS characters, or of one text."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > CHUNK_CHARS:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 @cache
 def piece_encoder(path: str) -> PieceEncoder:
     """One for each worker process, so its cache outlives a task."""
@@ -141,24 +170,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def id_width(path: str) -> int:
-    from tokenizers import Tokenizer
-
-    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
-
-
-def _packed(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-
-
-def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
+def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """Shared zstandard dictionary from a bounded sample (SAMPLE_DOCS, SAMPLE_CHARS);
     empty where there is nothing to train on."""
     import zstandard
 
     rows = hashed_sample(docs.where(F.length("text").between(1, SAMPLE_CHARS)), SAMPLE_DOCS, "doc_id", "text").select("text").collect()
-    encoder = piece_encoder(path)
-    samples = [_packed(encoder.encode(r.text), width) for r in rows]
+    samples = [x for run in chunked([r.text for r in rows]) for x in piece_encoder(path).encode_all(run)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to train on
@@ -175,9 +193,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     A task writes under a name of its own and only the files of tasks that ended well
     are in the manifest, so a task that is run again does no harm."""
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    width = id_width(path)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    dictionary = train_dictionary(docs, path, width)
+    dictionary = train_dictionary(docs, path)
     digest = hashlib.sha256(dictionary).digest()
     with open_out(f"{folder}/{digest.hex()}.dict") as f:
         f.write(dictionary)
@@ -193,17 +210,19 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         cctx = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         shard, out, index, at, total = TaskContext.get().partitionId(), None, [], len(MAGIC), 0
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tokz"
-        end = array("I", [end_id]).tobytes()
+        end, width = np.array([end_id], encoder.ids).tobytes(), encoder.ids.itemsize
         for b in batches:
             if b.num_rows and out is None:
                 out = open_out(uri)
                 out.write(MAGIC)
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                frame = cctx.compress(_packed(ids, width))
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            encoded = (x for run in chunked(texts) for x in encoder.encode_all(run))
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
+                frame = cctx.compress(ids + end)
+                n = len(ids) // width + 1
                 out.write(frame)
-                index.append((-(1 << 63) if doc_id is None else doc_id, at, len(frame), len(ids) // 4))
-                at, total = at + len(frame), total + len(ids) // 4
+                index.append((-(1 << 63) if doc_id is None else doc_id, at, len(frame), n))
+                at, total = at + len(frame), total + n
         if out is not None:
             out.write(np.array(index, INDEX).tobytes())
             out.write(struct.pack(FOOTER, len(index), at, width, digest, TAIL))
