@@ -24,6 +24,8 @@ from .common import fresh_path, open_in, open_out, written
 REVISIT_BYTES = 0
 #: A task starts a new archive beyond so many compressed bytes.
 ROLL_BYTES = 256 << 20
+#: Equal rows beyond so many are spread over tasks.
+COPIES = 1_000
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,18 +41,28 @@ def base32(hexed):
 
 
 def captures_to_write(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """pages(page_id, url, html) -> (cap, page_id, url, payload, refers_cap), refers_cap
-    the capture that holds an equal payload: of those the one with the largest page_id."""
+    """pages(page_id, url, html) -> (cap, page_id, url, payload, refers_cap), a capture
+    for each row; refers_cap is a capture that holds an equal payload, of those one
+    with the largest page_id. All captures with that page_id hold the payload
+    themselves (refers_cap is null). A null id is smaller than any other."""
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(text, "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    rows = rows.withColumn("cap", F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), F.col("sha"))))
-    keys = rows.where(F.octet_length("payload") >= revisit_bytes).select("cap", "page_id", "sha").distinct()
-    # The largest page_id wins; a null id loses, and equal ids go by capture.
-    known = keys.groupBy("sha").agg(F.max("page_id").alias("top"))
-    winner = keys.join(known, "sha").where(F.col("page_id").eqNullSafe(F.col("top"))).groupBy("sha").agg(F.max("cap").alias("winner"))
-    refers = keys.join(winner, "sha").where("cap <> winner").select("cap", F.col("winner").alias("refers_cap"))
-    return rows.drop("sha").dropDuplicates(["cap"]).join(refers, "cap", "left")
+    rows = rows.withColumn("cap", F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("")), F.col("sha"))))
+    # Equal rows are counted before anything is joined; the keys carry no payload.
+    keys = written(rows.groupBy("cap", "page_id", "sha").agg(F.count("*").alias("n"), F.first(F.octet_length("payload")).alias("size")), "warc-keys")
+    top = written(keys.where(F.col("size") >= revisit_bytes).groupBy("sha").agg(F.max(F.struct("page_id", "cap")).alias("top")), "warc-top")
+    other = F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top.page_id"))
+    refers = keys.join(top, "sha", "left").select("cap", "n", F.when(other, F.col("top.cap")).alias("refers_cap"))
+    once = rows.drop("sha").dropDuplicates(["cap"]).join(refers, "cap")
+    # The copies of a row leave its task only where they are many.
+    many = (keys.agg(F.max("n")).first()[0] or 0) > COPIES
+    if many:
+        once = once.withColumn("first", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"), F.lit(COPIES).cast("long")))).repartition("cap", "first")
+    first = F.col("first") if many else F.lit(1).cast("long")
+    copies = once.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("n"), first + COPIES - 1))))
+    cap = F.when(F.col("copy") == 1, F.col("cap")).otherwise(F.md5(F.concat_ws("|", "cap", F.lit("copy"), F.col("copy").cast("string"))))
+    return copies.select(cap.alias("cap"), "page_id", "url", "payload", "refers_cap")
 
 
 def _record(kind: str, record_id: str, content: bytes, mime: str, **fields: str | None) -> bytes:
@@ -86,8 +98,8 @@ def transaction(cap: str, page_id: int | None, url: str | None, payload: bytes,
 def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """pages(page_id, url, html, ...) -> .warc.gz archives in ``folder``; returns the
     manifest (uri, n_captures), itself a written table. A null html is an empty
-    payload, a null url leaves the target out, repeated equal rows are one capture, an
-    empty table writes nothing. A task writes under names of its own; files of failed
+    payload, a null url leaves the target out, repeated equal rows are a capture each
+    (of one kind), an empty table writes nothing. A task writes under names of its own; files of failed
     attempts aren't in the manifest."""
 
     def run(batches: Iterator) -> Iterator:
@@ -144,16 +156,20 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         import pandas as pd
 
         def rows_of(uri: str) -> Iterator[tuple]:
-            for h, block in parse_records(open_in(uri)):
-                kind, mime = h.get("warc-type"), h.get("content-type", "")
-                body = fields = None
-                if mime.startswith("application/http"):
-                    _, _, body = block.partition(b"\r\n\r\n")
-                elif mime == "application/warc-fields":
-                    fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if ":" in x)}
-                full = kind == "response"
-                digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if full else None
-                yield (h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").rpartition(":")[2] or None, len(body) if full else None, digest, fields, body if full and payloads else None)
+            with open_in(uri) as stream:
+                yield from map(row_of, parse_records(stream))
+
+        def row_of(record: tuple[dict[str, str], bytes]) -> tuple:
+            h, block = record
+            kind, mime = h.get("warc-type"), h.get("content-type", "")
+            body = fields = None
+            if mime.startswith("application/http"):
+                _, _, body = block.partition(b"\r\n\r\n")
+            elif mime == "application/warc-fields":
+                fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n") if ":" in x)}
+            full = kind == "response"
+            digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if full else None
+            return (h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").rpartition(":")[2] or None, len(body) if full else None, digest, fields, body if full and payloads else None)
 
         names = [x.split()[0] for x in RECORDS.replace("map<string,string>", "map").split(", ")]
         for pdf in batches:
