@@ -18,32 +18,44 @@ WINDOW = 8
 MIN_LITERAL = 5
 #: An item leaks if a document holds this share of its usable windows.
 COVERAGE = 0.5
-#: More distinct benchmark windows than this are joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: More distinct benchmark windows, or item tokens, than this are joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_TOKENS = 1_000_000, 4_000_000
 #: Units of measure and currency (fixed values).
 UNITS = (
     "km cm mm m mi ft in kg g mg lb oz l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years "
     "km/h mph kb mb gb tb hz khz mhz ghz w kw kwh v a c f k usd eur gbp jpy dollars dollar euros euro cents cent percent pounds pound meters metres meter metre miles mile"
 ).split()
+#: Numbers in words (fixed values); a unit after one has three letters or more.
+NUMERALS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
+).split()
+_any = lambda xs: "|".join(sorted(xs, key=lambda u: (-len(u), u)))
 _NAME = "(?<=[\\p{L}\\p{Nd},;:] )\\p{Lu}[\\p{L}'-]*"
-_QUANTITY = "([0-9]+)[ ]?(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")(?![\\p{L}0-9])"
-_NUMBER = "[0-9]+"
+_DIGITS, _WORDS = "[0-9]+(?:[.,][0-9]+)*", "[Tt](?:" + _any(x[1:] for x in NUMERALS if x[0] == "t") + ")|" + _any(f"[{x[0].upper()}{x[0]}]{x[1:]}" for x in NUMERALS if x[0] != "t")
+_QUANTITY = f"(?:({_DIGITS})[ ]?({_any(UNITS)})|({_WORDS}) ({_any(u for u in UNITS if len(u) > 2 and u.isalpha())}))(?![\\p{{L}}0-9])"
+_NUMBER = f"(?:{_DIGITS}|{_WORDS})(?![\\p{{L}}0-9])"
+#: Points and commas inside numbers stay.
+_PUNCTUATION = "[;:!?\"()\\[\\]{}]+|(?<![0-9])[.,]+|[.,]+(?![0-9])"
 #: Marks a placeholder; its type follows, then its value where values are kept.
 MARK = "\u0001"
 
 
 def template(text: Column, values: bool = False) -> Column:
     """Array of template tokens: lower-case words without punctuation, with
-    placeholders for numbers, names (capitalised inside a sentence) and units. With
-    ``values`` a placeholder also carries what it stands for; tokens stay aligned."""
+    placeholders for numbers (digits or words), names (capitalised inside a sentence)
+    and units. With ``values`` a placeholder also carries what it stands for; tokens
+    stay aligned. White space of any kind and length counts as one space."""
     value = "$0" if values else ""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), MARK, "")
+    t = F.regexp_replace(t, SPACES, " ")
     t = F.regexp_replace(t, _NAME, f"{MARK}n{value}")
-    t = F.regexp_replace(t, "[.,;:!?\"()\\[\\]{}]+", "")
     # Digits inside a kept name stay with it.
-    t = F.regexp_replace(t, f"(?<![{MARK}\\p{{L}}0-9]){_QUANTITY}", f"{MARK}d{'$1' if values else ''} {MARK}u")
-    t = F.regexp_replace(t, f"(?<![{MARK}\\p{{L}}0-9]){_NUMBER}(?![\\p{{L}}0-9])", f"{MARK}d{value}")
-    return F.split(F.lower(F.trim(t)), SPACES)
+    alone = f"(?<![0-9][.,])(?<![{MARK}\\p{{L}}0-9])"
+    t = F.regexp_replace(t, alone + _QUANTITY, f"{MARK}d{'$1$3' if values else ''} {MARK}u{'$2$4' if values else ''}")
+    t = F.regexp_replace(t, alone + _NUMBER, f"{MARK}d{value}")
+    t = F.regexp_replace(t, _PUNCTUATION, "")
+    return F.split(F.lower(F.trim(t)), " +")
 
 
 def _starts(words: Column, window: int | Column) -> Column:
@@ -131,9 +143,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     items = written(benchmark_items(benchmark), "bench-items")
     bench = written(benchmark_windows(items, window), "bench-windows")
     widths = {k: sorted(r.width for r in bench.where(k).select("width").distinct().collect()) for k in ("way <> 1", "way = 1")}
-    hashes, small = bench.select("h").distinct(), bench.count() <= BROADCAST_WINDOWS
-    if small:
-        hashes, bench, items = F.broadcast(hashes), F.broadcast(bench), F.broadcast(items)
+    hashes = bench.select("h").distinct()
+    if bench.count() <= BROADCAST_WINDOWS:
+        hashes, bench = F.broadcast(hashes), F.broadcast(bench)
+    if (items.agg(F.sum(F.size("v"))).first()[0] or 0) <= BROADCAST_TOKENS:
+        items = F.broadcast(items)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     words = keyed.select("doc_id", "text_hash", template(F.col("text")).alias("w"))
     sizes = widths["way <> 1"]
