@@ -50,6 +50,65 @@ def test_lm_awkward_rows(spark):
     assert all(r.n_known == 0 for r in lm.score_documents(held).collect())  # nothing to learn from
 
 
+def test_scores_against_brute_force(spark, monkeypatch):
+    """Word by word in plain numpy, with the fitted weights; words of the model, middling
+    words and the tail all occur."""
+    from xxhash import xxh64_intdigest
+
+    made = {}
+    for name in ("build_lexicon", "fit"):
+        real = getattr(lm, name)
+        monkeypatch.setattr(lm, name, lambda *a, real=real, name=name: made.setdefault(name, real(*a)))
+    for name, value in (("VOCABULARY", 400), ("MODEL_WORDS", 60), ("CLASSES", 8)):
+        monkeypatch.setattr(lm, name, value)
+    d = documents().head(60)
+    rows = [*zip(d.doc_id.tolist(), d.text), (10**6, None), (10**6, "")]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    train = [words(t, True) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(x for t in train for x in t)
+    least = min(n for n in range(2, 10**4) if sum(x >= n for x in c.values()) <= 400)
+    lex, w = made["build_lexicon"], made["fit"]
+    assert sorted(lex.count[1:]) == sorted(x for x in c.values() if x >= least)
+    known = {x for x, n in c.items() if n >= least}
+    tail_total, tail_distinct = sum(n for x, n in c.items() if x not in known), len(c.keys() - known)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def score(text):
+        state, before, out, h = np.zeros(lm.HIDDEN), lm.END, 0.0, lm.HIDDEN
+        for x in [*words(text, True), None]:
+            gx, gh = w["input"][lex.input_of[before]].astype(float), state @ w["update"]
+            z, r = sigmoid(gx[:h] + gh[:h]), sigmoid(gx[h : 2 * h] + gh[h : 2 * h])
+            state = (1 - z) * np.tanh(gx[2 * h :] + r * gh[2 * h :]) + z * state
+            before = lm.END if x is None else int(lex.lookup(np.array([xxh64_intdigest(x)], np.uint64).view(np.int64))[0])
+            p = np.exp(state @ w["classes"] + w["class_bias"])
+            group = lex.class_of[before]
+            out += np.log10(p[group] / p.sum())
+            if before < lex.model:
+                own = [i for i in range(lex.model) if lex.class_of[i] == group]
+                q = np.exp(w["words"][own] @ state + w["word_bias"][own])
+                out += np.log10(q[own.index(before)] / q.sum())
+            elif x in known:
+                out += np.log10(c[x] / sum(lex.count[lex.model :]))
+            else:
+                out += np.log10((c[x] + 0.5) / (tail_total + 0.5 * (tail_distinct + 1)))
+        return out
+
+    text_of = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(score(text_of[r.doc_id]), rel=1e-4)
+
+
+def test_least_count(spark):
+    rng = np.random.default_rng(1)
+    counts = [*rng.integers(1, 9, 300).tolist(), *(1 << rng.integers(0, 60, 40)).tolist(), 7, 70_000, 70_001]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(counts)], "h long, c long")
+    for n in (0, 1, 20, 45, 120, 400):
+        want = next((x for x in sorted({y + d for y in counts for d in (0, 1)}) if x >= 2 and sum(c >= x for c in counts) <= n))
+        assert lm.least_count(df, n) == max(want, 2)
+    assert lm.least_count(df.limit(0), 5) == 2
+
+
 def lexicon():
     h = np.arange(1, 41, dtype=np.int64) * 1000
     return lm.Lexicon(h, np.arange(1, 41), np.append([30], np.arange(80, 40, -1)), 5000, 60)
