@@ -28,9 +28,9 @@ def key(r):
     return tuple((x is not None, x or 0) for x in r)
 
 
-def check(spark, rows, window=50, seed=13):
+def check(spark, rows, window=50, seed=13, bits=64):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring.without_repeats(df, window, seed).drop("kept_text").collect()
+    got = substring.without_repeats(df, window, seed, bits).drop("kept_text").collect()
     assert sorted(map(tuple, got), key=key) == sorted(slow(rows, window), key=key)
 
 
@@ -55,3 +55,14 @@ def test_awkward_rows(spark):
     assert sorted(map(tuple, got), key=key) == sorted(slow(rows, 50), key=key)
     assert substring.without_repeats(empty(spark)).count() == 0
     check(spark, [(None, PASSAGE), (1, PASSAGE), (1, PASSAGE + " more"), (2, None)])
+
+
+def test_colliding_hashes_stay_exact(spark):
+    """Runs meet under hashes of 8 (4, 0) bits only: words at the coordinates decide."""
+    import random
+
+    rng = random.Random(3)
+    parts = [" ".join(f"p{k}w{rng.randrange(40)}" for _ in range(rng.choice([8, 15, 40]))) for k in range(9)]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 7)))) for i in range(60)]
+    for bits in (8, 4, 1):
+        check(spark, rows, 9, 4, bits)
