@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from .common import documents
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-#: What the method adds: logins in web addresses, account numbers after a cue, IBANs.
-ADDED_KINDS = ("login", "account", "iban")
+#: What the method adds: logins in web addresses, account numbers after a cue, IBANs, and
+#: secrets (keys, tokens, passwords) after a cue or in armour.
+ADDED_KINDS = ("login", "account", "iban", "secret")
 #: Words that announce an account or identity number (fixed values).
 CUES = ("account", "acct", "iban", "konto", "kontonummer", "compte", "cuenta", "passport", "ssn", "customer id", "kundennummer", "n° client")
+#: Words that announce a secret (fixed values).
+SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "api_key", "apikey", "access key", "access_key", "private key", "private_key", "bearer", "passwort", "contraseña", "mot de passe")
 COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,6 +35,9 @@ _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _PHONE = re.compile(r"[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/@:<>\"']+:[^\s/@<>\"']+@[A-Za-z0-9.-]+")
 _ACCOUNT = re.compile(r"(?:\s?(?:no|number|nr|num|id)\.?)?\s?[:#=]?\s?((?=[A-Z0-9-]*[0-9]{4})[A-Z0-9](?:[A-Z0-9-]{4,32})[A-Z0-9])(?![A-Za-z0-9])", re.IGNORECASE)
+#: A value follows a cue after a sign or "is", maybe in quotes; "Bearer" needs neither.
+_SECRET = re.compile(r"""(?:["'`]?\s{0,2}(?::=|=>|[:=]|is\s)\s{0,2}|(?<=[Bb]earer)\s)(["'`]?)([^\s"'`<>,;()]{6,512})(?(1)\1)""")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END \1PRIVATE KEY-----")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 
 
@@ -45,6 +51,21 @@ def iban_ok(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def secret_span(text: str, at: int) -> tuple[int, int] | None:
+    """Boundaries of the secret that a cue ending at a position announces. It mixes
+    digits with letters, or is quoted and has a digit or a mark inside."""
+    if not (m := _SECRET.match(text, at)):
+        return None
+    start, end = m.span(2)
+    if not m[1]:
+        end = start + len(text[start:end].rstrip(".:!?]}"))
+    value = text[start:end]
+    digit, letter = any(map(str.isdigit, value)), any(map(str.isalpha, value))
+    if len(value) < 6 or not (digit and letter or m[1] and not value.isalpha()):
+        return None
+    return start, end
+
+
 def iban_end(text: str, at: int) -> int:
     """End of the IBAN at a position, 0 if there is none; capital words that follow are left off."""
     m = _IBAN.match(text, at)
@@ -69,6 +90,10 @@ def anchors():
     for cue in CUES:
         for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
             a.add_word(form, ("cue", len(form)))
+    for cue in SECRET_CUES:
+        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+            a.add_word(form, ("key", len(form)))
+    a.add_word("-----BEGIN ", ("armour", 11))
     a.make_automaton()
     return a
 
@@ -79,7 +104,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     The base kinds are found as a leftmost, non-overlapping search for each would
     find them; a match that fails its check is dropped and not tried again."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
-    email_end = ip_end = chain_end = phone_end = account_end = bank_end = 0
+    email_end = ip_end = chain_end = phone_end = account_end = bank_end = secret_end = 0
     for last, (kind, size) in anchors().iter(text):
         i = last - size + 1
         if kind == "digit":
@@ -120,6 +145,14 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif kind == "scheme":
             if m := _LOGIN.match(text, last + 1):
                 found["login"].append(m.span())
+        elif kind == "armour":
+            if i >= secret_end and (m := _ARMOUR.match(text, i)):
+                secret_end = m.end()
+                found["secret"].append(m.span())
+        elif kind == "key":
+            if i >= secret_end and not (i and text[i - 1].isalnum()) and (span := secret_span(text, last + 1)):
+                secret_end = span[1]
+                found["secret"].append(span)
         elif i >= account_end and not (i and text[i - 1].isalnum()):
             if m := _ACCOUNT.match(text, last + 1):
                 account_end = m.end()
@@ -163,7 +196,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans
-    of several kinds become one, named by the first."""
+    of several kinds become one, named by the first. A null text stays null; other
+    columns and repeated rows stay as they are; an empty table gives an empty result."""
     names, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
