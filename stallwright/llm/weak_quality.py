@@ -33,9 +33,8 @@ FUNCTION_WORDS = frozenset(
 LABELLERS = ("length", "symbols", "capitals", "marks", "lines", "repeats", "variety", "sentences", "function_words")
 PATTERNS = 3 ** len(LABELLERS)
 _SPACE, _MARK = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", b"!#*$%&|"))
-#: The scorer is fitted on about FIT_DOCS texts, chosen by a hash among those of at most
-#: FIT_CHARS characters.
-FIT_DOCS, FIT_CHARS = 20_000, 50_000
+#: The scorer is fitted on about FIT_DOCS texts, chosen by a hash, whole and of any length.
+FIT_DOCS = 20_000
 BUCKETS, EPOCHS, RATE, L2 = 1 << 15, 6, 0.5, 1e-6
 KEEP = 0.5
 #: How labellers vote on bad and on good texts, before any is seen (bad, none, good).
@@ -181,7 +180,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for pattern, n in vote_patterns(docs).collect():  # at most PATTERNS rows
         counts[pattern] = n
     posterior, _ = fit_labellers(counts)
-    sample = hashed_sample(docs.where(F.length("text") <= FIT_CHARS), FIT_DOCS, "doc_id", "text").select(F.col("text").cast("string").alias("text"))
+    sample = hashed_sample(docs, FIT_DOCS, "doc_id", "text").select(F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -170,6 +170,85 @@ def test_labellers_recover_their_accuracies():
     assert (guess == good).mean() > 0.93
 
 
+def slow_votes(text):
+    """The labellers' rules, from the text's words and characters."""
+    import re
+
+    text = text or ""
+    w = words(text)
+    n = len(w)
+    if not n:
+        return [-1] + [0] * 8
+    chars = re.sub(r"[\x20\x09-\x0d]", "", text)
+    lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
+    low = words(text, True)
+    windows = Counter(zip(w, w[1:], w[2:]))
+    covered = {i + k for i, x in enumerate(zip(w, w[1:], w[2:])) if windows[x] > 1 for k in range(3)}
+    per_line = n / (sum(text.count(x) for x in ".!?") or 0.5)
+    rules = [
+        (n < 3, n >= 60, 1, n),
+        (sum(c in "#*$%&|<>" for c in chars) > 0.1 * n, sum(c in "#*$%&|<>" for c in chars) <= 0.01 * n, 1, n),
+        (share := sum("A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" for c in chars) / len(chars), None, 5, n),
+        (marked := sum(chr(x[-1]) in "!#*$%&|" for x in w) / n, None, 5, n),
+        (len(lines) - len(set(lines)) > 0.4 * (text.count("\n") + 1), len(lines) == len(set(lines)), 30, n),
+        (len(covered) > 0.4 * n, len(covered) <= 0.05 * n, 20, n),
+        (len(set(low)) / n < 0.2, len(set(low)) / n > 0.35, 40, n),
+        (not 2 <= per_line <= 80, 4 <= per_line <= 40, 30, n),
+        (sum(x in wq.FUNCTION_WORDS for x in low) / n < 0.03, sum(x in wq.FUNCTION_WORDS for x in low) / n > 0.1, 20, n),
+    ]
+    rules[2] = (share > 0.25, share < 0.12, 5, n)
+    rules[3] = (marked > 0.15, marked < 0.03, 5, n)
+    return [0 if n < enough else -1 if bad else int(good) for bad, good, enough, n in rules]
+
+
+def slow_em(patterns):
+    """Expectation-maximisation text by text, no table of patterns."""
+    kinds = Counter(map(tuple, patterns))
+    total = sum(kinds.values())
+    good = {v: 1 / (1 + np.exp(-(0.5 * sum(v) - 2 * v.count(-1) + 1))) for v in kinds}
+    for _ in range(300):
+        rate = {}
+        for j in range(9):
+            for y, (bad, well) in enumerate(((0.6, 0.4), (0.02, 0.98))):
+                no = 0.05 * total * bad + sum(n * (good[v] if y else 1 - good[v]) for v, n in kinds.items() if v[j] == -1)
+                yes = 0.05 * total * well + sum(n * (good[v] if y else 1 - good[v]) for v, n in kinds.items() if v[j] == 1)
+                rate[j, y, -1], rate[j, y, 0], rate[j, y, 1] = no / (no + yes), 1.0, yes / (no + yes)
+        share = min(max(sum(n * good[v] for v, n in kinds.items()) / total, 0.05), 0.95)
+        odds = {v: np.log(share / (1 - share)) + sum(np.log(rate[j, 1, x] / rate[j, 0, x]) for j, x in enumerate(v)) for v in kinds}
+        new = {v: 1 / (1 + np.exp(-min(max(x, -50), 50))) for v, x in odds.items()}
+        if max(abs(new[v] - good[v]) for v in kinds) < 1e-9:
+            break
+        good = new
+    return new
+
+
+def slow_features(text):
+    w, out = words(text), Counter()
+    for x, n in Counter(words(text, True)).items():
+        out[zlib.crc32(x) % wq.BUCKETS] += n
+    for kind, values in ((b"first", [x[0] for x in w]), (b"last", [x[-1] for x in w]), (b"size", [min(len(x), 40) for x in w])):
+        for x, n in Counter(values).items():
+            out[zlib.crc32(b"%d" % x, zlib.crc32(kind)) % wq.BUCKETS] += n
+    norm = np.sqrt(sum(out.values()))
+    return {k: np.sqrt(n) / norm for k, n in out.items()}
+
+
+def test_quality_against_brute_force(spark, monkeypatch):
+    made, real = [], wq.fit
+    monkeypatch.setattr(wq, "fit", lambda docs: made.append(real(docs)) or made[0])
+    rows = [*zip(documents().doc_id.tolist(), documents().text), (10**6, None), (10**6 + 1, "  \n"), (10**6 + 2, "Ünï x!")]
+    got = {r.doc_id: r for r in wq.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    votes = {i: slow_votes(t) for i, t in rows}
+    posterior = slow_em(votes.values())
+    w = made[0][1]
+    for i, t in rows:
+        assert got[i].pattern == wq.pattern_of(votes[i]), i
+        assert got[i].label_probability == pytest.approx(posterior[tuple(votes[i])], abs=1e-6)
+        x = slow_features(t)
+        want = 1 / (1 + np.exp(-(sum(w[k] * v for k, v in x.items()) + w[-1]))) if x else 0.0
+        assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].kept == (got[i].score >= wq.KEEP)
+
+
 def test_quality_against_labels(spark):
     labels = pd.read_parquet(f"{MIDDLE}/labels.parquet").set_index("doc_id")
     got = wq.op10_weak_quality(spark, MIDDLE).toPandas().set_index("doc_id").join(labels, how="inner")
