@@ -3,7 +3,7 @@
 Each source gets a mean repetition rate that brings its characters to its target
 share; a hash of the document is a uniform draw, the inverse Poisson distribution
 function turns it into a count, the document is exploded by its count, and a hash of
-document and copy orders all copies globally.
+document and copy places every copy, in whatever partition and order it gives.
 """
 
 from __future__ import annotations
@@ -52,25 +52,26 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epoch
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
-    """All columns of docs for every copy, with copy_no (from 1) and shuffle_key, range
-    partitioned and sorted by shuffle_key: a global shuffle.
+    """All columns of docs for every copy, with copy_no (from 1) and shuffle_key, spread
+    over partitions and sorted in them by shuffle_key: a global shuffle. The key is a
+    hash, so its hash partitions are even and need no sampling pass.
 
     A draw depends on seed, doc_id and text alone, so repeated rows get the same
     count. A null source is the source ''; a null text has no characters; an empty
     table gives an empty result. Columns of docs named copy_no or shuffle_key are
-    replaced."""
+    replaced; all others may have any name."""
     names = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
     rates = written(source_rates(docs, weights, epochs, temperature).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / 600))), "mix-rates")
-    rates = rates.select(F.col("src").alias("__src"), F.col("parts").alias("__parts"), F.when(F.col("rate") > 0, poisson_table(F.col("rate") / F.col("parts"))).alias("__cdf"))
+    rates = rates.select("src", "parts", F.when(F.col("rate") > 0, poisson_table(F.col("rate") / F.col("parts"))).alias("cdf"))
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    d = docs.select(*names, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__src"), F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).alias("__id")).join(rates, "__src")
-    draw = lambda part: F.size(F.filter("__cdf", lambda c: c <= uniform(F.col("__id"), part.cast("string"))))
-    count = F.when(F.col("__cdf").isNull(), 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("__parts").cast("int")), F.lit(0), lambda a, part: a + draw(part)))
-    d = d.withColumn("__n", count).where("__n > 0")
-    d = d.select(*names, "__id", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy_no"))
-    d = d.select(*names, "copy_no", F.md5(F.concat_ws("|", "__id", F.lit("copy"), F.col("copy_no").cast("string"))).alias("shuffle_key"))
-    return d.repartitionByRange(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", "copy_no")
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"), key.alias("id")).join(rates, "src")
+    draw = lambda part: F.size(F.filter("cdf", lambda c: c <= uniform(F.col("id"), part.cast("string"))))
+    count = F.when(F.col("cdf").isNull(), 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("parts").cast("int")), F.lit(0), lambda a, part: a + draw(part)))
+    d = d.withColumn("n", count).where("n > 0").select("doc", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+    d = d.select("doc.*", "copy_no", F.md5(F.concat_ws("|", "id", F.lit("copy"), F.col("copy_no").cast("string"))).alias("shuffle_key"))
+    return d.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy_no")
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,3 +42,14 @@ def test_awkward_rows(spark):
     assert mixing.poisson_mix(empty(spark)).count() == 0
     blank = odd(spark).where("doc_id in (3, 4)")
     assert mixing.poisson_mix(blank).count() == 0  # sources of no characters
+
+
+def test_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = odd(spark)
+    for name in ("src", "id", "cdf", "parts", "n", "doc", "__src", "__id", "a.b"):
+        docs = docs.withColumn(name, F.lit(1))
+    out = mixing.poisson_mix(docs)
+    assert out.columns == [*docs.columns, "copy_no", "shuffle_key"]
+    assert sorted(map(repr, (r.doc_id for r in out.collect()))) == sorted(map(repr, (r.doc_id for r in mixing.poisson_mix(odd(spark)).collect())))
