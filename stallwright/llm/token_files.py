@@ -17,6 +17,7 @@ import hashlib
 import os
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -185,7 +186,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """docs(doc_id, text, ...) -> shards in ``folder``, documents in ascending doc_id;
-    returns the manifest (shard, uri, n_docs, n_ids), itself a written table.
+    returns the manifest (shard, uri, n_docs, n_ids), a table in ``folder``, too.
 
     A null text is an empty one (the end id alone). Null ids come first and are
     written as the smallest 64-bit integer. Repeated rows are written as often as they
@@ -200,8 +201,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         f.write(dictionary)
 
     def run(batches: Iterator) -> Iterator:
-        import uuid
-
         import pyarrow as pa
         import zstandard
         from pyspark import TaskContext
@@ -230,7 +229,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "n_docs": [len(index)], "n_ids": [total]})
 
     ordered = docs.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long"), "token-manifest")
+    return written(ordered.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long"), "tokens", f"{folder}/manifest-{uuid.uuid4().hex}")
 
 
 class Shard:
@@ -253,6 +252,12 @@ class Shard:
             raise ValueError(f"wrong dictionary for {uri}")
         self.dctx = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *why) -> None:
+        self.file.close()
+
     def _ids(self, frame: bytes) -> np.ndarray:
         return np.frombuffer(self.dctx.decompress(frame), f"<u{self.width}").astype("<u4")
 
@@ -283,12 +288,13 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for uri, start in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 rows: list[tuple] = []
-                for doc_id, ids in Shard(uri).documents():
-                    rows.append((None if doc_id == -(1 << 63) else doc_id, start, len(ids), zlib.crc32(ids)))
-                    start += len(ids)
-                    if len(rows) == 10_000:
-                        yield _rows(pa, rows)
-                        rows = []
+                with Shard(uri) as shard:
+                    for doc_id, ids in shard.documents():
+                        rows.append((None if doc_id == -(1 << 63) else doc_id, start, len(ids), zlib.crc32(ids)))
+                        start += len(ids)
+                        if len(rows) == 10_000:
+                            yield _rows(pa, rows)
+                            rows = []
                 if rows:
                     yield _rows(pa, rows)
 

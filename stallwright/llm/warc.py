@@ -12,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -97,14 +98,12 @@ def transaction(cap: str, page_id: int | None, url: str | None, payload: bytes,
 
 def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """pages(page_id, url, html, ...) -> .warc.gz archives in ``folder``; returns the
-    manifest (uri, n_captures), itself a written table. A null html is an empty
+    manifest (uri, n_captures), a table in ``folder``, too. A null html is an empty
     payload, a null url leaves the target out, repeated equal rows are a capture each
-    (of one kind), an empty table writes nothing. A task writes under names of its own; files of failed
-    attempts aren't in the manifest."""
+    (of one kind), an empty table writes nothing. A task writes under names of its own;
+    files of failed attempts aren't in the manifest."""
 
     def run(batches: Iterator) -> Iterator:
-        import uuid
-
         import pyarrow as pa
 
         out, uri, size, n = None, "", 0, 0
@@ -127,7 +126,7 @@ def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done]), pa.array([x[1] for x in done], pa.int64())], ["uri", "n_captures"])
 
     rows = captures_to_write(pages, revisit_bytes).select("cap", "page_id", "url", "payload", "refers_cap")
-    return written(rows.mapInArrow(run, "uri string, n_captures long"), "warc-manifest")
+    return written(rows.mapInArrow(run, "uri string, n_captures long"), "warc", f"{folder}/manifest-{uuid.uuid4().hex}")
 
 
 def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
