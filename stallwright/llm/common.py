@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,13 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary
-    one is set only where the session has none (tests, single machine)."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary one is set
+    only where the session has none and runs on this machine alone (tests). On a
+    cluster without the setting this is an error: executors share no local folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -28,12 +32,42 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+#: Tables written inside each open scratch(), innermost last.
+_scratches: list[list[tuple[SparkSession, str]]] = []
+
+
+def written(df: DataFrame, label: str, path: str | None = None, outer: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: cuts the
-    lineage, and a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage, and a lost executor costs no recomputation. An intermediate goes with the
+    scratch() it is written in (``outer``: with the one around that), or when the
+    session's JVM ends; one with a ``path`` stays."""
+    spark = df.sparkSession
+    at = path or fresh_path(spark, label)
+    df.write.parquet(at)
+    if not path:
+        store, p = _hadoop(spark, at)
+        store.deleteOnExit(p)
+        if held := _scratches[: len(_scratches) - outer]:
+            held[-1].append((spark, at))
+    return spark.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def scratch():
+    """What is written inside goes at the end, when all that reads it has been written."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for spark, at in _scratches.pop():
+            store, p = _hadoop(spark, at)
+            store.delete(p, True)
 
 
 def words_column(text: Column, lower: bool = False) -> Column:

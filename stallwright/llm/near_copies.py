@@ -1,10 +1,13 @@
 """Near copies by MinHash bands, verified by the exact Jaccard similarity.
 
 The pipeline's near-duplicate stage: documents whose sets of five-word shingles have a
-similarity of 0.8 or more, beside those that op2 groups. A bucket (an equal band) is
-first compared with its smallest member only; what that joins is one component, and
-only buckets that still hold several components are paired in full, so a large group
-of near copies makes no square of pairs.
+similarity of 0.8 or more, beside those that op2 groups. Equal sets are one node. The
+bands are taken in groups: in a bucket (an equal band) the nodes of other components
+than that of its smallest node are compared with that node, and what is similar joins
+its component before the next group, so a large group of near copies is compared a few
+times a node and makes no square of pairs. At the end nodes of different components
+that still share a bucket are compared where a sketch of their values allows a
+similarity of 0.8.
 """
 
 from __future__ import annotations
@@ -12,17 +15,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import words_of, written
+from .common import scratch, words_of, written
 from .components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS: at 0.8 all but 7 in a million.
 BANDS, ROWS = 30, 5
+#: Bands of the rounds: most near copies meet in the first few.
+ROUNDS = ((0, 3), (3, 9), (9, 30))
+#: A sketch has SKETCH_BITS bits of each value. Of pairs at 0.8 all but one in 10^8 differ
+#: in at most SKETCH_APART of the 150 (mean 26.3, deviation 4.7, plus six deviations).
+SKETCH_BITS, SKETCH_APART = 3, 54
 SEED = 42
 _RNG = np.random.default_rng(SEED)
 _MULTIPLY = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -42,19 +50,49 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(x), SEED) for x in zip(*(words[i:] for i in range(shingle)), strict=False)], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: its least values under ROWS multiply-shift hashes."""
+def least_values(hashes: np.ndarray) -> np.ndarray:
+    """The least values under BANDS * ROWS multiply-shift hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1 << 10):  # bounded memory for very long texts
         x = hashes[i : i + (1 << 10), None] * _MULTIPLY + _ADD
         least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
-    least = (least ^ (least >> np.uint64(32))).reshape(BANDS, ROWS) * _MIX
-    return (least ^ (least >> np.uint64(31))).sum(axis=1, dtype=np.uint64)
+    return least ^ (least >> np.uint64(32))
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each band."""
+    mixed = least.reshape(BANDS, ROWS) * _MIX
+    return (mixed ^ (mixed >> np.uint64(31))).sum(axis=1, dtype=np.uint64)
+
+
+_PER_LONG = 63 // SKETCH_BITS
+_LONGS = -(-BANDS * ROWS // _PER_LONG)
+#: The lowest bit of each value's bits.
+_LOW = sum(1 << SKETCH_BITS * i for i in range(_PER_LONG))
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS of each value, side by side in integers."""
+    values = np.zeros(_LONGS * _PER_LONG, np.uint64)
+    values[: len(least)] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS)
+    return (values.reshape(_LONGS, _PER_LONG) << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(SKETCH_BITS))).sum(axis=1, dtype=np.uint64)
+
+
+def apart(x: Column, y: Column) -> Column:
+    """In how many values two sketches differ."""
+    out = F.lit(0)
+    for i in range(_LONGS):
+        z = x[i].bitwiseXOR(y[i])
+        any_bit = z
+        for k in range(1, SKETCH_BITS):
+            any_bit = any_bit.bitwiseOR(F.shiftright(z, k))
+        out = out + F.bit_count(any_bit.bitwiseAND(F.lit(_LOW)))
+    return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, same: equal for equal sets, keys: one a band);
-    texts without words have none."""
+    """docs(doc_id, text) -> (doc_id, same: equal for equal sets, keys: one a band,
+    sketch); texts without words have none."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -63,10 +101,11 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = [(i, s) for i, s in zip(b.column(0).to_pylist(), (shingle_set(t.as_py()) for t in b.column(1)), strict=True) if len(s)]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for _, s in rows], np.uint64).view(np.int64)
-            keys = [bands(s).view(np.int64) for _, s in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(same), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
+            least = [least_values(s) for _, s in rows]
+            longs = lambda f: pa.array([f(x).view(np.int64) for x in least], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(same), longs(bands), longs(sketch)], ["doc_id", "same", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same long, keys array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -82,46 +121,68 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "same", "s"])
 
-    met = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(met, "doc_id", "left_semi")
-    sets = written(sets.mapInArrow(run, "node long, same long, s array<long>").dropDuplicates(["node", "same"]), "copies-sets")
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("same").alias("sa"), F.col("s").alias("x")), ["a", "sa"])
-    x = x.join(sets.select(F.col("node").alias("b"), F.col("same").alias("sb"), F.col("s").alias("y")), ["b", "sb"])
+    met = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("sa").alias("same")), F.struct(F.col("b").alias("node"), F.col("sb").alias("same")))).alias("m")).select("m.*").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(met.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = written(texts.mapInArrow(run, "node long, same long, s array<long>"), "copies-sets")
+    if not sets.groupBy("node", "same").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows
+        sets = written(sets.dropDuplicates(["node", "same"]), "copies-sets")
+    x = pairs.join(sets.select(F.col("node").alias("b"), F.col("same").alias("sb"), F.col("s").alias("y")), ["b", "sb"])
+    x = x.join(sets.select(F.col("node").alias("a"), F.col("same").alias("sa"), F.col("s").alias("x")), ["a", "sa"])
     both = F.size(F.array_intersect("x", "y"))
     return x.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs(doc_id, text, ...) -> links (a, b) over doc_ids, whose components are those
-    of all pairs of the given similarity or more (equal sets too)."""
-    signed = written(signatures(docs), "copies-signed")
-    nodes = signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys"))
-    copies = signed.join(nodes.select("same", "node"), "same").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    # A bucket of one document has no pairs.
-    rows = nodes.select("same", "node", F.posexplode("keys").alias("band", "key"))
-    heads = rows.groupBy("band", "key").agg(F.min(F.struct("node", "same")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = written(rows.join(heads, ["band", "key"]), "copies-buckets")
-    star = rows.where("same <> head.same").select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.same").alias("sa"), F.col("same").alias("sb")).distinct()
-    star = written(verified(written(star, "copies-star"), docs, similarity), "copies-linked")
-    # Those that the first members did not join are paired in buckets of several components.
-    links = written(star.union(copies), "copies-links")
-    parts = connected_components(links).withColumnRenamed("component", "c")
-    placed = rows.join(parts, "node", "left").select("band", "key", "node", "same", F.coalesce("c", "node").alias("c"), F.col("head.same").alias("first"))
-    open_ = placed.groupBy("band", "key").agg(F.count_distinct("c").alias("nc"), F.count("*").alias("n")).where("nc > 1 and n > 2").select("band", "key")
-    placed = written(placed.where("same <> first").join(open_, ["band", "key"], "left_semi"), "copies-open")
-    x, y = placed.alias("x"), placed.alias("y")
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))
-    rest = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.same").alias("sa"), F.col("y.same").alias("sb")).distinct()
-    return links.union(verified(written(rest, "copies-rest"), docs, similarity))
+def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text, ...) -> (doc_id, node: the smallest document with an equal
+    shingle set), and links (a, b) between nodes whose components are those of all
+    pairs of the given similarity (0.8 or more). Copies are one node, so they make no
+    links. Both are written tables."""
+    with scratch():
+        signed = written(signatures(docs), "copies-signed")
+        nodes = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("k")).select("same", "node", "k.*"), "copies-nodes")
+        places = written(signed.join(nodes.select("same", "node"), "same").select("doc_id", "node").distinct(), "copies-places", outer=True)
+        empty = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        links, placed = written(empty, "copies-links"), None
+        for low, high in ROUNDS:
+            placed = written(_buckets(nodes, links, low, high), "copies-buckets")
+            star = placed.where("c <> head.c").select(F.col("head.node").alias("a"), "node", F.col("head.same").alias("sa"), "same").distinct()
+            star = written(star.toDF("a", "b", "sa", "sb"), "copies-star")
+            links = written(links.union(verified(star, docs, similarity)), "copies-links")
+        # Nodes that no round has joined, bucket by bucket of all bands.
+        placed = _buckets(nodes, links, 0, BANDS).where("n > 2").join(nodes.select("same", "sketch"), "same")
+        placed = written(placed.where("same <> head.same").select("band", "key", "node", "same", "c", "sketch"), "copies-open")
+        x, y = placed.alias("x"), placed.alias("y")
+        met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (apart(F.col("x.sketch"), F.col("y.sketch")) <= SKETCH_APART)
+        rest = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.same").alias("sa"), F.col("y.same").alias("sb")).distinct()
+        rest = written(rest, "copies-rest")
+        return places, written(links.union(verified(rest, docs, similarity)), "copies-linked", outer=True)
+
+
+def _buckets(nodes: DataFrame, links: DataFrame, low: int, high: int) -> DataFrame:
+    """Rows (band, key, node, same, c, head, n) of the buckets of the bands low ..
+    high - 1 that hold nodes of several components; n is the bucket's number of nodes,
+    head its smallest one."""
+    parts = written(connected_components(links), "copies-parts").select("node", F.col("component").alias("c"))
+    of = nodes.join(parts, "node", "left").select("same", "node", F.coalesce("c", "node").alias("c"), F.slice("keys", low + 1, high - low).alias("keys"))
+    rows = written(of.select("same", "node", "c", F.posexplode("keys").alias("band", "key")), "copies-rows")
+    heads = rows.groupBy("band", "key").agg(F.min(F.struct("node", "same", "c")).alias("head"), F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    heads = written(heads.where("c0 < c1").drop("c0", "c1"), "copies-heads")
+    return rows.join(heads, ["band", "key"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group of documents that op2 groups or
-    that are similar, chains included; of repeated rows one stays. Rows without a
-    doc_id can't be told apart and stay."""
+    that are similar, chains included. Rows with an equal doc_id stay or go together;
+    those with an equal text, too, are one row (see simhash.one_row_each). Rows without
+    a doc_id can't be told apart and stay. Null and empty texts are near each other
+    (op2's fingerprint zero). An empty table gives an empty result; other columns stay."""
     known = docs.where("doc_id is not null")
-    close = simhash.near_duplicate_groups(known).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    parts = connected_components(close.union(similar_pairs(known)))
-    later = parts.where("node <> component").select(F.col("node").alias("doc_id"))
-    kept = known.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    with scratch():
+        close = simhash.near_duplicate_groups(known).select(F.col("doc_id").cast("long"), F.col("component_id").alias("group")).distinct()
+        places, links = similar_sets(known)
+        both = written(close.join(places, "doc_id", "left"), "copies-placed")
+        parts = written(connected_components(both.select(F.col("node").alias("a"), F.col("group").alias("b")).distinct().union(links)), "copies-parts")
+        later = both.join(parts, both.group == parts.node, "left").where(F.col("doc_id") > F.coalesce("component", "group")).select("doc_id")
+        later = written(later.distinct(), "copies-later", outer=True)
+    kept = simhash.one_row_each(known.join(later, "doc_id", "left_anti").select(docs.columns))
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)

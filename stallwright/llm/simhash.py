@@ -187,14 +187,23 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, distance: int = 3)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The row with the smallest doc_id of each group; of repeated rows one stays.
-    Rows without a doc_id can't be told apart and stay."""
+    """The row with the smallest doc_id of each group (see one_row_each). Rows without a
+    doc_id can't be told apart and stay."""
     groups = near_duplicate_groups(docs.where("doc_id is not null"), shingle, distance)
     first = groups.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(first.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = one_row_each(docs.join(first.distinct(), "doc_id", "left_semi").select(docs.columns))
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id and text; of several the one whose other columns, from
+    left to right, are the smallest (nulls first). Other texts under an equal doc_id stay."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest:
+        return docs.distinct()
+    return docs.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", "rest.*").select(docs.columns)
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir), shingle=3, distance=3)
 

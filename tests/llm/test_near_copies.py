@@ -43,3 +43,19 @@ def test_awkward_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in near_copies.keep_one(docs).collect()) == [0, 0, 1, 3, 5, 6]
     assert near_copies.keep_one(empty(spark)).count() == 0
+
+
+def test_equal_ids(spark):
+    rows = [(1, "a b c", "y", None), (1, "a b c", "x", 2), (1, "a b c", "x", None), (1, "d e f", "z", 1), (2, "A B C", "w", 1), (3, "d e f", "w", 1), (4, "g h", "w", 1), (4, "g h", "w", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int")
+    got = sorted(map(repr, map(tuple, near_copies.keep_one(docs).collect())))
+    assert got == sorted(map(repr, [(1, "a b c", "x", None), (1, "d e f", "z", 1), (4, "g h", "w", 1)]))
+
+
+def test_a_chain_over_copies(spark):
+    """Copies of one set stand in different op2 groups; all of them are one group here."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    near = edited(rng, " ".join(base), 2)
+    docs = spark.createDataFrame([(5, " ".join(base)), (9, " ".join(base)), (3, near), (7, near.upper()), (8, "other text")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [3, 8]

@@ -5,6 +5,8 @@ from stallwright.llm import decontaminate, mixing, quality
 
 from ..conftest import SMALL
 from .brute import closure, documents, empty, odd
+from .test_decontaminate import slow_leaks
+from .test_near_copies import shingles, similar
 from .test_simhash import slow_fingerprint
 from .test_token_files import slow as slow_tokens
 
@@ -16,12 +18,12 @@ def test_run_against_brute_force(spark):
     d = documents()
     fertility = quality.Fertility(public_tokenizers.path("piece_bpe_32k.model"))
     d = d[[quality.judge(fertility, quality.BANDS, t, x)[-1] for t, x in zip(d.text, d.lang)]]
-    fps = dict(zip(d.doc_id, map(slow_fingerprint, d.text)))
-    groups = closure(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    fps, sets = (dict(zip(d.doc_id, map(f, d.text))) for f in (slow_fingerprint, shingles))
+    groups = closure(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3 or similar(sets[a], sets[b]))
     d = d[[groups[i] == i for i in d.doc_id]]
-    grams = lambda t: {tuple(t.lower().replace(".", "").replace(",", "").split()[i : i + 8]) for i in range(len(t.split()) - 7)}
-    items = [g for g in map(grams, pd.read_parquet(f"{SMALL}/benchmark.parquet").text) if g]
-    d = d[[not any(len(g & mine) >= 0.8 * len(g) for g in items) for mine in map(grams, d.text)]]
+    items = pd.read_parquet(f"{SMALL}/benchmark.parquet")
+    leaks = slow_leaks(zip(d.doc_id, d.text), zip(items.item_id, items.text))
+    d = d[[i not in {doc for doc, _ in leaks} for i in d.doc_id]]
     import duckdb
 
     c = duckdb.connect()
