@@ -92,19 +92,33 @@ def ngrams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.element_at(F.transform(F.array(chars), grams), 1))).otherwise(F.array().cast("array<string>"))
 
 
-#: Entities of visible text and what they stand for (fixed values).
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+#: Entities of visible text and what they stand for (fixed values), in the order they
+#: are replaced.
+ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
+#: Tags of visible text and what stands for them (fixed values), in order.
+TAGS = {
+    "(?is)<style.*?</style>": " ",
+    "(?is)<script.*?</script>": " ",
+    "(?i)<br\\s*/?\\s*>": "\n",
+    "(?i)<li[^>]*>": "\n・",
+    "(?i)</(?:p|div|li|h[1-6]|ul|ol|table)>": "\n",
+    "(?i)</(?:td|th)>": " | ",
+    "(?i)</tr>": "\n",
+    "<[^>]+>": " ",
+}
 
 
 def visible_text(html: Column) -> Column:
-    """Text that a reader sees: without scripts, styles and tags; blocks end lines."""
-    t = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    t = F.regexp_replace(t, "(?i)<br[^>]*>|</(p|div|li|tr|h1|h2|h3)>", "\n")
-    t = F.regexp_replace(t, "<[^>]+>", " ")
+    """Text that a reader sees: without scripts, styles and tags; blocks end lines, list
+    items start with a dot, cells end with a bar; at most one blank line in a row."""
+    t = html
+    for tag, stands in TAGS.items():
+        t = F.regexp_replace(t, tag, stands)
     for entity, stands in ENTITIES.items():
-        t = F.replace(t, F.lit(entity), F.lit(stands))
-    t = F.regexp_replace(t, "[ \\t]+", " ")
-    return F.regexp_replace(F.regexp_replace(t, " ?\\n[ \\n]*", "\n"), "^[ \\n]+|[ \\n]+$", "")
+        t = F.regexp_replace(t, f"(?i){entity}", stands)
+    t = F.regexp_replace(t, "\r\n?", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), " *\n *", "\n")
+    return F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), "^[ \n]+|[ \n]+$", "")
 
 
 def repeated_marks(c: Column) -> Column:
@@ -139,3 +153,8 @@ def real_date(c: Column) -> Column:
 def zoned_timestamp(c: Column) -> Column:
     """An ISO timestamp that states its zone."""
     return F.coalesce(c.rlike("^\\d{4}-\\d{2}-\\d{2}T.*(Z|[+-]\\d{2}:\\d{2})$") & F.try_to_timestamp(c).isNotNull(), F.lit(False))
+
+
+def lenient_timestamp(c: Column) -> Column:
+    """An ISO date or timestamp, in UTC without a zone; null for anything else."""
+    return F.try_to_timestamp(F.nullif(F.trim(c), F.lit(""))).cast("timestamp_ntz")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregations, classification, lifecycle, listing_lifecycle, lookups, registry, reviews, texts
+from . import aggregations, candidates, classification, lifecycle, landing, listing_lifecycle, lookups, registry, reviews, texts
 
-__all__ = ["aggregations", "classification", "lifecycle", "listing_lifecycle", "lookups", "reviews", "texts"]
+__all__ = ["aggregations", "candidates", "classification", "landing", "lifecycle", "listing_lifecycle", "lookups", "reviews", "texts"]
 
 
 def queries() -> dict:

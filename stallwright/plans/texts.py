@@ -115,9 +115,14 @@ def html_cards(t: Tables) -> DataFrame:
     return link_cards(t.pages, "page_id", "html")
 
 
-@query("""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS x FROM pages), b AS (SELECT page_id, regexp_replace(x, '(?i)<br[^>]*>|</(p|div|li|tr|h1|h2|h3)>', chr(10), 'g') AS x FROM a),
-c AS (SELECT page_id, regexp_replace(x, '<[^>]+>', ' ', 'g') AS x FROM b), d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM c),
-e AS (SELECT page_id, regexp_replace(x, '[ \\t]+', ' ', 'g') AS x FROM d) SELECT page_id, sha256(regexp_replace(regexp_replace(x, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS text_sha, length(regexp_replace(regexp_replace(x, ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g'))::BIGINT AS n_chars FROM e""")
+@query("""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<style.*?</style>', ' ', 'g'), '(?is)<script.*?</script>', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)<br\\s*/?\\s*>', chr(10), 'g'), '(?i)<li[^>]*>', chr(10) || '・', 'g') AS x FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</(p|div|li|h1|h2|h3|h4|h5|h6|ul|ol|table)>', chr(10), 'g'), '(?i)</t[dh]>', ' | ', 'g') AS x FROM b),
+d AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</tr>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM c),
+e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&lt;', '<', 'g'), '(?i)&gt;', '>', 'g'), '(?i)&quot;', '"', 'g'), '&#39;', chr(39), 'g') AS x FROM d),
+f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g') AS x FROM e),
+g AS (SELECT page_id, trim(regexp_replace(x, '\\n\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS x FROM f)
+SELECT page_id, sha256(x) AS text_sha, length(x)::BIGINT AS n_chars FROM g""")
 def visible_text(t: Tables) -> DataFrame:
     seen = text.visible_text(F.col("html"))
     return t.pages.select("page_id", F.sha2(seen, 256).alias("text_sha"), F.length(seen).cast("long").alias("n_chars"))

@@ -45,3 +45,25 @@ def test_product_cards(spark):
     df = spark.createDataFrame([(1, page), (2, None)], "k int, html string")
     got = html.product_cards(df, "k", "html", '(?s)<div class="c">.*?</div>', {"url": 'href="([^"]*)"', "price": "<b>([0-9]+)</b>"}, "PR", 10)
     assert [tuple(r) for r in got.orderBy("rank").collect()] == [(1, 1, "/1", "10"), (1, 2, "/3", None)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_land_raw_keeps_every_row_of_a_large_input(spark, adaptive):
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("k"))
+        rows = files.land_raw(df, "run", ["k"]).select("row_index", F.get_json_object("raw", "$.k").cast("long").alias("k"))
+        got = rows.agg(F.count("*"), F.count_distinct("row_index"), F.min("row_index"), F.max("row_index"), F.sum((F.col("row_index") != F.col("k") + 1).cast("int"))).first()
+        assert tuple(got) == (n, n, 1, n, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def test_reports_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    files.write_report(df, str(tmp_path / "r"), df.agg(F.count("*").alias("n")))
+    files.write_report(df, str(tmp_path / "r"), df.agg(F.count("*").alias("n")))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "r/rows")).select("k", "v").collect())) == [(1, "a"), (2, None)]
+    assert spark.read.json(str(tmp_path / "r/summary")).first().n == 2
