@@ -28,6 +28,17 @@ def dup_groups(t: Tables) -> DataFrame:
     return aggregates.duplicate_groups(t.documents.select(F.sha2("text", 256).alias("text_hash"), "doc_id"), ["text_hash"], "doc_id")
 
 
+@query("""WITH h AS (SELECT 'text' AS kind, sha256(text) AS hash, doc_id FROM documents UNION ALL SELECT 'size and language', sha256(lang || ':' || n_chars), doc_id FROM documents), g AS (SELECT hash, list_sort(list(doc_id)) AS members, min(kind) AS kind FROM h WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1)
+SELECT members, min(kind) AS kind FROM g GROUP BY 1""")
+def dup_member_lists(t: Tables) -> DataFrame:
+    """Groups of equal documents by either of two hashes, with their sorted members; a
+    group that both hashes find counts once. For groups whose lists fit in a row."""
+    h = lambda kind, c: t.documents.select(F.lit(kind).alias("kind"), F.sha2(c, 256).alias("hash"), "doc_id")
+    both = h("text", F.col("text")).union(h("size and language", F.concat("lang", F.lit(":"), F.col("n_chars").cast("string")))).where("hash is not null")
+    groups = both.groupBy("hash").agg(F.array_sort(F.collect_list("doc_id")).alias("members"), F.min("kind").alias("kind")).where(F.size("members") > 1)
+    return groups.groupBy("members").agg(F.min("kind").alias("kind"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n_members, min(l_partkey) AS first_member, max(l_partkey) AS last_member FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def dup_line_numbers(t: Tables) -> DataFrame:
     return aggregates.duplicate_groups(t.lineitem, ["l_orderkey", "l_linenumber"], "l_partkey")

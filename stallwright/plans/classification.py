@@ -16,12 +16,16 @@ HIGH_VALUE = 450_000
 RULES_SQL = f"""
 missing_lines AS (SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)),
 free_lines AS (SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_discount = 0)),
+lost_customers AS (SELECT o_orderkey FROM orders o WHERE o_custkey % 97 = 5 OR NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)),
+double_lines AS (SELECT l_orderkey AS o_orderkey FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
 rules AS (
   SELECT o_orderkey, 'missing_lines' AS rule, 75 AS priority, 'high' AS severity, 1 AS business_rank, 1 AS seq, 'order has no lines' AS reason FROM missing_lines
   UNION ALL SELECT o_orderkey, 'closed_high_value', 65, 'medium', 2, 2, 'closed order of high value' FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > {HIGH_VALUE}
   UNION ALL SELECT o_orderkey, 'urgent_open', 75, 'high', 2, 3, 'urgent order is open' FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'
   UNION ALL SELECT o_orderkey, 'no_discount', 30, 'low', 0, 4, 'a line has no discount' FROM free_lines
-  UNION ALL SELECT o_orderkey, 'partial', 50, 'medium', 0, 5, 'order is partly delivered' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH'))"""
+  UNION ALL SELECT o_orderkey, 'partial', 50, 'medium', 0, 5, 'order is partly delivered' FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+  UNION ALL SELECT o_orderkey, 'lost_customer', 90, 'critical', 3, 6, 'customer of the order is unknown' FROM lost_customers
+  UNION ALL SELECT o_orderkey, 'double_lines', 50, 'low', 1, 7, 'a part stands in several lines' FROM double_lines)"""
 
 COLLAPSED_SQL = f"""
 {RULES_SQL},
@@ -52,12 +56,15 @@ def classify(t: Tables) -> DataFrame:
     each rule that an order breaks."""
     orders, lines = t.orders, t.lineitem
     status, urgent = F.col("o_orderstatus"), F.col("o_orderpriority")
+    doubled = lines.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey")
     branches = [
         (joins.missing(orders, lines, "o_orderkey", "l_orderkey"), "missing_lines", 75, "high", 1, "order has no lines"),
         (orders.where((status == "F") & (F.col("o_totalprice") > HIGH_VALUE)), "closed_high_value", 65, "medium", 2, "closed order of high value"),
         (orders.where((status == "O") & (urgent == "1-URGENT")), "urgent_open", 75, "high", 2, "urgent order is open"),
         (joins.present(orders, lines.where("l_discount = 0"), "o_orderkey", "l_orderkey"), "no_discount", 30, "low", 0, "a line has no discount"),
         (orders.where((status == "P") & urgent.isin("1-URGENT", "2-HIGH")), "partial", 50, "medium", 0, "order is partly delivered"),
+        (joins.missing(orders, t.customer.where("c_custkey % 97 <> 5"), "o_custkey", "c_custkey"), "lost_customer", 90, "critical", 3, "customer of the order is unknown"),
+        (joins.present(orders, doubled, "o_orderkey", "l_orderkey"), "double_lines", 50, "low", 1, "a part stands in several lines"),
     ]
     rows = [
         df.select("o_orderkey", F.lit(rule).alias("rule"), F.lit(p).alias("priority"), F.lit(sev).alias("severity"), F.lit(b).alias("business_rank"), F.lit(i).alias("seq"), F.lit(why).alias("reason"))
@@ -76,6 +83,15 @@ def rule_collapse_work_items(t: Tables) -> DataFrame:
     return aggregates.collapse_by_key(classify(t), "o_orderkey")
 
 
+@query(f"""WITH {COLLAPSED_SQL}, stored AS (SELECT o_orderkey, 'double_lines' AS primary_rule, 1 AS max_priority FROM orders WHERE o_orderkey % 3 = 0)
+SELECT o_orderkey, primary_rule, max_priority FROM items UNION ALL SELECT * FROM stored WHERE o_orderkey NOT IN (SELECT o_orderkey FROM items)""")
+def work_item_upsert(t: Tables) -> DataFrame:
+    """Today's work items over the stored ones; a second run changes nothing."""
+    items = aggregates.collapse_by_key(classify(t), "o_orderkey").select("o_orderkey", "primary_rule", "max_priority")
+    stored = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("double_lines").alias("primary_rule"), F.lit(1).alias("max_priority"))
+    return merges.upsert(merges.upsert(stored, items, ["o_orderkey"]), items, ["o_orderkey"])
+
+
 @query(f"WITH {COLLAPSED_SQL} SELECT o_orderkey, primary_rule, max_priority FROM items ORDER BY max_priority DESC, o_orderkey LIMIT 200")
 def workqueue_topk(t: Tables) -> DataFrame:
     """The 200 most urgent work items; a top-k report."""

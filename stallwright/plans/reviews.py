@@ -36,14 +36,14 @@ def review_pending(t: Tables) -> DataFrame:
     return merges.insert_new(t.labels.where("quality = 1").select("doc_id"), t.documents.select("doc_id", "lang"), ["doc_id"])
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_linenumber AS attempt, bool_or(l_returnflag <> 'R') AS valid FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2)
-SELECT l_orderkey, CASE WHEN bool_or(attempt = 1 AND valid) THEN 'valid' WHEN bool_or(attempt = 2 AND valid) THEN 'repaired' WHEN max(attempt) = 2 THEN 'invalid' ELSE 'failed' END AS disposition, count(*) AS n_attempts FROM a GROUP BY 1""")
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber AS attempt, bool_or(l_returnflag <> 'R') AS valid FROM lineitem GROUP BY 1, 2), f AS (SELECT l_orderkey, min(attempt) FILTER (WHERE valid) AS first_valid, min(attempt) AS first, count(*) AS n_attempts FROM a GROUP BY 1)
+SELECT l_orderkey, first_valid, CASE WHEN first_valid = first THEN 'valid' WHEN first_valid IS NOT NULL THEN 'repaired' WHEN n_attempts > 1 THEN 'invalid' ELSE 'failed' END AS disposition, n_attempts FROM f""")
 def repair_attempts(t: Tables) -> DataFrame:
-    """Two attempts: valid at once, repaired, invalid after both, failed with no second."""
-    a = t.lineitem.where("l_linenumber <= 2").groupBy("l_orderkey", F.col("l_linenumber").alias("attempt")).agg(F.bool_or(F.col("l_returnflag") != "R").alias("valid"))
-    first, second = F.bool_or((F.col("attempt") == 1) & F.col("valid")), F.bool_or((F.col("attempt") == 2) & F.col("valid"))
-    state = F.when(first, "valid").when(second, "repaired").when(F.max("attempt") == 2, "invalid").otherwise("failed")
-    return a.groupBy("l_orderkey").agg(state.alias("disposition"), F.count("*").alias("n_attempts"))
+    """All attempts: valid at once, repaired later, invalid after several, failed with one."""
+    a = t.lineitem.groupBy("l_orderkey", F.col("l_linenumber").alias("attempt")).agg(F.bool_or(F.col("l_returnflag") != "R").alias("valid"))
+    f = a.groupBy("l_orderkey").agg(F.min(F.when(F.col("valid"), F.col("attempt"))).alias("first_valid"), F.min("attempt").alias("first"), F.count("*").alias("n_attempts"))
+    state = F.when(F.col("first_valid") == F.col("first"), "valid").when(F.col("first_valid").isNotNull(), "repaired").when(F.col("n_attempts") > 1, "invalid").otherwise("failed")
+    return f.select("l_orderkey", "first_valid", state.alias("disposition"), "n_attempts")
 
 
 #: Issue types: condition, severity, category (of the line tables).
@@ -63,6 +63,14 @@ def issue_report(t: Tables) -> DataFrame:
     return issues(t).groupBy("category", "severity").agg(F.count("*").alias("n_issues"), F.count_distinct("l_orderkey").alias("n_orders"))
 
 
+@query(f"WITH {_ISSUE_SQL} SELECT l_orderkey, category, severity, count(*) AS n_issues, list_sort(list(type || ' of line ' || l_linenumber)) AS issues FROM issues GROUP BY 1, 2, 3")
+def order_issue_lists(t: Tables) -> DataFrame:
+    """Issues of each order by category and severity, with their list. An order has a
+    bounded number of lines."""
+    said = F.concat("type", F.lit(" of line "), F.col("l_linenumber").cast("string"))
+    return issues(t).groupBy("l_orderkey", "category", "severity").agg(F.count("*").alias("n_issues"), F.array_sort(F.collect_list(said)).alias("issues"))
+
+
 @query(f"""WITH {_ISSUE_SQL}, f AS (SELECT l_orderkey, type, min(category) AS category, min(l_linenumber) AS first_line, max({_RANK_SQL}) AS worst FROM issues GROUP BY 1, 2)
 SELECT l_orderkey, type, first_line, CASE category WHEN 'pricing' THEN 'check_price' WHEN 'returns' THEN 'review_return' ELSE 'check_stock' END AS recommendation FROM f
 UNION ALL SELECT l_orderkey, 'score', NULL, 'human_review' FROM f GROUP BY 1 HAVING sum(worst) >= 8""")
@@ -104,11 +112,11 @@ def assortment_strategy(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 40 THEN 'active' WHEN l_quantity < 2 THEN 'sold_out' ELSE 'unknown' END AS by_quantity,
-CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'active' WHEN l_returnflag IN ('A', 'N', 'R') THEN 'inactive' ELSE 'unknown' END AS by_flags FROM lineitem WHERE l_discount = 0.05""")
+CASE WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'active' WHEN l_returnflag IN ('A', 'N', 'R') THEN 'inactive' ELSE 'unknown' END AS by_flags FROM lineitem""")
 def status_maps(t: Tables) -> DataFrame:
     q, r, s = F.col("l_quantity"), F.col("l_returnflag"), F.col("l_linestatus")
     flags = F.when((r == "N") & (s == "O"), "active").when(r.isin("A", "N", "R"), "inactive").otherwise("unknown")
-    return t.lineitem.where("l_discount = 0.05").select("l_orderkey", "l_linenumber", "l_partkey", F.when(q > 40, "active").when(q < 2, "sold_out").otherwise("unknown").alias("by_quantity"), flags.alias("by_flags"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(q > 40, "active").when(q < 2, "sold_out").otherwise("unknown").alias("by_quantity"), flags.alias("by_flags"))
 
 
 @query("""SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_totalprice >= 400000 AND contains(lower(concat_ws(' ', o_orderpriority, o_orderstatus)), 'urgent') ORDER BY o_orderdate, o_orderkey LIMIT 25 OFFSET 50""")

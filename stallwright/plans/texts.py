@@ -13,6 +13,8 @@ from ..sources.tables import Tables
 from . import scores
 from .registry import query
 
+#: Benchmark grams beyond so many are joined by a shuffle.
+BROADCAST_GRAMS = 1_000_000
 TERMS = ("the", "and", "tion", "worthless", "License")
 TOPICS = (("licen", "gnu"), ("tion", "ment"), ("zzz",))
 
@@ -92,21 +94,27 @@ bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(s) - 26),
 dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(s) - 26), lambda i: substr(s, i, 28))) AS gram FROM d WHERE length(s) >= 28)
 SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN bg USING (gram) GROUP BY 1, 2""")
 def ngram_overlap(t: Tables) -> DataFrame:
-    """Documents that share a 28-character stretch with a benchmark item. The grams of
-    the short side are hashed into the join; whole texts are read."""
+    """Documents that share a 28-character stretch with a benchmark item. Up to
+    BROADCAST_GRAMS grams of the items go to the documents, whose own grams are then
+    not shuffled; beyond them both sides are."""
     grams = lambda df, key: df.select(key, F.explode(text.ngrams(text.squeeze(F.col("text")), 28)).alias("gram"))
-    return grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id"), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    items = grams(t.benchmark, "item_id")
+    if items.count() <= BROADCAST_GRAMS:
+        items = F.broadcast(items)
+    return grams(t.documents, "doc_id").join(items, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
 
-@query("""WITH d AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents WHERE lang = 'en'), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en')
-SELECT term, count(*) AS df FROM d, n WHERE length(term) BETWEEN 2 AND 24 GROUP BY term, n HAVING count(*) >= greatest(2, ceil(0.3 * n)) ORDER BY df DESC, term LIMIT 20""")
+@query("""WITH d AS (SELECT DISTINCT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS term FROM documents), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1),
+c AS (SELECT d.lang, term, count(*) AS df, max(n) AS n FROM d JOIN n ON n.lang IS NOT DISTINCT FROM d.lang WHERE length(term) BETWEEN 2 AND 24 GROUP BY 1, 2)
+SELECT lang, term, df FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) AS r FROM c WHERE df >= greatest(2, ceil(0.3 * n))) WHERE r <= 20""")
 def df_terms(t: Tables) -> DataFrame:
-    """The 20 terms that most English documents have, of those in 30 % of them; a top-k report."""
-    english = t.documents.where("lang = 'en'")
-    terms = aggregates.histogram(english, F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w).between(2, 24)), "term").withColumnRenamed("n", "df")
-    n = english.agg(F.count("*").alias("n_docs"))
-    common = terms.join(F.broadcast(n)).where(F.col("df") >= F.greatest(F.lit(2), F.ceil(0.3 * F.col("n_docs")))).select("term", "df")
-    return ordering.top(common, [F.desc("df"), F.asc("term")], 20)
+    """For each language (null is one of its own) the 20 terms that most of its documents
+    have, of those in 30 % of them; a top-k report."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^\\p{L}]+"), lambda w: F.length(w).between(2, 24)))
+    counts = t.documents.select("lang", F.explode(words).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df"))
+    n = t.documents.groupBy(F.col("lang").alias("of_lang")).agg(F.count("*").alias("n_docs"))
+    common = counts.join(n, F.col("lang").eqNullSafe(F.col("of_lang"))).where(F.col("df") >= F.greatest(F.lit(2), F.ceil(0.3 * F.col("n_docs"))))
+    return ordering.running_position(common.select("lang", "term", "df"), ["lang"], [F.desc("df"), F.asc("term")], "place").where("place <= 20").drop("place")
 
 
 @query("""SELECT page_id, c.pos::INTEGER AS card, c.href AS href, c.label AS label FROM (SELECT page_id, unnest(list_transform(range(len(h)), lambda i: {'pos': i + 1, 'href': h[i + 1], 'label': l[i + 1]})) AS c FROM (
