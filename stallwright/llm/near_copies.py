@@ -142,14 +142,15 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         nodes = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("k")).select("same", "node", "k.*"), "copies-nodes")
         places = written(signed.join(nodes.select("same", "node"), "same").select("doc_id", "node").distinct(), "copies-places", outer=True)
         empty = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        links, placed = written(empty, "copies-links"), None
+        links = written(empty, "copies-links")
         for low, high in ROUNDS:
-            placed = written(_buckets(nodes, links, low, high), "copies-buckets")
+            placed = written(_buckets(nodes, _labels(links), low, high), "copies-buckets")
             star = placed.where("c <> head.c").select(F.col("head.node").alias("a"), "node", F.col("head.same").alias("sa"), "same").distinct()
             star = written(star.toDF("a", "b", "sa", "sb"), "copies-star")
             links = written(links.union(verified(star, docs, similarity)), "copies-links")
         # Nodes that no round has joined, bucket by bucket of all bands.
-        placed = _buckets(nodes, links, 0, BANDS).where("n > 2").join(nodes.select("same", "sketch"), "same")
+        parts = connected_components(links).withColumnRenamed("component", "c")
+        placed = _buckets(nodes, parts, 0, BANDS).where("n > 2").join(nodes.select("same", "sketch"), "same")
         placed = written(placed.where("same <> head.same").select("band", "key", "node", "same", "c", "sketch"), "copies-open")
         x, y = placed.alias("x"), placed.alias("y")
         met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (apart(F.col("x.sketch"), F.col("y.sketch")) <= SKETCH_APART)
@@ -158,11 +159,21 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         return places, written(links.union(verified(rest, docs, similarity)), "copies-linked", outer=True)
 
 
-def _buckets(nodes: DataFrame, links: DataFrame, low: int, high: int) -> DataFrame:
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, c): of linked nodes the smallest neighbour's smallest neighbour. Nodes with
+    one label are in one component; a component may have several, and is then compared
+    more often than it has to be."""
+    both = links.union(links.select("b", "a")).toDF("node", "other")
+    near = written(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("c")), "copies-near")
+    far = near.select(F.col("node").alias("c"), F.col("c").alias("farther"))
+    return near.join(far, "c").select("node", F.least("c", "farther").alias("c"))
+
+
+def _buckets(nodes: DataFrame, parts: DataFrame, low: int, high: int) -> DataFrame:
     """Rows (band, key, node, same, c, head, n) of the buckets of the bands low ..
-    high - 1 that hold nodes of several components; n is the bucket's number of nodes,
-    head its smallest one."""
-    parts = written(connected_components(links), "copies-parts").select("node", F.col("component").alias("c"))
+    high - 1 that hold nodes of several parts (node, c); n is the bucket's number of
+    nodes, head its smallest one."""
+    parts = written(parts.select("node", "c"), "copies-parts")
     of = nodes.join(parts, "node", "left").select("same", "node", F.coalesce("c", "node").alias("c"), F.slice("keys", low + 1, high - low).alias("keys"))
     rows = written(of.select("same", "node", "c", F.posexplode("keys").alias("band", "key")), "copies-rows")
     heads = rows.groupBy("band", "key").agg(F.min(F.struct("node", "same", "c")).alias("head"), F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
