@@ -97,3 +97,10 @@ def issue_groups(issues: DataFrame, key: str) -> DataFrame:
     issues and the priority of one work item for all of them."""
     g = issues.groupBy(key).agg(F.max_by("severity", severity_rank("severity")).alias("severity"), F.count("*").alias("n_issues"), F.avg("confidence").alias("c"))
     return g.select(key, "severity", "n_issues", work_item_priority(F.col("severity"), F.col("n_issues"), F.col("c")).alias("priority"))
+
+
+def merged_json(c: Column, more: Column) -> Column:
+    """A flat JSON object with the entries of a map over its own; other keys stay."""
+    own = F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(own, lambda k, v: ~F.map_contains_key(more, k))
+    return F.to_json(F.map_concat(kept, more))

@@ -69,3 +69,10 @@ def activate(versions: DataFrame, scope: Sequence[str], version: str, status: st
     go = F.coalesce("__go", F.lit(False))
     new = F.when(go & (F.col(version) == wanted) & (F.col(status) == "draft"), "active").when(go & (F.col(status) == "active"), "retired").otherwise(F.col(status))
     return versions.join(draft, on, "left").select(*[new.alias(status) if c == status else F.col(c) for c in versions.columns])
+
+
+def update_where(df: DataFrame, condition: Column, values: dict[str, Column], touched: str | None = None, now: Column | None = None) -> DataFrame:
+    """Rows that meet the condition take the values, and the time in ``touched``; others,
+    and those for which it is unknown, stay as they are."""
+    new = values | ({touched: now} if touched else {})
+    return df.select(*[F.when(condition, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
