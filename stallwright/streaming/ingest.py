@@ -37,3 +37,18 @@ def ingest_batch(read_stored: Callable[[], DataFrame], write: Callable[[DataFram
 def windowed_counts(events: DataFrame, ts: str, by: list[str], late: str = "1 hour", size: str = "1 day") -> DataFrame:
     """Beyond the catalog operators: counts in tumbling windows with a watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), *by).agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("window_start"), *by, "n_events")
+
+
+def work_queue(requests: Callable[[], DataFrame], work: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], most: int):
+    """A function for foreachBatch over a ticking stream: each batch takes the ``most``
+    queued requests(id, status, priority) of the highest priority, oldest ids first, and
+    stores what ``work`` makes of them (id, status succeeded or failed). There is one
+    writer, so no two batches claim a request; a batch that is run again finds its
+    requests settled and takes the next. Requests without an answer are failed."""
+
+    def run(tick: DataFrame, batch_id: int) -> None:
+        queued = requests().where("status = 'queued'").orderBy(F.desc("priority"), "id").limit(most).select("id", "priority")
+        answers = work(queued).select("id", F.when(F.col("status").isin("succeeded", "failed"), F.col("status")).alias("answer"))
+        store(queued.join(answers, "id", "left").select("id", F.coalesce("answer", F.lit("failed")).alias("status"), "priority"))
+
+    return run

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stallwright.operators import lifecycle
 from stallwright.plans.lifecycle import STEPS
-from stallwright.streaming.ingest import gate, ingest_batch, windowed_counts
+from stallwright.streaming.ingest import gate, ingest_batch, windowed_counts, work_queue
 from stallwright.streaming.lifecycle import stream_fold
 
 from .conftest import SMALL
@@ -52,3 +52,22 @@ def test_gate_rejects_whole_batches(spark):
 def test_windowed_counts_in_batch(spark, tables):
     got = windowed_counts(tables.events, "ts", ["event_type"]).agg(F.sum("n_events").alias("n")).first().n
     assert got == tables.events.count()
+
+
+def test_work_queue_settles_each_request_once(spark, tmp_path):
+    settled, ticks = str(tmp_path / "settled"), str(tmp_path / "ticks")
+    schema = "id long, status string, priority int"
+    spark.createDataFrame([], schema).write.parquet(settled)
+    first = spark.createDataFrame([(i, "queued", i % 3) for i in range(7)] + [(8, "failed", 9)], schema)
+    for i in range(3):
+        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(ticks)
+    requests = lambda: first.join(spark.read.schema(schema).parquet(settled), "id", "left_anti")
+    work = lambda q: q.where("id <> 5").select("id", F.when(F.col("id") == 2, "failed").otherwise("succeeded").alias("status"))
+    run = work_queue(requests, work, lambda df: df.write.mode("append").parquet(settled), 3)
+    q = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(ticks).writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "ck")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted((r.id, r.status) for r in spark.read.parquet(settled).collect())
+    assert got == [(0, "succeeded"), (1, "succeeded"), (2, "failed"), (3, "succeeded"), (4, "succeeded"), (5, "failed"), (6, "succeeded")]
