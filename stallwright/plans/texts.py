@@ -38,7 +38,7 @@ def _listings(t: Tables) -> DataFrame:
 
 @query(f"""WITH x AS ({_TEXT_LISTING}), y AS (SELECT *, trim(title, ' ') AS t, trim(description, ' ') AS d FROM x),
 s AS (SELECT *, greatest(0, 100 - CASE WHEN t = '' THEN 80 ELSE CASE WHEN length(t) < 18 THEN 25 ELSE 0 END + CASE WHEN contains(lower(t), category) THEN 0 ELSE 15 END + CASE WHEN t LIKE '%!!%' OR t LIKE '%★★%' THEN 20 ELSE 0 END END) AS title_score,
-  greatest(0, 100 - CASE WHEN d = '' THEN 55 ELSE CASE WHEN length(d) < 80 THEN 30 ELSE 0 END + CASE WHEN regexp_matches(d, '(?i)(shipping|condition)') THEN 0 ELSE 15 END + CASE WHEN regexp_matches(d, '(?i)(sku|spu|material|size|color)') THEN 0 ELSE 15 END END) AS description_score,
+  greatest(0, 100 - CASE WHEN d = '' THEN 55 ELSE CASE WHEN length(d) < 80 THEN 30 ELSE 0 END + CASE WHEN regexp_matches(d, '(?i)(shipping|condition)') THEN 0 ELSE 15 END + CASE WHEN regexp_matches(d, '(?i)(sku|spu|material|size|colou?r)') THEN 0 ELSE 15 END END) AS description_score,
   100 - CASE images WHEN 0 THEN 35 WHEN 1 THEN 20 ELSE 0 END AS image_score,
   CASE WHEN price IS NULL OR price < 300 THEN 'high' WHEN price > 500000 THEN 'medium' WHEN stock <= 0 AND status = 'active' THEN 'medium' ELSE 'low' END AS pricing_risk FROM y),
 o AS (SELECT *, least(100, greatest(0, floor(title_score * 0.3::DOUBLE + description_score * 0.3::DOUBLE + image_score * 0.2::DOUBLE + CASE pricing_risk WHEN 'high' THEN 35 WHEN 'medium' THEN 70 ELSE 100 END * 0.2::DOUBLE + 0.5)))::BIGINT AS overall_score FROM s)
@@ -67,8 +67,9 @@ c AS (SELECT doc_id, {_share_sql('sb', DECISION, 40)}::BIGINT AS decision,
    + CASE WHEN {' OR '.join(f"(length(sb) - length(replace(sb, '{p}', ''))) // {len(p)} > 4" for p in PRODUCT)} THEN 0 ELSE 3 END)::BIGINT AS readability FROM y)
 SELECT *, decision + title_quality + differentiation + readability AS total FROM c""")
 def commercial_score(t: Tables) -> DataFrame:
-    parts = scores.commercial(F.col("title"), F.col("description"), DECISION, TITLE_TOPICS, DIFFERENT, PRODUCT, (30, 200), (120, 3000))
-    df = _listings(t).select("doc_id", *[c.alias(k) for k, c in parts.items()])
+    parts = scores.commercial(F.col("title"), F.col("description"), DECISION, TITLE_TOPICS, DIFFERENT, PRODUCT, (30, 200), (120, 3000), (F.col("st"), F.col("sb")))
+    listings = _listings(t).select("doc_id", "title", "description", text.squeeze(F.col("title")).alias("st"), text.squeeze(F.concat_ws("\n", "title", "description")).alias("sb"))
+    df = listings.select("doc_id", *[c.alias(k) for k, c in parts.items()])
     return df.withColumn("total", F.col("decision") + F.col("title_quality") + F.col("differentiation") + F.col("readability"))
 
 
