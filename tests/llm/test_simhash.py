@@ -79,3 +79,18 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_components_of_few_and_many_edges(spark, monkeypatch):
+    import random
+
+    from stallwright.llm import components
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, i) for i in range(200, 230)] + [(7, 7), (None, 3)] + [(i, i + 1) for i in range(300, 330)]
+    want = closure(sorted({x for e in edges if None not in e for x in e}), lambda a, b: (a, b) in edges or (b, a) in edges)
+    linked = {x for a, b in edges if a != b and None not in (a, b) for x in (a, b)}
+    for few in (0, 200_000):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {n: c for n, c in want.items() if n in linked}
