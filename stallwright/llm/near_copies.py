@@ -5,9 +5,10 @@ similarity of 0.8 or more, beside those that op2 groups. Equal sets are one node
 bands are taken in groups: in a bucket (an equal band) the nodes of other components
 than that of its smallest node are compared with that node, and what is similar joins
 its component before the next group, so a large group of near copies is compared a few
-times a node and makes no square of pairs. At the end nodes of different components
-that still share a bucket are compared where a sketch of their values allows a
-similarity of 0.8.
+times a node and makes no square of pairs. Nodes of different components that still
+share a bucket at the end meet once more in an exact prefix join: sets of a similarity
+of 0.8 share one of the rarest fifth of their shingles, so copies with many edits of
+their own meet nobody. Pairs are compared where the bitmaps of their sets allow 0.8.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 #: Bands of the rounds: most near copies meet in the first few.
 ROUNDS = ((0, 3), (3, 9), (9, 30))
-#: A sketch has SKETCH_BITS bits of each value. Of pairs at 0.8 all but one in 10^8 differ
-#: in at most SKETCH_APART of the 150 (mean 26.3, deviation 4.7, plus six deviations).
-SKETCH_BITS, SKETCH_APART = 3, 54
+#: Bits of a set's bitmap. Two bitmaps differ in no more bits than the sets in elements.
+BITMAP = 4_096
 SEED = 42
 _RNG = np.random.default_rng(SEED)
 _MULTIPLY = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -65,34 +65,22 @@ def bands(least: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(31))).sum(axis=1, dtype=np.uint64)
 
 
-_PER_LONG = 63 // SKETCH_BITS
-_LONGS = -(-BANDS * ROWS // _PER_LONG)
-#: The lowest bit of each value's bits.
-_LOW = sum(1 << SKETCH_BITS * i for i in range(_PER_LONG))
-
-
-def sketch(least: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS of each value, side by side in integers."""
-    values = np.zeros(_LONGS * _PER_LONG, np.uint64)
-    values[: len(least)] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH_BITS)
-    return (values.reshape(_LONGS, _PER_LONG) << (np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(SKETCH_BITS))).sum(axis=1, dtype=np.uint64)
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of BITMAP ranges of hashes that has one, as integers."""
+    at = hashes >> np.uint64(64 - (BITMAP - 1).bit_length())
+    out = np.zeros(BITMAP // 64, np.uint64)
+    np.bitwise_or.at(out, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    return out
 
 
 def apart(x: Column, y: Column) -> Column:
-    """In how many values two sketches differ."""
-    out = F.lit(0)
-    for i in range(_LONGS):
-        z = x[i].bitwiseXOR(y[i])
-        any_bit = z
-        for k in range(1, SKETCH_BITS):
-            any_bit = any_bit.bitwiseOR(F.shiftright(z, k))
-        out = out + F.bit_count(any_bit.bitwiseAND(F.lit(_LOW)))
-    return out
+    """In how many bits two bitmaps differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, same: equal for equal sets, keys: one a band,
-    sketch); texts without words have none."""
+    """docs(doc_id, text) -> (doc_id, same: equal for equal sets, keys: one a band);
+    texts without words have none."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -101,16 +89,15 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = [(i, s) for i, s in zip(b.column(0).to_pylist(), (shingle_set(t.as_py()) for t in b.column(1)), strict=True) if len(s)]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for _, s in rows], np.uint64).view(np.int64)
-            least = [least_values(s) for _, s in rows]
-            longs = lambda f: pa.array([f(x).view(np.int64) for x in least], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(same), longs(bands), longs(sketch)], ["doc_id", "same", "keys", "sketch"])
+            keys = [bands(least_values(s)).view(np.int64) for _, s in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(same), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same long, keys array<long>, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, same long, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b, sa, sb) of documents and their sets' hashes -> (a, b) of the similar ones.
-    Only documents of a pair are read again."""
+def shingle_sets(met: DataFrame, docs: DataFrame) -> DataFrame:
+    """met(node, same), distinct, of documents and their sets' hashes -> a written table
+    (node, same, s: the set, bits: its bitmap). Only those documents are read again."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -119,13 +106,21 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             found = [shingle_set(t.as_py()) for t in b.column(1)]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "same", "s"])
+            longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), longs(found), longs(map(bitmap, found))], ["node", "same", "s", "bits"])
 
-    met = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("sa").alias("same")), F.struct(F.col("b").alias("node"), F.col("sb").alias("same")))).alias("m")).select("m.*").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(met.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(run, "node long, same long, s array<long>"), "copies-sets")
+    sets = written(texts.mapInArrow(run, "node long, same long, s array<long>, bits array<long>"), "copies-sets")
     if not sets.groupBy("node", "same").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # repeated rows
         sets = written(sets.dropDuplicates(["node", "same"]), "copies-sets")
+    return sets
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """pairs(a, b, sa, sb), a written table of documents and their sets' hashes ->
+    (a, b) of the similar ones."""
+    one = pairs.select(F.col("a").alias("node"), F.col("sa").alias("same")).distinct()
+    sets = shingle_sets(one.union(pairs.select("b", "sb").distinct()).distinct(), docs)
     x = pairs.join(sets.select(F.col("node").alias("b"), F.col("same").alias("sb"), F.col("s").alias("y")), ["b", "sb"])
     x = x.join(sets.select(F.col("node").alias("a"), F.col("same").alias("sa"), F.col("s").alias("x")), ["a", "sa"])
     both = F.size(F.array_intersect("x", "y"))
@@ -139,7 +134,7 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     links. Both are written tables."""
     with scratch():
         signed = written(signatures(docs), "copies-signed")
-        nodes = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("k")).select("same", "node", "k.*"), "copies-nodes")
+        nodes = written(signed.groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")), "copies-nodes")
         places = written(signed.join(nodes.select("same", "node"), "same").select("doc_id", "node").distinct(), "copies-places", outer=True)
         empty = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         links = written(empty, "copies-links")
@@ -148,17 +143,34 @@ def similar_sets(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             star = placed.where("c <> head.c").select(F.col("head.node").alias("a"), "node", F.col("head.same").alias("sa"), "same").distinct()
             star = written(star.toDF("a", "b", "sa", "sb"), "copies-star")
             links = written(links.union(verified(star, docs, similarity)), "copies-links")
-        # Nodes that no round has joined, bucket by bucket of all bands.
+        # Nodes that no round has joined, and those whose buckets they share.
         parts = connected_components(links).withColumnRenamed("component", "c")
-        placed = _buckets(nodes, parts, 0, BANDS).where("n > 2").join(nodes.select("same", "sketch"), "same")
-        placed = written(placed.where("same <> head.same").select("band", "key", "node", "same", "c", "sketch"), "copies-open")
-        x, y = placed.alias("x"), placed.alias("y")
-        met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (apart(F.col("x.sketch"), F.col("y.sketch")) <= SKETCH_APART)
+        apart_still = written(_buckets(nodes, parts, 0, BANDS).where("n > 2").select("node", "same", "c").distinct(), "copies-open")
+        prefixes = _prefixes(apart_still, docs, similarity)
+        x, y = prefixes.alias("x"), prefixes.alias("y")
+        # Sets of n and m elements differ in (n + m) (1 - similarity) / (1 + similarity) at most.
+        most = (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        met = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & (F.abs(F.col("x.n") - F.col("y.n")) <= most) & (apart(F.col("x.bits"), F.col("y.bits")) <= most)
         rest = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.same").alias("sa"), F.col("y.same").alias("sb")).distinct()
         rest = written(rest, "copies-rest")
         return places, written(links.union(verified(rest, docs, similarity)), "copies-linked", outer=True)
 
 
+def _prefixes(open_nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(h, node, same, c, n, bits): the n - ceil(similarity * n) + 1 rarest shingles of
+    each node's set of n, by their number of these nodes. Two sets of that similarity
+    have one of them in common. A written table."""
+    sets = shingle_sets(open_nodes.select("node", "same"), docs)
+    counts = written(sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("f")), "copies-shingles")
+    ranked = sets.select("node", "same", F.size("s").alias("n"), F.explode("s").alias("h")).join(counts, "h")
+    rarest = ranked.groupBy("node", "same").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("f", "h"))).alias("hs"))  # a set's own shingles
+    first = F.slice("hs", F.lit(1), F.col("n") - F.ceil(similarity * F.col("n")).cast("int") + 1)
+    # A shingle of one node brings it together with nobody.
+    several = F.filter(first, lambda x: x.f > 1)
+    own = open_nodes.join(sets.select("node", "same", "bits"), ["node", "same"])
+    return written(rarest.select("node", "same", "n", F.explode(several).alias("x")).join(own, ["node", "same"]).select("x.h", "node", "same", "c", "n", "bits"), "copies-prefixes")
+
+
 def _labels(links: DataFrame) -> DataFrame:
     """(node, c): of linked nodes the smallest neighbour's smallest neighbour. Nodes with
     one label are in one component; a component may have several, and is then compared
