@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, mixing, pii, quality, simhash, substring, token_files, warc, weak_quality
+from . import decontaminate, lm_score, mixing, periodic_runs, pii, quality, simhash, substring, token_files, warc, weak_quality
 
-MODULES = (mixing, simhash, token_files, decontaminate, lm_score, warc, quality, pii, substring, weak_quality)
+MODULES = (mixing, simhash, token_files, decontaminate, lm_score, warc, quality, pii, substring, weak_quality, periodic_runs)
 
 
 def queries() -> dict:
