@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, mixing, periodic_runs, pii, quality, simhash, substring, token_counts, token_files, warc, weak_quality
+from . import decontaminate, lexical_search, lm_score, mixing, periodic_runs, pii, quality, simhash, substring, token_counts, token_files, warc, weak_quality
 
-MODULES = (mixing, simhash, token_files, decontaminate, lm_score, warc, quality, pii, substring, weak_quality, periodic_runs, token_counts)
+MODULES = (mixing, simhash, token_files, decontaminate, lm_score, warc, quality, pii, substring, weak_quality, lexical_search, periodic_runs, token_counts)
 
 
 def queries() -> dict:
