@@ -111,6 +111,30 @@ def plain_numbers(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "(\\.\\d*?[1-9])0+(?!\\d)", "$1"), "(\\d)\\.0+(?!\\d)", "$1")
 
 
+#: Units of numbers that evidence names (fixed values).
+ALIAS_UNITS = "cm|mm|kg|g|L|ml|個|枚|台|段階|日|泊"
+
+
+def _plain_number(number: Column) -> Column:
+    whole = F.regexp_replace(number, "^0+(?=\\d)", "")
+    return F.when(F.contains(whole, F.lit(".")), F.regexp_replace(whole, "\\.?0+$", "")).otherwise(whole)
+
+
+def canonical_numbers(c: Column) -> Column:
+    """Every number of a text in its plain form, in one pass over its parts: "1.50.07" is
+    1.50, a point and 07. All digits stay, however many."""
+    parts = F.regexp_extract_all(c, F.lit("\\d+(?:\\.\\d+)?|\\D+"), F.lit(0))
+    return F.when(c.rlike("\\d"), F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d"), _plain_number(p)).otherwise(p)), "")).otherwise(c)
+
+
+def number_aliases(c: Column) -> Column:
+    """Each number with a unit of ALIAS_UNITS, as its plain form and the unit next to it;
+    of units that start alike the first listed counts."""
+    pattern = F.lit(f"(?i)(\\d+(?:\\.\\d+)?)\\s*({ALIAS_UNITS})")
+    pairs = F.arrays_zip(F.regexp_extract_all(c, pattern, F.lit(1)).alias("n"), F.regexp_extract_all(c, pattern, F.lit(2)).alias("unit"))
+    return F.transform(pairs, lambda x: F.concat(_plain_number(x.n), x.unit))
+
+
 def vocabulary(c: Column, known: Sequence[str], other: str = "unknown") -> Column:
     """A value of a closed vocabulary, case and outer blanks ignored."""
     v = F.lower(F.trim(c))
