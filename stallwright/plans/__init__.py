@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregations, candidates, classification, copywriting, evidence, lifecycle, landing, listing_lifecycle, lookups, quality, registry, reviews, texts
+from . import aggregations, answers, candidates, classification, copywriting, evidence, lifecycle, landing, listing_lifecycle, lookups, quality, registry, reviews, texts
 
-__all__ = ["aggregations", "candidates", "classification", "copywriting", "evidence", "landing", "lifecycle", "listing_lifecycle", "lookups", "quality", "reviews", "texts"]
+__all__ = ["aggregations", "answers", "candidates", "classification", "copywriting", "evidence", "landing", "lifecycle", "listing_lifecycle", "lookups", "quality", "reviews", "texts"]
 
 
 def queries() -> dict:
