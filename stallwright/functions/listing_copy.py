@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Size labels, in the order they are reported (fixed values).
 SIZES = ("SS", "S", "M", "L", "XL")
@@ -67,6 +67,12 @@ def nfkc(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@pandas_udf(ArrayType(ArrayType(StringType())))
+def nfkc_terms(c: pd.Series) -> pd.Series:
+    """The same for lists of terms."""
+    return c.map(lambda xs: None if xs is None else [[None if x is None else unicodedata.normalize("NFKC", x) for x in ts] for ts in xs])
+
+
 def compact(c: Column) -> Column:
     """Lower case without white space, of a text in NFKC."""
     return F.regexp_replace(F.lower(c), "[\\s　]+", "")

@@ -124,6 +124,38 @@ def profiles(found: DataFrame, product: str, benchmark_terms: DataFrame | None =
     )
 
 
+#: Weights of decision factors, title terms and differentiators, and what lengths of
+#: title and description are fit (fixed values).
+WEIGHTS = {"decision": 40, "title": 20, "differentiation": 20}
+TITLE_FIT, TEXT_FIT = (28, 110), (120, 1400)
+
+
+def commercial_scores(copies: DataFrame, profile: DataFrame, product: str) -> DataFrame:
+    """copies(product, title, description) with the profiles of their products: decision,
+    title_quality, differentiation, readability and total. Texts and terms are compared
+    in NFKC, lower case and without white space; each text is brought there once."""
+    whole = F.concat_ws("\n", "title", "description")
+    x = copies.join(profile.select(product, "decision_factors", "differentiators", "title_terms", "identity_terms"), product)
+    x = x.select(*copies.columns, copy.compact(copy.nfkc(F.col("title"))).alias("__t"), copy.compact(copy.nfkc(whole)).alias("__b"), *[
+        F.transform(copy.nfkc_terms(c), lambda ts: F.transform(ts, copy.compact)).alias(name)
+        for name, c in {"__decision": F.col("decision_factors.terms"), "__differ": F.col("differentiators.terms"), "__title": F.transform("title_terms", lambda w: F.array(w)), "__lead": F.array(F.slice("identity_terms", 1, LEADING_TERMS))}.items()
+    ])
+    share = lambda text, topics, weight: F.when(F.size(topics) == 0, 0).otherwise(F.floor(F.size(F.filter(topics, lambda ts: F.exists(ts, lambda w: F.contains(F.col(text), w)))) / F.size(topics) * weight + 0.5))
+    flag = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    lead, title, text = F.col("__lead")[0], F.col("title"), F.col("description")
+    early = F.exists(lead, lambda w: F.position(w, F.col("__t")).between(1, 9))
+    often = F.exists(lead, lambda w: (F.length(w) > 0) & ((F.length("__b") - F.length(F.replace(F.col("__b"), w, F.lit("")))) / F.length(w) > 4))
+    parts = F.size(F.filter(F.split(text, "[。\n]"), lambda p: F.trim(p) != ""))
+    scores = {
+        "decision": share("__b", F.col("__decision"), WEIGHTS["decision"]),
+        "title_quality": share("__t", F.col("__title"), WEIGHTS["title"]) + flag(early, 3) + flag(F.length(title).between(*TITLE_FIT), 2),
+        "differentiation": share("__b", F.col("__differ"), WEIGHTS["differentiation"]),
+        "readability": flag(F.length(text).between(*TEXT_FIT), 5) + flag(text.rlike("【[^】]+】") | (parts >= 5), 4) + flag(text.rlike("[\n・●■]"), 3) + F.when(often, 0).otherwise(3),
+    }
+    scored = x.select(*copies.columns, *[c.cast("long").alias(k) for k, c in scores.items()])
+    return scored.withColumn("total", F.col("decision") + F.col("title_quality") + F.col("differentiation") + F.col("readability"))
+
+
 def validation_text(label: Column, value: Column) -> Column:
     """A fact as text to check claims against: its label and value with plain numbers and
     the unit that the label names, then a line for each number with a unit in the value."""

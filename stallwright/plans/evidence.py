@@ -10,9 +10,8 @@ from ..operators import evidence
 from ..sources.tables import Tables
 from .registry import query
 
-#: Variants as long facts of the oracle: a list for each (part, supplier).
-_FACTS = """v AS (SELECT l_partkey AS spu, l_suppkey, min(l_linenumber) AS line FROM lineitem GROUP BY ALL),
-w AS (SELECT v.*, p_name, p_brand, p_type, p_size, n_name, s_acctbal, d.text FROM v JOIN part ON p_partkey = spu JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey LEFT JOIN documents d ON d.doc_id = spu),
+#: Facts of the oracle, from v(spu, part, l_suppkey, line) and titles(spu, title).
+FACTS_OF = """w AS (SELECT v.*, p_name, p_brand, p_type, p_size, n_name, s_acctbal, d.text FROM v JOIN part ON p_partkey = part JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey LEFT JOIN documents d ON d.doc_id = part),
 long AS (SELECT spu, unnest([
   {'pos': 1, 'key': 'product-short-name', 'kind': 'identity', 'label': '商品種別', 'value': lower(p_type)}, {'pos': 2, 'key': 'main_material', 'kind': 'material', 'label': '主素材', 'value': ' ' || p_brand || chr(10)},
   {'pos': 3, 'key': 'main_color', 'kind': 'variant', 'label': 'カラー', 'value': CASE WHEN line <= 3 THEN string_split(p_name, ' ')[1] END}, {'pos': 4, 'key': 'product_weight_kg', 'kind': 'weight', 'label': '商品重量kg', 'value': '0' || p_size || '.50'},
@@ -21,11 +20,12 @@ long AS (SELECT spu, unnest([
   {'pos': 18, 'key': 'product_specification', 'kind': 'specification', 'label': '仕入先商品仕様', 'value': CASE WHEN s_acctbal > -900 THEN p_name || ' ' || p_size || ' mm, 007.10KG' END}], recursive := true) FROM w),
 trimmed AS (SELECT * REPLACE (nullif(left(regexp_replace(value, '^[\\s\\x0B\\p{Z}]+|[\\s\\x0B\\p{Z}]+$', '', 'g'), 5000), '') AS value) FROM long),
 agreed AS (SELECT spu, pos, kind, label, min(value) AS value, 'variant_consensus' AS source_kind, 'product_variants.raw_payload:' || spu || ':' || key || ':consensus-' || count(*) AS source_ref FROM trimmed GROUP BY spu, pos, key, kind, label HAVING count(value) = count(*) AND min(value) = max(value)),
-every AS (SELECT *, source_ref AS id_ref FROM agreed UNION ALL SELECT p_partkey, 0, 'identity', '商品マスター名', p_name, 'product_spu', 'product_spus:' || p_partkey || ':title', 'product_spus.' || p_partkey || '.title' FROM part WHERE p_name <> ''),
+every AS (SELECT *, source_ref AS id_ref FROM agreed UNION ALL SELECT spu, 0, 'identity', '商品マスター名', title, 'product_spu', 'product_spus:' || spu || ':title', 'product_spus.' || spu || '.title' FROM titles WHERE title <> ''),
 facts AS (SELECT spu AS p_partkey, pos, kind || '.' || substr(sha256(id_ref || ':' || value), 1, 12) AS evidence_id, kind, label, value, source_kind, source_ref, pos IN (0, 1, 2, 3, 4, 15, 16, 17) AS title_eligible FROM every QUALIFY row_number() OVER (PARTITION BY spu, kind, lower(value) ORDER BY pos) = 1)"""
+_FACTS = f"v AS (SELECT l_partkey AS spu, l_partkey AS part, l_suppkey, min(l_linenumber) AS line FROM lineitem GROUP BY ALL), titles AS (SELECT p_partkey AS spu, p_name AS title FROM part), {FACTS_OF}"
 
 _SQUEEZED = "list_filter(list_transform(regexp_split_to_array(value, '[。\\n]'), lambda s: trim(regexp_replace(s, '^[・0-9.\\s\\x0B]+', ''), ' ')), lambda s: length(s) BETWEEN 2 AND 32)"
-_TERMS = f"""terms AS (SELECT *, CASE WHEN length(value) <= 48 THEN [value] ELSE list_filter(w, lambda z, i: list_position(w, z) = i)[1:8] END AS terms FROM (SELECT *, list_concat(regexp_extract_all(value, '【([^】]{{2,24}})】', 1),
+TERMS_OF = f"""terms AS (SELECT *, CASE WHEN length(value) <= 48 THEN [value] ELSE list_filter(w, lambda z, i: list_position(w, z) = i)[1:8] END AS terms FROM (SELECT *, list_concat(regexp_extract_all(value, '【([^】]{{2,24}})】', 1),
   list_concat(regexp_extract_all(value, '(?i)[0-9]+(?:\\.[0-9]+)?[ \\t\\n\\x0B\\f\\r]?(?:cm|mm|kg|g|L|ml|個|枚|台|段|人|歳)'), {_SQUEEZED})) AS w FROM facts))"""
 _NUMBER = "CASE WHEN contains({0}, '.') THEN regexp_replace(regexp_replace({0}, '^0+([0-9])', '\\1'), '\\.?0+$', '') ELSE regexp_replace({0}, '^0+([0-9])', '\\1') END"
 
@@ -39,9 +39,8 @@ def _aliases(c: str) -> str:
     return f"list_transform(regexp_extract_all({c}, '(?i)[0-9]+(?:\\.[0-9]+)?[ \\t\\n\\x0B\\f\\r]*(?:cm|mm|kg|g|L|ml|個|枚|台|段階|日|泊)'), lambda m: {number} || regexp_extract(m, '[^0-9. \\t\\n\\x0B\\f\\r]+$'))"
 
 
-def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Products and their variants, of whole tables."""
-    supplied = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).agg(F.min("l_linenumber").alias("line"))
+def variants_of(t: Tables, supplied: DataFrame, key: str) -> DataFrame:
+    """supplied(key, p_partkey, s_suppkey, line) -> key, payload."""
     nations = F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"))
     features = t.documents.select(F.col("doc_id").alias("p_partkey"), "text")
     v = supplied.join(t.part, "p_partkey").join(t.supplier, "s_suppkey").join(nations, "s_nationkey").join(features, "p_partkey", "left")
@@ -57,12 +56,15 @@ def _parts(t: Tables) -> tuple[DataFrame, DataFrame]:
         "product_features": F.col("text"),
         "product_specification": F.when(F.col("s_acctbal") > -900, F.concat("p_name", F.lit(" "), size, F.lit(" mm, 007.10KG"))),
     }
-    variants = v.select("p_partkey", F.create_map(*[x for k, c in payload.items() for x in (F.lit(k), c)]).alias("payload"))
-    return t.part.select("p_partkey", F.col("p_name").alias("title")), variants
+    return v.select(key, F.create_map(*[x for k, c in payload.items() for x in (F.lit(k), c)]).alias("payload"))
+
+
+def supplied_parts(t: Tables) -> DataFrame:
+    return t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).agg(F.min("l_linenumber").alias("line"))
 
 
 def _facts(t: Tables) -> DataFrame:
-    return evidence.facts(*_parts(t), "p_partkey")
+    return evidence.facts(t.part.select("p_partkey", F.col("p_name").alias("title")), variants_of(t, supplied_parts(t), "p_partkey"), "p_partkey")
 
 
 @query(f"WITH {_FACTS} SELECT * FROM facts")
@@ -71,19 +73,24 @@ def evidence_facts(t: Tables) -> DataFrame:
     return _facts(t)
 
 
-@query(f"WITH {_FACTS}, {_TERMS}, u AS (SELECT DISTINCT p_partkey, evidence_id, lower(unnest(terms)) AS term FROM terms) SELECT term, evidence_id, p_partkey FROM u")
+@query(f"WITH {_FACTS}, {TERMS_OF}, u AS (SELECT DISTINCT p_partkey, evidence_id, lower(unnest(terms)) AS term FROM terms) SELECT term, evidence_id, p_partkey FROM u")
 def evidence_term_index(t: Tables) -> DataFrame:
     """The inverted index from terms to evidence."""
     return evidence.term_index(_facts(t), "p_partkey")
 
 
-@query(f"""WITH {_FACTS}, {_TERMS}, ident AS (SELECT p_partkey, value AS identity, list_filter(regexp_split_to_array(value, '[\\s　／/・,，、【】［］()（）]+'), lambda w: length(w) BETWEEN 2 AND 24) AS w FROM facts WHERE kind = 'identity' QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY pos) = 1),
+#: Roles of terms in a profile: decision factors, differentiators, and the product's own
+#: title terms followed by those of own_terms(p_partkey, own).
+ROLES_OF = """ident AS (SELECT p_partkey, value AS identity, list_filter(regexp_split_to_array(value, '[\\s　／/・,，、【】［］()（）]+'), lambda w: length(w) BETWEEN 2 AND 24) AS w FROM facts WHERE kind = 'identity' QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY pos) = 1),
 tokens AS (SELECT p_partkey, identity, list_filter(w, lambda z, i: list_position(w, z) = i)[1:10] AS identity_terms FROM ident),
 decided AS (SELECT p_partkey, 'decision' AS role, 1 + row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS n, evidence_id AS id, terms FROM terms WHERE kind <> 'identity' QUALIFY n <= 13),
 differ AS (SELECT p_partkey, 'difference' AS role, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) AS n, evidence_id AS id, terms FROM terms WHERE kind IN ('material', 'component', 'feature', 'specification') QUALIFY n <= 8),
 roles AS (SELECT * FROM decided UNION ALL SELECT * FROM differ UNION ALL SELECT p_partkey, 'decision', 1, 'identity', identity_terms[1:3] FROM tokens
-  UNION ALL SELECT p_partkey, 'title', 1, 'title', list_concat(identity_terms, list_filter([p_type, p_brand], lambda b: length(b) >= 2))[1:12] FROM tokens JOIN part USING (p_partkey)),
-numbered AS (SELECT p_partkey, role, row_number() OVER (PARTITION BY p_partkey, role ORDER BY n) AS n, id, terms FROM roles WHERE len(terms) > 0 OR role = 'difference')
+  UNION ALL SELECT p_partkey, 'title', 1, 'title', list_concat(identity_terms, coalesce(own, []))[1:12] FROM tokens LEFT JOIN own_terms USING (p_partkey)),
+numbered AS (SELECT p_partkey, role, row_number() OVER (PARTITION BY p_partkey, role ORDER BY n) AS n, id, terms FROM roles WHERE len(terms) > 0 OR role = 'difference')"""
+
+
+@query(f"""WITH {_FACTS}, {TERMS_OF}, own_terms AS (SELECT p_partkey, list_filter([p_type, p_brand], lambda b: length(b) >= 2) AS own FROM part), {ROLES_OF}
 SELECT p_partkey, identity, role, n, id, terms FROM numbered JOIN tokens USING (p_partkey)""")
 def generic_profiles(t: Tables) -> DataFrame:
     """Decision factors, differentiators and title terms of each part, one row each; type
