@@ -6,10 +6,10 @@ All but nfkc() stay in the JVM; nfkc() is the one form that Spark has no functio
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
@@ -183,50 +183,89 @@ def issues_of(errors: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(errors, one)))
 
 
+def _has(text: Column, i: Column) -> Column:
+    """Whether a compact text has an issue's needle, or for an audit's claim all its tokens."""
+    tokens = F.filter(F.transform(F.split(i.needle, "[\\s　:：,，、。・()（）【】「」]+"), compact), lambda t: F.length(t) >= 2)
+    every = (i.kind == "unsupported_audit") & (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(text, t))
+    return ((compact(i.needle) != "") & F.contains(text, compact(i.needle))) | every
+
+
 def flagged(value: Column, issues: Column) -> Column:
-    """Whether a text has an issue's needle, or for an audit's claim all its tokens."""
-    text = compact(value)
+    """Whether an issue flags a text; both in NFKC."""
+    return _bound(compact(value), lambda text: F.exists(issues, lambda i: _has(text, i)))
 
-    def has(i: Column) -> Column:
-        tokens = F.filter(F.transform(F.split(i.needle, "[\\s　:：,，、。・()（）【】「」]+"), compact), lambda t: F.length(t) >= 2)
-        every = (i.kind == "unsupported_audit") & (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(text, t))
-        return ((compact(i.needle) != "") & F.contains(text, compact(i.needle))) | every
 
-    return F.exists(issues, has)
+def repair_parts(df: DataFrame, title: str, description: str, issues: str) -> DataFrame:
+    """Adds what repaired() works on: the title's words and the description's sentences and
+    clauses as they are, and the NFKC form of each and of the issues' needles beside them.
+    The text itself stays as it was written; only comparisons are in NFKC."""
+    words = F.filter(F.split(F.coalesce(F.col(title), F.lit("")), "[\\s　]+"), lambda w: w != "")
+    pairs = lambda c, pattern: F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("t"), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("end"))
+    sentences = F.filter(pairs(F.coalesce(F.col(description), F.lit("")), "([^。！？\n]+)([。！？\n]+|$)"), lambda s: F.trim(s.t) != "")
+    parted = F.transform(sentences, lambda s: F.struct(s.t.alias("t"), s.end.alias("end"), pairs(s.t, "([^、，,；;]*)([、，,；;]|$)").alias("clauses")))
+    x = df.withColumns({"__w": words, "__s": parted})
+    raw = F.concat(F.array("__w", F.transform("__s", lambda s: s.t), F.transform(issues, lambda i: i.needle)), F.transform("__s", lambda s: F.transform(s.clauses, lambda c: c.t)))
+    return x.withColumn("__n", nfkc_terms(raw))  # words, sentences, needles, then the clauses of each sentence
+
+
+def repaired(df: DataFrame, issues: str) -> DataFrame:
+    """repair_parts() -> adds repaired_title, repaired_description, n_removed (words and
+    clauses taken out) and unresolved (issues that what is left still has)."""
+    n = F.col("__n")
+    known = F.transform(F.arrays_zip(F.col(issues).alias("i"), n[2].alias("needle")), lambda x: F.struct(x.i.kind.alias("kind"), x.needle.alias("needle")))
+    x = df.withColumn("__i", known)
+    edge = "^[、，,；;\\s]+|[、，,；;\\s]+$"
+    good = F.filter(F.arrays_zip(F.col("__w").alias("w"), n[0].alias("n")), lambda p: ~flagged(p.n, F.col("__i")))
 
+    def sentence(s: Column, i: Column) -> Column:
+        mine = F.filter("__i", lambda issue: _has(compact(n[1][i]), issue))
 
-def repaired_title(title: Column, issues: Column) -> Column:
-    """The words of a title that no issue flags."""
-    return F.array_join(F.filter(F.split(F.trim(title), "[\\s　]+"), lambda w: ~flagged(w, issues)), " ")
+        def clauses(issues_: Column) -> Column:
+            zipped = F.transform(F.arrays_zip(s.clauses.alias("c"), F.get(n, i + 3).alias("n")), lambda c: F.struct(c.c.t.alias("t"), c.c.end.alias("end"), c.n.alias("n"), flagged(c.n, issues_).alias("bad")))
+            return _bound(zipped, lambda cs: result(cs, issues_))
 
+        def result(cs: Column, issues_: Column) -> Column:
+            kept = F.filter(cs, lambda c: ~c.bad)
+            left = F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda c: F.concat(c.t, c.end)), ""), edge, ""))
+            still = flagged(F.array_join(F.transform(kept, lambda c: F.concat(c.n, c.end)), ""), issues_)
+            removed = F.size(F.filter(cs, lambda c: c.bad & (F.trim(c.t) != "")))
+            return F.when(F.size(issues_) == 0, F.struct(F.concat(s.t, s.end).alias("t"), F.concat(n[1][i], s.end).alias("n"), F.lit(0).alias("removed"))).otherwise(
+                _bound(F.struct(left.alias("left"), still.alias("still")), lambda r: F.when(r.still, F.struct(F.lit("").alias("t"), F.lit("").alias("n"), (removed + 1).alias("removed"))).otherwise(
+                    F.struct(F.when(r.left == "", "").otherwise(F.concat(r.left, s.end)).alias("t"), F.array_join(F.transform(kept, lambda c: F.concat(c.n, c.end)), "").alias("n"), removed.alias("removed"))))
+            )
 
-def repaired_description(text: Column, issues: Column) -> Column:
-    """A description without the clauses that issues flag; a sentence that is still
-    flagged without them goes whole."""
-    edge = "^[、，,；;\\s]+|[、，,；;\\s]+$"
-    pairs = lambda c, pattern: F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("t"), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("end"))
+        return _bound(mine, clauses)
 
-    def sentence(s: Column) -> Column:
-        kept = F.transform(F.filter(pairs(s.t, "([^、，,；;]*)([、，,；;]|$)"), lambda c: ~flagged(c.t, issues)), lambda c: F.concat(c.t, c.end))
-        left = F.trim(F.regexp_replace(F.array_join(kept, ""), edge, ""))
-        return F.when(~flagged(s.t, issues), F.concat(s.t, s.end)).when((left == "") | flagged(left, issues), "").otherwise(F.concat(left, s.end))
+    x = x.withColumns({"__good": good, "__d": F.transform("__s", sentence)})
+    whole = F.array_join(F.transform("__d", lambda d: d.t), "")
+    text = F.trim(F.regexp_replace(F.regexp_replace(whole, "\n{3,}", "\n\n"), edge, ""))
+    rest = compact(F.concat_ws("\n", F.array_join(F.transform("__good", lambda p: p.n), " "), F.array_join(F.transform("__d", lambda d: d.n), "")))
+    counts = F.size("__w") - F.size("__good") + F.aggregate("__d", F.lit(0), lambda acc, d: acc + d.removed)
+    done = x.withColumns({"repaired_title": F.array_join(F.transform("__good", lambda p: p.w), " "), "repaired_description": text, "n_removed": counts.cast("long"), "__rest": rest})
+    return done.withColumn("unresolved", F.filter("__i", lambda i: _has(F.col("__rest"), i))).drop("__w", "__s", "__n", "__i", "__good", "__d", "__rest")
 
-    sentences = F.filter(pairs(text, "([^。！？\\n]+)([。！？\\n]+|$)"), lambda s: F.trim(s.t) != "")
-    whole = F.array_join(F.transform(sentences, sentence), "")
-    return F.trim(F.regexp_replace(F.regexp_replace(whole, "\\n{3,}", "\n\n"), edge, ""))
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it's used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def heading(line: Column) -> Column:
     """(section, retain) if the line is a heading, else null. Line in NFKC."""
-    t = F.regexp_replace(F.trim(line), "^#+\\s*", "")
-    inner = F.regexp_extract(t, "^[【\\[]([^】\\]]+)[】\\]]$", 1)
-    plain = F.when((F.length(t) <= 24) & ~t.rlike("[。:：]") & ~t.rlike("^[・●■\\-]"), t)
-    name = bare(F.coalesce(F.nullif(inner, F.lit("")), plain))
-    name = F.when(F.length(name).between(1, 30), name)
-    out = F.lit(None).cast("struct<section:string,retain:boolean>")
-    for pattern, section, retain in reversed(HEADINGS):
-        out = F.when(name.rlike(pattern), F.struct(F.lit(section).alias("section"), F.lit(retain).alias("retain"))).otherwise(out)
-    return out
+
+    def of(t: Column) -> Column:
+        bracketed = t.rlike("^[【\\[][^】\\]]+[】\\]]$")
+        inner = F.when(bracketed, F.regexp_extract(t, "^[【\\[]([^】\\]]+)[】\\]]$", 1))
+        plain = F.when((F.length(t) <= 24) & ~t.rlike("[。:：]|^[・●■\\-]"), t)
+        return _bound(bare(F.coalesce(inner, plain)), by_name)
+
+    def by_name(name: Column) -> Column:
+        out = F.lit(None).cast("struct<section:string,retain:boolean>")
+        for pattern, section, retain in reversed(HEADINGS):
+            out = F.when(name.rlike(pattern), F.struct(F.lit(section).alias("section"), F.lit(retain).alias("retain"))).otherwise(out)
+        return F.when(F.length(name).between(1, 30), out)
+
+    return _bound(F.regexp_replace(F.trim(line), "^#+\\s*", ""), of)
 
 
 def section_lines(text: Column) -> Column:
@@ -239,17 +278,21 @@ def section_lines(text: Column) -> Column:
         def place(h: Column) -> Column:
             now = F.coalesce(h.section, acc.now)
             stays = F.coalesce(h.retain, F.lit(True))
-            return F.struct(now.alias("now"), F.when(stays, F.concat(acc.out, F.array(F.struct(now.alias("section"), x.alias("line"))))).otherwise(acc.out).alias("out"))
+            return F.struct(now.alias("now"), F.when(stays, F.array_append(acc.out, F.struct(now.alias("section"), x.alias("line")))).otherwise(acc.out).alias("out"))
 
-        return F.element_at(F.transform(F.array(heading(x)), place), 1)
+        return _bound(heading(x), place)
 
     return F.aggregate(lines, zero, step, lambda acc: acc.out)
 
 
 def unique_lines(lines: Column) -> Column:
     """Lines without those whose bare form came before, or is empty."""
-    keep = lambda acc, x: F.when((bare(x) == "") | F.exists(acc, lambda y: bare(y) == bare(x)), acc).otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(lines, F.array().cast("array<string>"), keep)
+
+    def first(forms: Column) -> Column:
+        bares = F.transform(forms, lambda x: x.b)
+        return _bound(bares, lambda bs: F.transform(F.filter(forms, lambda x, i: (x.b != "") & (F.array_position(bs, x.b) == i + 1)), lambda x: x.line))
+
+    return _bound(F.transform(lines, lambda x: F.struct(x.alias("line"), bare(x).alias("b"))), first)
 
 
 def of_section(placed: Column, section: str) -> Column:
@@ -257,23 +300,56 @@ def of_section(placed: Column, section: str) -> Column:
 
 
 def specifications(lines: Column) -> Column:
-    """array<struct<label, value>> of specification lines: cells or "label: value"."""
+    """array<struct<label, value>> of specification lines: cells or "label: value"; of a
+    label's values with one bare form the first."""
+    pattern = "^([^:：]{1,20})[:：]\\s*(.+)$"
+
     def one(raw: Column) -> Column:
         line = F.trim(F.regexp_replace(raw, "^[・●■\\-]\\s*", ""))
         cells = F.filter(F.transform(F.split(line, "\\|"), lambda c: F.trim(c)), lambda c: c != "")
-        pattern = "^([^:：]{1,20})[:：]\\s*(.+)$"
-        label = F.when(F.size(cells) >= 2, F.element_at(cells, 1)).otherwise(F.regexp_extract(line, pattern, 1))
-        value = F.when(F.size(cells) >= 2, F.element_at(cells, -1)).otherwise(F.regexp_extract(line, pattern, 2))
-        return F.when((label != "") & (value != "") & ~value.rlike("商品詳細をご確認|ご参照ください"), F.struct(bare(label).alias("label"), value.alias("value")))
+        return _bound(F.struct(line.alias("line"), cells.alias("cells")), split)
+
+    def split(x: Column) -> Column:
+        label = F.when(F.size(x.cells) >= 2, F.element_at(x.cells, 1)).otherwise(F.regexp_extract(x.line, pattern, 1))
+        value = F.when(F.size(x.cells) >= 2, F.element_at(x.cells, -1)).otherwise(F.regexp_extract(x.line, pattern, 2))
+        return _bound(F.struct(label.alias("label"), value.alias("value")), lambda s: F.when((s.label != "") & (s.value != "") & ~s.value.rlike("商品詳細をご確認|ご参照ください"), F.struct(bare(s.label).alias("label"), s.value.alias("value"), bare(s.value).alias("b"))))
+
+    def first(found: Column) -> Column:
+        kept = F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: (y.label == x.label) & (y.b == x.b)))
+        return F.transform(kept, lambda x: F.struct(x.label.alias("label"), x.value.alias("value")))
+
+    return _bound(F.array_compact(F.transform(lines, one)), first)
+
+
+def _comparable(label: Column, value: Column) -> Column:
+    """A value's bare form without the label that it may start with."""
+    return _bound(F.struct(label.alias("label"), bare(value).alias("b")), lambda x: F.when(F.startswith(x.b, x.label), F.substring(x.b, F.length(x.label) + 1, F.length(x.b))).otherwise(x.b))
 
-    return F.array_distinct(F.array_compact(F.transform(lines, one)))
+
+def conflict_values(before: Column, after: Column) -> Column:
+    """array<struct<label, source_values, enrichment_value>>: each value of ``after`` that
+    differs from values that ``before`` has under its label, with these; by label in the
+    order of ``after``."""
+    labels = F.array_distinct(F.transform(after, lambda a: a.label))
+    different = lambda a: F.transform(F.filter(before, lambda b: (b.label == a.label) & (_comparable(b.label, b.value) != _comparable(a.label, a.value))), lambda b: b.value)
+    clash = lambda a: F.struct(a.label.alias("label"), different(a).alias("source_values"), a.value.alias("enrichment_value"))
+    every = F.flatten(F.transform(labels, lambda l: F.transform(F.filter(after, lambda a: a.label == l), clash)))
+    return F.filter(every, lambda c: F.size(c.source_values) > 0)
 
 
 def conflicts(before: Column, after: Column) -> Column:
     """Labels of ``after`` whose value differs from one that ``before`` has."""
-    comparable = lambda x: F.regexp_replace(bare(x.value), F.concat(F.lit("^\\Q"), x.label, F.lit("\\E")), F.lit(""))
-    clash = lambda a: F.exists(before, lambda b: (b.label == a.label) & (comparable(b) != comparable(a)))
-    return F.array_distinct(F.transform(F.filter(after, clash), lambda a: a.label))
+    return F.array_distinct(F.transform(conflict_values(before, after), lambda c: c.label))
+
+
+def source_blocks(placed: Column) -> Column:
+    """Lines of a placed text that a proposal has to keep: section by section, once each."""
+    return F.flatten(F.array(*[unique_lines(of_section(placed, s)) for s in SECTIONS]))
+
+
+def missing_blocks(blocks: Column, proposed: Column) -> Column:
+    """Blocks whose bare form a proposed text (in NFKC) has lost."""
+    return _bound(bare(proposed), lambda text: F.filter(blocks, lambda b: ~F.contains(text, bare(b))))
 
 
 def composed(source: Column, addition: Column) -> Column:

@@ -139,8 +139,8 @@ def repaired_copy(t: Tables) -> DataFrame:
     title = F.lit("幅30cm 最安 の棚")
     description = F.concat("p_name", F.lit("です。色は白、高さ30cm、最安です！木製のリビング用。\n終わり"))
     x = t.part.select("p_partkey", title.alias("old"), description.alias("text"), copy.issues_of(errors).alias("issues"))
-    fixed = x.select("p_partkey", "old", "text", copy.repaired_title(F.col("old"), F.col("issues")).alias("title"), copy.repaired_description(F.col("text"), F.col("issues")).alias("description"))
-    return fixed.select("p_partkey", "title", "description", ((F.col("title") == F.col("old")) & (F.col("description") == F.col("text"))).alias("unchanged"))
+    fixed = copy.repaired(copy.repair_parts(x, "old", "text", "issues"), "issues")
+    return fixed.select("p_partkey", F.col("repaired_title").alias("title"), F.col("repaired_description").alias("description"), ((F.col("repaired_title") == F.col("old")) & (F.col("repaired_description") == F.col("text"))).alias("unchanged"))
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter(['【商品概要】', p_name, '', '【特徴・ベネフィット】', '・大容量の収納', '軽い', '', '【商品仕様】', '・サイズ: ' || p_size || 'cm', '色 | 白 |', CASE WHEN p_partkey % 2 = 0 THEN 'サイズ:' || (p_size + 1) || 'cm' END, '',
