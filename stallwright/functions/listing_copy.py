@@ -231,7 +231,7 @@ def repaired(df: DataFrame, issues: str) -> DataFrame:
             removed = F.size(F.filter(cs, lambda c: c.bad & (F.trim(c.t) != "")))
             return F.when(F.size(issues_) == 0, F.struct(F.concat(s.t, s.end).alias("t"), F.concat(n[1][i], s.end).alias("n"), F.lit(0).alias("removed"))).otherwise(
                 _bound(F.struct(left.alias("left"), still.alias("still")), lambda r: F.when(r.still, F.struct(F.lit("").alias("t"), F.lit("").alias("n"), (removed + 1).alias("removed"))).otherwise(
-                    F.struct(F.when(r.left == "", "").otherwise(F.concat(r.left, s.end)).alias("t"), F.array_join(F.transform(kept, lambda c: F.concat(c.n, c.end)), "").alias("n"), removed.alias("removed"))))
+                    F.struct(F.when(r.left == "", "").otherwise(F.concat(r.left, s.end)).alias("t"), F.concat(F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda c: F.concat(c.n, c.end)), ""), edge, "")), s.end).alias("n"), removed.alias("removed"))))
             )
 
         return _bound(mine, clauses)

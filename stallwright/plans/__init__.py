@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregations, answers, candidates, classification, copywriting, evidence, lifecycle, landing, listing_lifecycle, lookups, quality, registry, reviews, selection, streams, texts, validation
+from . import aggregations, answers, candidates, classification, copy_texts, copywriting, evidence, lifecycle, landing, listing_lifecycle, lookups, quality, registry, reviews, selection, streams, texts, validation
 
-__all__ = ["aggregations", "answers", "candidates", "classification", "copywriting", "evidence", "landing", "lifecycle", "listing_lifecycle", "lookups", "quality", "reviews", "selection", "streams", "texts", "validation"]
+__all__ = ["aggregations", "answers", "candidates", "classification", "copy_texts", "copywriting", "evidence", "landing", "lifecycle", "listing_lifecycle", "lookups", "quality", "reviews", "selection", "streams", "texts", "validation"]
 
 
 def queries() -> dict:
