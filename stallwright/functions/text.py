@@ -47,6 +47,15 @@ def split_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "[|;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+#: Longest suggested title, in characters (fixed value).
+LONGEST_TITLE = 80
+
+
+def suggested_title(*parts: Column) -> Column:
+    """The parts' words, each once, cut to the longest title."""
+    return F.substring(unique_words(F.concat_ws(" ", *parts)), 1, LONGEST_TITLE)
+
+
 def unique_words(c: Column) -> Column:
     """Words without later repeats (case ignored), joined by a space."""
     words = F.filter(F.split(c, "\\s+"), lambda w: w != "")

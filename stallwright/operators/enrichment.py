@@ -56,3 +56,17 @@ def as_seen_by(df: DataFrame, row_key: str, allowed: Sequence[str], columns: Seq
 def appended(items: Column, item: Column) -> Column:
     """The array with the item at its end, unless it has it."""
     return F.when(F.array_contains(items, item), items).otherwise(F.concat(items, F.array(item)))
+
+
+def prepended(items: Column, item: Column) -> Column:
+    """The array with the item at its start, unless it has it or there is none."""
+    return F.when(item.isNull() | F.array_contains(items, item), items).otherwise(F.concat(F.array(item), items))
+
+
+def resolved_codes(coded: DataFrame, known: DataFrame, listing: str) -> tuple[DataFrame, DataFrame]:
+    """coded(listing, code), known(code, variant) -> (listing, variant, n_codes,
+    n_unresolved), the variant only where all resolved codes name one; and the rows
+    (listing, code, fingerprint) whose code is blank or unknown."""
+    cleaned = coded.select(listing, F.trim("code").alias("code")).join(known.groupBy(F.trim("code").alias("code")).agg(F.max("variant").alias("variant")).where("code <> ''"), "code", "left")
+    resolved = cleaned.groupBy(listing).agg(only("variant").alias("variant"), F.count("*").alias("n_codes"), F.count_if(F.col("variant").isNull()).alias("n_unresolved"))
+    return resolved, cleaned.where("variant is null").select(listing, "code", F.substring(F.sha2(F.coalesce("code", F.lit("")), 256), 1, 12).alias("fingerprint"))

@@ -55,3 +55,39 @@ def exactly_one(df: DataFrame) -> DataFrame:
     count = df.limit(2).agg(F.count("*").alias("__n"))
     guard = count.select(F.assert_true(F.col("__n") == 1, F.lit("not exactly one row")).isNull().alias("__ok"))
     return df.join(F.broadcast(guard), F.col("__ok"), "right").drop("__ok")
+
+
+#: Optional filters of a task list: name -> what they ask of which column.
+TASK_FILTERS = {
+    "status": ("status", "in"), "priority": ("priority", "in"), "task_type": ("task_type", "in"), "platform": ("platform", "="), "shop_code": ("shop_code", "="), "owner_type": ("owner_type", "="), "owner_key": ("owner_key", "="),
+    "due_before": ("due_date", "<="), "due_after": ("due_date", ">="), "scheduled_after": ("scheduled_at", ">="), "scheduled_before": ("scheduled_at", "<="), "approval_required": ("approval_required", "="),
+}
+
+
+def contains_any(columns: Sequence[str], search: str) -> Column:
+    """Whether a text stands in one of the columns, case ignored; no pattern."""
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.contains(F.lower(c), F.lit(search.lower())), F.lit(False))
+    return found
+
+
+def filtered(df: DataFrame, search_in: Sequence[str] = (), **filters) -> DataFrame:
+    """Rows that meet all filters that are given (TASK_FILTERS, and ``search``); an empty
+    list or null is no filter, an unknown name an error. Filters on stored columns reach
+    the scan."""
+    search = filters.pop("search", None)
+    for name, value in filters.items():
+        column, how = TASK_FILTERS[name]
+        if value is None or (isinstance(value, list) and not value):
+            continue
+        c = F.col(column)
+        df = df.where({"in": lambda: c.isin(*value), "=": lambda: c == value, "<=": lambda: c <= F.lit(value), ">=": lambda: c >= F.lit(value)}[how]())
+    return df.where(contains_any(search_in, search)) if search else df
+
+
+def searched_after(df: DataFrame, order: Sequence[Column], n: int, columns: Sequence[str], search: str) -> DataFrame:
+    """The first n rows, and of these the ones in whose joined columns a text stands: the
+    search sees the page only, and that is what it promises."""
+    said = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    return top(df, order, n).where(F.contains(said, F.lit(search.strip().lower())))

@@ -38,6 +38,36 @@ ISSUE_TYPES = (
     ("stock_mismatch", "operational", "medium"),
     ("status_inconsistent", "operational", "medium"),
 )
+#: Scores that issues of a type lower (fixed values).
+AFFECTED_SCORES = {
+    "broken_image_url": ("technical", "operationalRisk"),
+    "image_slow_load": ("technical",),
+    "image_low_resolution": ("technical", "image"),
+    "duplicate_url": ("image",),
+    "duplicate_content": ("image",),
+    "missing_main_image": ("image", "conversion", "operationalRisk"),
+    "image_count_low": ("image", "conversion"),
+    "image_gap": ("image",),
+    "image_text_overlay": ("compliance",),
+    "image_watermark": ("compliance",),
+    "image_size_noncompliant": ("compliance", "technical"),
+    "title_too_short": ("content", "conversion"),
+    "title_spammy": ("content",),
+    "description_missing": ("content", "conversion"),
+    "description_too_short": ("content",),
+    "missing_dimensions": ("content", "compliance"),
+    "missing_material": ("content",),
+    "missing_required_fields": ("compliance", "operationalRisk"),
+    "forbidden_claims": ("compliance", "operationalRisk"),
+    "category_mismatch": ("compliance", "conversion"),
+    "weak_main_image": ("conversion", "image"),
+    "no_lifestyle_image": ("conversion",),
+    "no_scale_reference": ("conversion",),
+    "no_detail_closeup": ("conversion",),
+    "price_anomaly": ("operationalRisk", "compliance"),
+    "stock_mismatch": ("operationalRisk",),
+    "status_inconsistent": ("operationalRisk",),
+}
 SEVERITIES = ("low", "medium", "high", "critical")
 #: Weight of a severity in a review request's priority, and the least one (fixed values).
 SEVERITY_WEIGHTS, LEAST_PRIORITY = {"critical": 10, "high": 7, "medium": 5, "low": 3}, 5
@@ -49,6 +79,46 @@ def issue_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ISSUE_TYPES, "type string, category string, default_severity string")
 
 
+def affected_scores(issues: DataFrame, by: str) -> DataFrame:
+    """issues(by, type) -> (by, score, n_issues): the scores that its issues lower."""
+    rows = [(t, s) for t, scores in AFFECTED_SCORES.items() for s in scores]
+    known = F.broadcast(issues.sparkSession.createDataFrame(rows, "type string, score string"))
+    return issues.join(known, "type").groupBy(by, "score").agg(F.count("*").alias("n_issues"))
+
+
+def model_issues(body: Column) -> Column:
+    """Issues in a model's JSON object: those with a text as type and a known severity
+    (medium if there's none), image places that are numbers only, notes filled in."""
+    text = lambda x, name: F.when(F.schema_of_variant(F.try_variant_get(x, f"$.{name}", "variant")) == "STRING", F.try_variant_get(x, f"$.{name}", "string"))
+    given = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    numeric = lambda v: F.schema_of_variant(v).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
+
+    def issue(x: Column) -> Column:
+        kind = text(x, "type")
+        missing = given(x, "severity").isNull() | F.is_variant_null(given(x, "severity"))
+        severity = F.when(missing, "medium").otherwise(text(x, "severity"))
+        places = F.transform(F.filter(F.try_variant_get(x, "$.affected_image_indexes", "array<variant>"), numeric), lambda v: F.try_variant_get(v, "$", "double"))
+        note = F.coalesce(text(x, "operator_note"), F.concat(F.lit("visual review flagged: "), kind))
+        kept = (kind != "") & severity.isin(*SEVERITIES)
+        return F.when(kept, F.struct(kind.alias("type"), severity.alias("severity"), F.coalesce(places, F.array().cast("array<double>")).alias("images"), F.coalesce(text(x, "evidence"), F.lit("")).alias("evidence"), note.alias("note")))
+
+    listed = F.try_variant_get(F.try_parse_json(body), "$.issues", "array<variant>")
+    return F.coalesce(F.array_compact(F.transform(listed, issue)), F.array().cast("array<struct<type:string,severity:string,images:array<double>,evidence:string,note:string>>"))
+
+
+def open_or_new_cycles(triggers: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """triggers(key ..., at, source), stored(key ..., cycle, status, created_at) -> one row a
+    key: its latest stored cycle in an open state, or a new one that the first trigger
+    makes (``is_new``, status not_reviewed, created_from), named by a hash of key and time.
+    A second trigger of a key finds the cycle of the first."""
+    first = triggers.groupBy(*key).agg(F.min(F.struct("at", "source")).alias("t"), F.count("*").alias("n_triggers"))
+    last = stored.where(F.col("status").isin(*OPEN_CYCLES)).groupBy(*key).agg(F.max(F.struct("created_at", "cycle", "status")).alias("s"))
+    j = first.join(last, list(key), "left")
+    new = F.col("s").isNull()
+    name = F.substring(F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.unix_micros(F.col("t.at").cast("timestamp")).cast("string")), 256), 1, 16)
+    return j.select(*key, F.when(new, name).otherwise(F.col("s.cycle")).alias("cycle"), F.when(new, "not_reviewed").otherwise(F.col("s.status")).alias("status"), new.alias("is_new"), F.when(new, F.col("t.source")).alias("created_from"), "n_triggers")
+
+
 def normal_issue(type_: Column, severity: Column) -> Column:
     """(type, severity) of a model's issue: null without a type, medium without a known
     severity."""

@@ -114,16 +114,16 @@ _COVERED = "floor(((contains({0}, 'the'))::INTEGER + (contains({0}, 'tion'))::IN
 _TOPICS = "floor(((contains({0}, 'licen') OR contains({0}, 'gnu'))::INTEGER + (contains({0}, 'and') OR contains({0}, 'ment'))::INTEGER) * 100::DOUBLE / 2 + 0.5)"
 
 
-@query(f"""WITH x AS (SELECT doc_id, lower(regexp_replace(coalesce(left(text, 200), ''), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS a, lower(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN coalesce(left(text, 100), '') ELSE coalesce(left(text, 400), '') END, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS b FROM documents),
+@query(f"""WITH x AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS a, lower(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN replace(replace(coalesce(text, ''), 'the', 'a'), 'ment', '') ELSE coalesce(text, '') || ' License tion' END, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS b FROM documents),
 c AS (SELECT doc_id, {_COVERED.format('a')} AS ta, {_COVERED.format('b')} AS tb, {_TOPICS.format('a')} AS da, {_TOPICS.format('b')} AS db FROM x), s AS (SELECT *, floor(ta * 0.45::DOUBLE + da * 0.55::DOUBLE + 0.5) AS before_score, floor(tb * 0.45::DOUBLE + db * 0.55::DOUBLE + 0.5) AS proposed_score FROM c)
 SELECT doc_id, before_score::BIGINT AS before_score, proposed_score::BIGINT AS proposed_score, (proposed_score - before_score)::BIGINT AS score_delta,
   list_filter([CASE WHEN tb < ta THEN 'benchmark title coverage decreased' END, CASE WHEN db < da THEN 'benchmark description coverage decreased' END], lambda x: x IS NOT NULL) AS regressions FROM s""")
 def benchmark_evaluation(t: Tables) -> DataFrame:
-    """Proposed against stored copy: .45 title terms and .55 topics, and what got worse."""
+    """Proposed against stored whole texts: .45 title terms and .55 topics, and what got worse."""
     from ..operators import dispositions
 
-    before = F.coalesce(F.substring("text", 1, 200), F.lit(""))
-    after = F.coalesce(F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 100)).otherwise(F.substring("text", 1, 400)), F.lit(""))
+    before = F.coalesce("text", F.lit(""))
+    after = F.when(F.col("doc_id") % 3 == 0, F.replace(F.replace(before, F.lit("the"), F.lit("a")), F.lit("ment"), F.lit(""))).otherwise(F.concat(before, F.lit(" License tion")))
     terms, topics = ("the", "tion", "License"), (("licen", "gnu"), ("and", "ment"))
     scored = t.documents.select("doc_id", *[f(c, w).alias(n) for f, w, p in ((text.coverage, terms, "t"), (text.topic_coverage, topics, "d")) for n, c in ((f"{p}a", before), (f"{p}b", after))])
     return dispositions.against_benchmark(scored, ("ta", "da"), ("tb", "db")).select("doc_id", "before_score", "proposed_score", "score_delta", "regressions")

@@ -32,7 +32,7 @@ def import_runs(t: Tables) -> DataFrame:
 
 
 @query("""SELECT doc_id, left(text, list_max(list_filter(range(0, 22), lambda i: strlen(left(text, i)) <= 21))) AS capped, coalesce(nullif(trim(lang, ' '), ''), nullif(trim(source, ' '), ''), 'none') AS first_filled,
-  list_filter(list_transform(regexp_split_to_array(left(text, 60), '[|;]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS items,
+  list_filter(list_transform(regexp_split_to_array(text, '[|;]'), lambda x: trim(x, ' ')), lambda x: x <> '') AS items,
   len(list_distinct(regexp_extract_all(text, '\\d+(?:\\.\\d+)?(?:cm|mm|kg|g|ml|l|%)?'))) AS n_numbers FROM documents WHERE text IS NOT NULL""")
 def cell_values(t: Tables) -> DataFrame:
     """Byte caps, first filled values, lists and numbers of all documents."""
@@ -42,7 +42,7 @@ def cell_values(t: Tables) -> DataFrame:
         "doc_id",
         text.utf8_cap(F.col("text"), 21).alias("capped"),
         F.coalesce(text.first_filled(F.col("lang"), F.col("source")), F.lit("none")).alias("first_filled"),
-        text.split_list(F.substring("text", 1, 60)).alias("items"),
+        text.split_list(F.col("text")).alias("items"),
         F.size(numbers).cast("long").alias("n_numbers"),
     )
 
@@ -81,6 +81,16 @@ def guarded_rows(t: Tables) -> DataFrame:
 
 @query("""SELECT r_name, n_name, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}' AS line FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def report_lines(t: Tables) -> DataFrame:
-    """A report written as JSON lines and read back."""
+    """The lines of a report, as they are in the table."""
     rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.select("r_name", "n_name", files.json_line(F.col("n_name"), F.col("n_nationkey")).alias("line"))
+
+
+@query("""SELECT '{"r_name":"' || r_name || '","n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"note":' || CASE WHEN n_nationkey % 2 = 0 THEN 'null' ELSE '"odd"' END || '}' AS line, (SELECT '{"rows":' || count(*) || '}' FROM nation) AS summary FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def report_written(t: Tables) -> DataFrame:
+    """A report written as JSON lines with its summary, and both read back as text."""
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey", F.when(F.col("n_nationkey") % 2 != 0, "odd").alias("note"))
+    folder = files.fresh_folder(t.spark, "report")
+    files.write_report(rows, folder, t.nation.agg(F.count("*").alias("rows")))
+    lines, summary = (t.spark.read.text(f"{folder}/{x}") for x in ("rows", "summary"))
+    return lines.select(F.col("value").alias("line")).join(F.broadcast(summary.select(F.col("value").alias("summary"))))

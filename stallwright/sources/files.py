@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,26 @@ def reject_rows(df: DataFrame, required: Sequence[str], numeric: Sequence[str] =
     return df.withColumn("errors", F.array_join(F.array_compact(F.array(*tests)), "; "))
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one
+    where the session has none and runs on this machine alone."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-landed-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one; it goes when the session's JVM ends."""
+    at = f"{_shared(spark)}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def land_raw(df: DataFrame, run_id: str, order: Sequence[str], source_key: str | None = None) -> DataFrame:
     """Raw rows of a run: (run_id, row_index, source_key, row_hash, raw, status). The
     index counts rows by ``order`` (make it total) from 1 without gaps, by a range sort
@@ -65,10 +86,7 @@ def land_raw(df: DataFrame, run_id: str, order: Sequence[str], source_key: str |
     ordered = df.select(*order, key.alias("source_key"), body.alias("raw")).repartitionByRange(*order).sortWithinPartitions(*order)
     part = F.spark_partition_id()
     placed = ordered.select("source_key", "raw", part.alias("part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("at"))
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-landed-"))
+    _shared(spark)
     placed = placed.checkpoint()
     # One row for each partition.
     before = placed.groupBy("part").agg(F.count("*").alias("n"))

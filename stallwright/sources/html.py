@@ -23,3 +23,16 @@ def product_cards(df: DataFrame, key: str, html: str, block: str, fields: dict[s
     fielded = F.transform(blocks, lambda b: F.struct(*[F.nullif(F.regexp_extract(b, p, 1), F.lit("")).alias(name) for name, p in fields.items()]))
     cards = df.select(key, F.posexplode(F.slice(F.array_distinct(fielded), 1, limit)).alias("at", "c"))
     return cards.select(key, (F.col("at") + 1).alias("rank"), "c.*")
+
+
+def ranked_cards(df: DataFrame, key: str, html: str, block: str, fields: dict[str, str], identity: list[str], sponsored: str, rank: str, limit: int) -> DataFrame:
+    """(key, rank, fields ...) of the first ``limit`` cards of each page that aren't
+    sponsored and have their identity, one for each identity (the first). A card's rank is
+    the number that ``rank`` finds in it, else its place among all cards of the page."""
+    cards = F.transform(F.regexp_extract_all(html, F.lit(block), F.lit(0)), lambda b, i: F.struct(b.alias("b"), (i + 1).alias("place")))
+    wanted = F.filter(cards, lambda c: ~c.b.rlike(sponsored))
+    part = lambda b, p: F.nullif(F.regexp_extract(b, p, 1), F.lit(""))
+    fielded = F.transform(wanted, lambda c: F.struct(F.coalesce(part(c.b, rank).try_cast("int"), c.place).alias("rank"), *[part(c.b, p).alias(n) for n, p in fields.items()], F.array(*[part(c.b, fields[n]) for n in identity]).alias("__id")))
+    named = df.select(key, F.filter(fielded, lambda c: ~F.exists(c["__id"], lambda x: x.isNull())).alias("c"))
+    first = F.filter("c", lambda c, i: F.array_position(F.transform("c", lambda d: d["__id"]), c["__id"]) == i + 1)
+    return named.select(key, F.inline(F.slice(first, 1, limit))).drop("__id")
