@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, digits, plus signs,
-schemes and identifier cues. Local parsers expand each anchor to the left and right,
+schemes, identifier cues (in any case) and the first letters of well-known forms of
+keys. Local parsers expand each anchor to the left and right,
 validate what they find and give exact boundaries; text without an anchor costs the
 one pass and nothing else.
 """
@@ -20,12 +21,30 @@ from .common import documents
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: What the method adds: logins in web addresses, account numbers after a cue, IBANs, and
-#: secrets (keys, tokens, passwords) after a cue or in armour.
+#: secrets (keys, tokens, passwords) after a cue, in armour or of a well-known form.
 ADDED_KINDS = ("login", "account", "iban", "secret")
 #: Words that announce an account or identity number (fixed values).
 CUES = ("account", "acct", "iban", "konto", "kontonummer", "compte", "cuenta", "passport", "ssn", "customer id", "kundennummer", "n° client")
 #: Words that announce a secret (fixed values).
 SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "api_key", "apikey", "access key", "access_key", "private key", "private_key", "bearer", "passwort", "contraseña", "mot de passe")
+#: Well-known forms of keys and tokens: first letters and the whole (fixed values).
+KEY_FORMS = {
+    "AKIA": "AKIA[0-9A-Z]{16}",
+    "ASIA": "ASIA[0-9A-Z]{16}",
+    "AIza": "AIza[0-9A-Za-z_-]{35}",
+    "ghp_": "ghp_[0-9A-Za-z]{36,}",
+    "gho_": "gho_[0-9A-Za-z]{36,}",
+    "ghs_": "ghs_[0-9A-Za-z]{36,}",
+    "github_pat_": "github_pat_[0-9A-Za-z_]{22,}",
+    "glpat-": "glpat-[0-9A-Za-z_-]{20,}",
+    "sk-": "sk-[0-9A-Za-z_-]{20,}",
+    "sk_live_": "sk_live_[0-9A-Za-z]{16,}",
+    "sk_test_": "sk_test_[0-9A-Za-z]{16,}",
+    "xox": "xox[abprs]-[0-9A-Za-z-]{10,}",
+    "hf_": "hf_[0-9A-Za-z]{30,}",
+    "eyJ": r"eyJ[0-9A-Za-z_-]{6,}\.[0-9A-Za-z_-]{6,}(?:\.[0-9A-Za-z_-]+)?",
+}
+_FORMS = {start: re.compile(f"(?:{form})(?![0-9A-Za-z_-])") for start, form in KEY_FORMS.items()}
 COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,6 +58,11 @@ _ACCOUNT = re.compile(r"(?:\s?(?:no|number|nr|num|id)\.?)?\s?[:#=]?\s?((?=[A-Z0-
 _SECRET = re.compile(r"""(?:["'`]?\s{0,2}(?::=|=>|[:=]|is\s)\s{0,2}|(?<=[Bb]earer)\s)(["'`]?)([^\s"'`<>,;()]{6,512})(?(1)\1)""")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END \1PRIVATE KEY-----")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: In lower case an IBAN is mostly digits, or words after two letters would do.
+_SMALL_IBAN = re.compile(r"[a-z]{2}[0-9]{2}(?: ?[a-z0-9]){11,30}(?![A-Za-z0-9])")
+_SMALL_DIGITS = 12
+#: Capitals inside a word, as in no word of a language.
+_MIXED = re.compile("[a-z][A-Z]|[A-Z]{2}[a-z]")
 
 
 def luhn(digits: str) -> bool:
@@ -53,7 +77,8 @@ def iban_ok(text: str) -> bool:
 
 def secret_span(text: str, at: int) -> tuple[int, int] | None:
     """Boundaries of the secret that a cue ending at a position announces. It mixes
-    digits with letters, or is quoted and has a digit or a mark inside."""
+    digits with letters, or is quoted and has a digit or a mark inside, or follows an
+    equals sign at once and has capitals inside."""
     if not (m := _SECRET.match(text, at)):
         return None
     start, end = m.span(2)
@@ -61,22 +86,28 @@ def secret_span(text: str, at: int) -> tuple[int, int] | None:
         end = start + len(text[start:end].rstrip(".:!?]}"))
     value = text[start:end]
     digit, letter = any(map(str.isdigit, value)), any(map(str.isalpha, value))
-    if len(value) < 6 or not (digit and letter or m[1] and not value.isalpha()):
+    tight = text[at:start].lstrip() in ("=", ":=") and _MIXED.search(value)
+    if len(value) < 6 or not (digit and letter or m[1] and not value.isalpha() or tight):
         return None
     return start, end
 
 
 def iban_end(text: str, at: int) -> int:
     """End of the IBAN at a position, 0 if there is none; capital words that follow are left off."""
-    m = _IBAN.match(text, at)
-    end = m.end() if m else 0
+    m = _IBAN.match(text, at) or _SMALL_IBAN.match(text, at)
+    end, small = m.end() if m else 0, text[at : at + 1].islower()
     while end and len(text[at:end].replace(" ", "")) >= 15:
-        if iban_ok(text[at:end]):
+        if iban_ok(text[at:end]) and (not small or sum(map(str.isdigit, text[at:end])) >= _SMALL_DIGITS):
             return end
         end = max(0, text.rfind(" ", at, end))
     return 0
 
 
+def _lowered(text: str) -> str:
+    """A-Z in lower case; every place stays."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 @cache
 def anchors():
     import ahocorasick
@@ -87,13 +118,14 @@ def anchors():
     a.add_word("@", ("at", 1))
     a.add_word("+", ("plus", 1))
     a.add_word("://", ("scheme", 3))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            a.add_word(form, ("cue", len(form)))
-    for cue in SECRET_CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            a.add_word(form, ("key", len(form)))
-    a.add_word("-----BEGIN ", ("armour", 11))
+    # The text is searched with A-Z lowered; other capitals need a form of their own.
+    for cues, kind in ((CUES, "cue"), (SECRET_CUES, "key")):
+        for cue in cues:
+            for form in {_lowered(cue), _lowered(cue.upper())}:
+                a.add_word(form, (kind, len(form)))
+    for start in KEY_FORMS:
+        a.add_word(start.lower(), ("form:" + start, len(start)))
+    a.add_word("-----begin ", ("armour", 11))
     a.make_automaton()
     return a
 
@@ -105,7 +137,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     find them; a match that fails its check is dropped and not tried again."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
     email_end = ip_end = chain_end = phone_end = account_end = bank_end = secret_end = 0
-    for last, (kind, size) in anchors().iter(text):
+    for last, (kind, size) in anchors().iter(_lowered(text)):
         i = last - size + 1
         if kind == "digit":
             if i >= ip_end:  # digit runs joined by single dots: each four are a match
@@ -126,8 +158,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                     digits = m[0].replace(" ", "").replace("-", "")
                     if 16 <= len(digits) <= 19 and luhn(digits):
                         found["card"].append((i, chain_end))
-            # An IBAN needs no cue: two capital letters at a word's start, then digits.
-            if i - 2 >= bank_end and text[i - 2 : i].isupper() and not (i > 2 and text[i - 3].isalnum()) and (end := iban_end(text, i - 2)):
+            # An IBAN needs no cue: two letters of one case at a word's start, then digits.
+            if i - 2 >= bank_end and text[i - 2 : i].isalpha() and (text[i - 2 : i].isupper() or text[i - 2 : i].islower()) and not (i > 2 and text[i - 3].isalnum()) and (end := iban_end(text, i - 2)):
                 bank_end = end
                 found["iban"].append((i - 2, end))
         elif kind == "at":
@@ -149,19 +181,25 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if i >= secret_end and (m := _ARMOUR.match(text, i)):
                 secret_end = m.end()
                 found["secret"].append(m.span())
+        elif kind.startswith("form:"):
+            if i >= secret_end and not (i and (text[i - 1].isalnum() or text[i - 1] == "_")) and (m := _FORMS[kind[5:]].match(text, i)):
+                secret_end = m.end()
+                found["secret"].append(m.span())
         elif kind == "key":
             if i >= secret_end and not (i and text[i - 1].isalnum()) and (span := secret_span(text, last + 1)):
                 secret_end = span[1]
                 found["secret"].append(span)
         elif i >= account_end and not (i and text[i - 1].isalnum()):
-            if m := _ACCOUNT.match(text, last + 1):
-                account_end = m.end()
-                found["account"].append(m.span(1))
             for at in range(last + 1, min(last + 4, len(text))):
                 if at >= bank_end and (end := iban_end(text, at)):
                     account_end, bank_end = max(account_end, end), end
                     found["iban"].append((at, end))
                     break
+            else:
+                if m := _ACCOUNT.match(text, last + 1):
+                    account_end = m.end()
+                    if not iban_end(text, m.start(1)):
+                        found["account"].append(m.span(1))
     return [(kind, *span) for kind, spans in found.items() for span in spans]
 
 
