@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, written
+from .common import documents, written
 
+#: White space of any script.
+SPACES = "[\\x20\\x09-\\x0D\\x85\\p{Z}]+"
 WINDOW = 8
-#: A benchmark window needs so many words that are no placeholders.
-MIN_LITERAL = 5
+#: A benchmark window needs so many words that are no placeholders; of a whole short
+#: item fewer will do, if its placeholders make up for them.
+MIN_LITERAL, MIN_SHORT_LITERAL, MIN_SHORT_TOKENS = 5, 3, 6
 #: An item leaks if a document holds this share of its usable windows.
 COVERAGE = 0.5
 #: More distinct benchmark windows, or item tokens, than this are joined by a shuffle.
@@ -83,8 +86,9 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     n_windows is their number in the item by that way.
 
     Way 0: template windows with enough plain words. Items without any have way 1,
-    windows (the whole item, if shorter) with their values, and, if the whole item
-    has enough plain words, way 2, its whole template."""
+    windows (the whole item, if shorter) with their values, and way 2, the whole
+    template, if it has enough plain words, or some and enough tokens in all: its typed
+    placeholders in their order then tell it apart."""
     literals = lambda t: F.size(F.filter(t, lambda x: ~x.startswith(MARK)))
     cut = lambda t, size: F.transform(_starts(t, size), lambda i: F.struct(i.alias("ipos"), F.slice(t, i + 1, size).alias("t")))
     hashed = lambda xs: F.transform(xs, lambda x: F.struct(x.ipos.alias("ipos"), F.xxhash64(x.t).alias("h")))
@@ -95,7 +99,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     named = F.concat(F.array(F.lit(f"{MARK}n")), F.slice(w, 2, n))
     wholes = F.transform(F.array(w, named), lambda t: F.struct(F.lit(0).alias("ipos"), F.xxhash64(t).alias("h")))
     exact = way(1, short, hashed(cut(plain(F.col("v")), short)))
-    others = F.when(literals(w) >= MIN_LITERAL, F.array(exact, way(2, n, wholes))).otherwise(F.array(exact))
+    whole = (literals(w) >= MIN_LITERAL) | ((literals(w) >= MIN_SHORT_LITERAL) & (n >= MIN_SHORT_TOKENS))
+    others = F.when(whole, F.array(exact, way(2, n, wholes))).otherwise(F.array(exact))
     first = F.transform(F.filter(usable, lambda x: x.ipos == 0), lambda x: F.struct(x.ipos.alias("ipos"), F.slice(named, 1, window).alias("t")))
     ways = F.when(F.size(usable) > 0, F.array(way(0, F.lit(window), hashed(F.concat(usable, first))))).otherwise(others)
     rows = items.select("item_id", "item", F.inline(ways))
@@ -134,8 +139,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     (several may have the same); windows at which it has more don't count.
 
     Items without usable windows (shorter than ``window``, or mostly placeholders) are
-    matched by windows with their values, or by the whole template if it has enough
-    plain words; the way with the largest coverage counts.
+    matched by windows with their values, or by the whole template if its plain words,
+    or these and its placeholders, tell it apart; the way with the largest coverage counts.
 
     Null and empty texts and items match nothing; repeated rows give one row; null ids
     are ids like any other; empty tables give an empty result; other columns are

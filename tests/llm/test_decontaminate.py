@@ -69,7 +69,7 @@ def slow_leaks(docs, items, window=8, literal=5, coverage=0.5):
         else:
             short = min(len(w), window)
             ways.append((1, short, [(i, unname(v)[i : i + short]) for i in range(len(w) - short + 1)]))
-            if enough(w):
+            if enough(w) or (sum(not is_slot(x) for x in w) >= dc.MIN_SHORT_LITERAL and len(w) >= dc.MIN_SHORT_TOKENS):
                 ways.append((2, len(w), [(0, w), (0, named)]))
         for doc, dw, dv in read:
             best = None
@@ -171,6 +171,15 @@ def test_inserted_word_and_partial_quote(spark):
     assert leaked(spark, [quote, clash], item) == [(0, 0), (1, 0)]
 
 
+def test_short_items_with_new_values_and_spaces_of_any_script(spark):
+    item = "What is 12 km plus 3 km"
+    docs = ["x What is 40 km plus 7 km y", "What is 40 km plus 7 miles", "What is 40 km minus 7 km", "What\u00a0is 12\u00a0km plus 3\u3000km", "so What is 5 km plus 5 km"]
+    # One unit stands for km twice, so the second text clashes; the third asks something else.
+    assert leaked(spark, docs, item) == [(0, 0), (3, 0), (4, 0)]
+    long = "Then 12 boys walk along the quiet river to the old mill and play there until late"
+    assert leaked(spark, [long.replace(" ", "\u3000"), long.replace(" along ", "\u2003along\u00a0")], long) == [(0, 0), (1, 0)]
+
+
 def test_items_without_usable_windows(spark):
     short, numbers, nouns = "Who wrote the novel about Ahab?", "3 4 8 15 16 23 42 7 9 11", "Der Hund von Anna und die Katze von Otto"
     tiny = "Is 7 prime?"
