@@ -101,6 +101,14 @@ def ngrams(text: Column, n: int) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.element_at(F.transform(F.array(chars), grams), 1))).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(text: Column, n: int) -> Column:
+    """Hash of the n characters at each place, as xxhash64 of their array; none of a
+    shorter text. No string is built."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    hashes = lambda cs: F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: F.xxhash64(F.slice(cs, i, F.lit(n))))
+    return F.when(F.length(text) >= n, F.element_at(F.transform(F.array(chars), hashes), 1)).otherwise(F.array().cast("array<long>"))
+
+
 #: Entities of visible text and what they stand for (fixed values), in the order they
 #: are replaced.
 ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}

@@ -98,11 +98,17 @@ def ngram_overlap(t: Tables) -> DataFrame:
     """Documents that share a 28-character stretch with a benchmark item. Up to
     BROADCAST_GRAMS grams of the items go to the documents, whose own grams are then
     not shuffled; beyond them both sides are."""
-    grams = lambda df, key: df.select(key, F.explode(text.ngrams(text.squeeze(F.col("text")), 28)).alias("gram"))
-    items = grams(t.benchmark, "item_id")
+    squeezed = lambda df, key: df.select(key, text.squeeze(F.col("text")).alias("s"))
+    grams = squeezed(t.benchmark, "item_id").select("item_id", F.explode(text.ngrams(F.col("s"), 28)).alias("gram"))
+    items = grams.select("item_id", "gram", text.gram_hashes(F.col("gram"), 28)[0].alias("h"))
     if items.count() <= BROADCAST_GRAMS:
         items = F.broadcast(items)
-    return grams(t.documents, "doc_id").join(items, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    docs = squeezed(t.documents, "doc_id")
+    found = docs.select("doc_id", F.posexplode(text.gram_hashes(F.col("s"), 28)).alias("pos", "h")).join(items, "h")
+    # A text's matches are compared with its characters once more: equal hashes aren't enough.
+    hits = found.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "item_id", "gram")).alias("hits"))
+    met = docs.join(hits, "doc_id").select("doc_id", F.filter("hits", lambda x: F.substring(F.col("s"), x.pos + 1, F.length(x.gram)) == x.gram).alias("x"))
+    return met.select("doc_id", F.explode(F.array_distinct(F.transform("x", lambda x: F.struct(x.item_id.alias("item_id"), x.gram.alias("gram"))))).alias("x")).groupBy("doc_id", "x.item_id").agg(F.count("*").alias("n_shared"))
 
 
 @query("""WITH d AS (SELECT DISTINCT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS term FROM documents), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1),
