@@ -26,6 +26,8 @@ from .common import documents, hashed_sample, scratch, written
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: The bisection: sampled documents, hashed terms, levels, and exchanges a level.
 SAMPLE_DOCS, FEATURES, LEVELS, EXCHANGES = 4_096, 1 << 15, 6, 10
+#: Ranges of the margin by which a cluster's documents are dealt to tasks.
+SLICES = 16
 #: A shard is closed at so many documents or postings (or at one document).
 SHARD_DOCS, SHARD_POSTINGS = 4_096, 1_000_000
 RANKED = 50
@@ -160,6 +162,16 @@ def _impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
     return 1_000_000_000 * tf // (1_000 * tf + 20 * norm)
 
 
+def _dealt(ordered: DataFrame) -> DataFrame:
+    """Documents dealt by cluster and range of the margin (its approximate quantiles in the
+    cluster), with equal amounts of text for each task: small parts are joined and large
+    ones, of many copies or of long texts, split."""
+    edges = [i / SLICES for i in range(1, SLICES)]
+    cuts = ordered.groupBy("cluster").agg(F.percentile_approx("margin", edges).alias("cuts"))  # at most 2^LEVELS rows
+    sliced = ordered.join(F.broadcast(cuts), "cluster").withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("margin"))))
+    return sliced.drop("cuts").hint("rebalance", "cluster", "slice")
+
+
 class LexicalIndex:
     """The written index, and the sums over all documents that scores need."""
 
@@ -170,9 +182,8 @@ class LexicalIndex:
 def build_index(docs: DataFrame) -> LexicalIndex:
     """docs(doc_id, text, ...) -> an index of every row with a term.
 
-    Equal texts have equal places in the order of (cluster, margin), and then go by
-    doc_id, so copies fill as many shards as they need. A shard's arrays are all that a
-    task holds. Null texts and those without a term are in no ranking; null and repeated
+    Equal texts have equal places in the order of (cluster, margin), and copies fill as
+    many shards as they need. A shard's arrays are all that a task holds. Null texts and those without a term are in no ranking; null and repeated
     ids are rows of their own; other columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     ordered = written(placed(docs), "placed")
@@ -201,7 +212,7 @@ def build_index(docs: DataFrame) -> LexicalIndex:
             yield from _shard_rows(shard, *held, n_docs, n_terms)
 
     by = ["cluster", "margin", "doc_id"]
-    rows = ordered.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text", "n").mapInArrow(shards, INDEX)
+    rows = _dealt(ordered).sortWithinPartitions(*by).select("doc_id", "text", "n").mapInArrow(shards, INDEX)
     return LexicalIndex(written(rows, "lexical-index"), n_docs, n_terms)
 
 
