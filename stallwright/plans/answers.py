@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_shape
+from ..functions import listing_copy as copy
 from ..sources.tables import Tables
 from .registry import query
 
@@ -166,3 +167,18 @@ def canonical_json_hashes(t: Tables) -> DataFrame:
     """Nested objects and arrays hash alike whatever the order of their keys."""
     body = _bodies(t, _NESTED_TEXT)
     return body.select("event_id", json_shape.canonical_json(F.col("body")).alias("canonical"), json_shape.json_hash(F.col("body")).alias("content_hash"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN coalesce(text, '') || ' {"role": "' || role || '", "turn": ' || turn || '} so be it' WHEN 1 THEN '```json' || chr(10) || '{"role": "' || role || '", "turn": ' || turn || ', "more": {"a": [1]}}' || chr(10) || '```'
+  WHEN 2 THEN '{"role": "' || role || '", "turn": ' || turn || '}{' || coalesce(text, '') ELSE coalesce(text, '') END AS answer FROM conversations),
+f AS (SELECT *, trim(regexp_replace(regexp_replace(trim(answer, ' '), '(?i)^```(?:json)?[\\s\\x0B]*', ''), '```$', ''), ' ') AS t FROM a), g AS (SELECT *, regexp_extract(t, '(?s)\\{.*\\}') AS i FROM f),
+b AS (SELECT conv_id, turn, CASE WHEN json_valid(t) AND t LIKE '{%' THEN t WHEN json_valid(i) AND i LIKE '{%' THEN i END AS body FROM g)
+SELECT conv_id, turn, body IS NOT NULL AS is_object, json_extract_string(body, '$.role') AS role, CAST(json_extract_string(body, '$.turn') AS BIGINT) AS said_turn FROM b""")
+def answers_in_turns(t: Tables) -> DataFrame:
+    """The JSON object that a turn of a conversation holds, in a fence or between its words."""
+    text, role, turn = F.coalesce("text", F.lit("")), F.col("role"), F.col("turn").cast("string")
+    body = F.concat(F.lit('{"role": "'), role, F.lit('", "turn": '), turn)
+    k = F.col("turn") % 4
+    answer = F.when(k == 0, F.concat(text, F.lit(" "), body, F.lit("} so be it"))).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit(', "more": {"a": [1]}}\n```'))).when(k == 2, F.concat(body, F.lit("}{"), text)).otherwise(text)
+    found = t.conversations.select("conv_id", "turn", copy.lenient_json(answer).alias("body"))
+    return found.select("conv_id", "turn", F.col("body").isNotNull().alias("is_object"), F.get_json_object("body", "$.role").alias("role"), F.get_json_object("body", "$.turn").cast("long").alias("said_turn"))

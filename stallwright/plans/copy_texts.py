@@ -10,6 +10,7 @@ from ..functions import listing_copy as copy
 from ..functions import text
 from ..operators import dispositions
 from ..sources.tables import Tables
+from . import evidence
 from .registry import query
 from .scores import opportunity
 
@@ -158,6 +159,20 @@ def copy_loop_of_texts(t: Tables) -> DataFrame:
     return j.select("doc_id", "reasons", "retried", F.when(F.col("retried"), F.col("second")).alias("second_reasons"), done.alias("disposition"), dispositions.instructions(F.col("reasons")).alias("instructions"))
 
 
+@query(f"""WITH {evidence.FACTS_OF_PARTS}, {_BASE}, {_WHY}, n AS (SELECT p_partkey, count(*) AS n_facts FROM facts GROUP BY 1),
+r AS (SELECT x.doc_id, coalesce(n_facts, 0) AS n_facts, why, list_filter([CASE WHEN coalesce(n_facts, 0) < 3 THEN 'insufficient_product_evidence' END, CASE WHEN len(why) = 0 AND x.doc_id % 2 = 0 THEN 'unsupported_opportunity_type' END, CASE WHEN source NOT IN {SHOPS} OR source IS NULL THEN 'shop_not_enabled' END], lambda r: r IS NOT NULL) AS reasons
+  FROM texts x JOIN why USING (doc_id) LEFT JOIN n ON p_partkey = x.doc_id) SELECT doc_id, n_facts, reasons, CASE WHEN len(reasons) = 0 THEN 'auto_fixable' ELSE 'needs_operator_review' END AS disposition FROM r""")
+def preflight_of_texts(t: Tables) -> DataFrame:
+    """Whether whole texts may be fixed without an operator: by the evidence of the part
+    with their number, their own weak points, and their shop."""
+    counts = evidence.part_facts(t).groupBy(F.col("p_partkey").alias("doc_id")).agg(F.count("*").alias("n_facts"))
+    x = _texts(t).select("doc_id", "source", "src", "title").join(counts, "doc_id", "left").withColumn("n_facts", F.coalesce("n_facts", F.lit(0)))
+    _, why = opportunity(F.col("title"), F.col("src"), F.lit(0))
+    found = F.when(why != "low_commercial_coverage", F.split(why, ",")).when(F.col("doc_id") % 2 == 1, F.array(F.lit("low_commercial_coverage"))).otherwise(F.array(F.lit("other")))
+    reasons = dispositions.preflight(found, F.col("n_facts"), F.coalesce(F.col("source").isin(*SHOPS), F.lit(False)))
+    return x.select("doc_id", "n_facts", reasons.alias("reasons")).withColumn("disposition", F.when(F.size("reasons") == 0, "auto_fixable").otherwise("needs_operator_review"))
+
+
 _NORM = "lower(regexp_replace({0}, '[\\s\\x0B　]+', '', 'g'))"
 _TOKENS = f"list_filter(list_transform(regexp_split_to_array(i.needle, '[\\s\\x0B　:：,，、。・()（）【】「」]+'), lambda t: {_NORM.format('t')}), lambda t: length(t) >= 2)"
 _EDGE = "^[、，,；;\\s\\x0B]+|[、，,；;\\s\\x0B]+$"

@@ -22,7 +22,7 @@ trimmed AS (SELECT * REPLACE (nullif(left(regexp_replace(value, '^[\\s\\x0B\\p{Z
 agreed AS (SELECT spu, pos, kind, label, min(value) AS value, 'variant_consensus' AS source_kind, 'product_variants.raw_payload:' || spu || ':' || key || ':consensus-' || count(*) AS source_ref FROM trimmed GROUP BY spu, pos, key, kind, label HAVING count(value) = count(*) AND min(value) = max(value)),
 every AS (SELECT *, source_ref AS id_ref FROM agreed UNION ALL SELECT spu, 0, 'identity', '商品マスター名', title, 'product_spu', 'product_spus:' || spu || ':title', 'product_spus.' || spu || '.title' FROM titles WHERE title <> ''),
 facts AS (SELECT spu AS p_partkey, pos, kind || '.' || substr(sha256(id_ref || ':' || value), 1, 12) AS evidence_id, kind, label, value, source_kind, source_ref, pos IN (0, 1, 2, 3, 4, 15, 16, 17) AS title_eligible FROM every QUALIFY row_number() OVER (PARTITION BY spu, kind, lower(value) ORDER BY pos) = 1)"""
-_FACTS = f"v AS (SELECT l_partkey AS spu, l_partkey AS part, l_suppkey, min(l_linenumber) AS line FROM lineitem GROUP BY ALL), titles AS (SELECT p_partkey AS spu, p_name AS title FROM part), {FACTS_OF}"
+FACTS_OF_PARTS = f"v AS (SELECT l_partkey AS spu, l_partkey AS part, l_suppkey, min(l_linenumber) AS line FROM lineitem GROUP BY ALL), titles AS (SELECT p_partkey AS spu, p_name AS title FROM part), {FACTS_OF}"
 
 _SQUEEZED = "list_filter(list_transform(regexp_split_to_array(value, '[。\\n]'), lambda s: trim(regexp_replace(s, '^[・0-9.\\s\\x0B]+', ''), ' ')), lambda s: length(s) BETWEEN 2 AND 32)"
 TERMS_OF = f"""terms AS (SELECT *, CASE WHEN length(value) <= 48 THEN [value] ELSE list_filter(w, lambda z, i: list_position(w, z) = i)[1:8] END AS terms FROM (SELECT *, list_concat(regexp_extract_all(value, '【([^】]{{2,24}})】', 1),
@@ -63,20 +63,20 @@ def supplied_parts(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")).agg(F.min("l_linenumber").alias("line"))
 
 
-def _facts(t: Tables) -> DataFrame:
+def part_facts(t: Tables) -> DataFrame:
     return evidence.facts(t.part.select("p_partkey", F.col("p_name").alias("title")), variants_of(t, supplied_parts(t), "p_partkey"), "p_partkey")
 
 
-@query(f"WITH {_FACTS} SELECT * FROM facts")
+@query(f"WITH {FACTS_OF_PARTS} SELECT * FROM facts")
 def evidence_facts(t: Tables) -> DataFrame:
     """What all suppliers of a part agree on, with ids that are the same on every run."""
-    return _facts(t)
+    return part_facts(t)
 
 
-@query(f"WITH {_FACTS}, {TERMS_OF}, u AS (SELECT DISTINCT p_partkey, evidence_id, lower(unnest(terms)) AS term FROM terms) SELECT term, evidence_id, p_partkey FROM u")
+@query(f"WITH {FACTS_OF_PARTS}, {TERMS_OF}, u AS (SELECT DISTINCT p_partkey, evidence_id, lower(unnest(terms)) AS term FROM terms) SELECT term, evidence_id, p_partkey FROM u")
 def evidence_term_index(t: Tables) -> DataFrame:
     """The inverted index from terms to evidence."""
-    return evidence.term_index(_facts(t), "p_partkey")
+    return evidence.term_index(part_facts(t), "p_partkey")
 
 
 #: Roles of terms in a profile: decision factors, differentiators, and the product's own
@@ -90,23 +90,23 @@ roles AS (SELECT * FROM decided UNION ALL SELECT * FROM differ UNION ALL SELECT
 numbered AS (SELECT p_partkey, role, row_number() OVER (PARTITION BY p_partkey, role ORDER BY n) AS n, id, terms FROM roles WHERE len(terms) > 0 OR role = 'difference')"""
 
 
-@query(f"""WITH {_FACTS}, {TERMS_OF}, own_terms AS (SELECT p_partkey, list_filter([p_type, p_brand], lambda b: length(b) >= 2) AS own FROM part), {ROLES_OF}
+@query(f"""WITH {FACTS_OF_PARTS}, {TERMS_OF}, own_terms AS (SELECT p_partkey, list_filter([p_type, p_brand], lambda b: length(b) >= 2) AS own FROM part), {ROLES_OF}
 SELECT p_partkey, identity, role, n, id, terms FROM numbered JOIN tokens USING (p_partkey)""")
 def generic_profiles(t: Tables) -> DataFrame:
     """Decision factors, differentiators and title terms of each part, one row each; type
     and brand stand for the benchmark's terms."""
     terms = t.part.select("p_partkey", F.posexplode(F.array("p_type", "p_brand")).alias("pos", "term"))
-    found = evidence.profiles(_facts(t), "p_partkey", terms)
+    found = evidence.profiles(part_facts(t), "p_partkey", terms)
     title = F.array(F.struct(F.lit("title").alias("id"), F.col("title_terms").alias("terms")))
     roles = [found.select("p_partkey", "identity", F.lit(role).alias("role"), F.posexplode(c).alias("n", "x")) for role, c in (("decision", F.col("decision_factors")), ("difference", F.col("differentiators")), ("title", title))]
     return roles[0].union(roles[1]).union(roles[2]).select("p_partkey", "identity", "role", (F.col("n") + 1).cast("long").alias("n"), "x.id", "x.terms")
 
 
-@query(f"""WITH {_FACTS}, lines AS (SELECT p_partkey, pos, array_to_string(list_concat([label || ': ' || {_canonical('value')} || CASE WHEN label LIKE '%cm' THEN 'cm' WHEN label LIKE '%kg' THEN 'kg' WHEN label = '入数' THEN '個' ELSE '' END], {_aliases('value')}), chr(10)) AS line FROM facts)
+@query(f"""WITH {FACTS_OF_PARTS}, lines AS (SELECT p_partkey, pos, array_to_string(list_concat([label || ': ' || {_canonical('value')} || CASE WHEN label LIKE '%cm' THEN 'cm' WHEN label LIKE '%kg' THEN 'kg' WHEN label = '入数' THEN '個' ELSE '' END], {_aliases('value')}), chr(10)) AS line FROM facts)
 SELECT p_partkey, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines GROUP BY p_partkey""")
 def evidence_texts(t: Tables) -> DataFrame:
     """What claims on a part are checked against: plain numbers with their units."""
-    return evidence.evidence_texts(_facts(t), "p_partkey")
+    return evidence.evidence_texts(part_facts(t), "p_partkey")
 
 
 @query(f"SELECT doc_id, sha256({_canonical('text')}) AS canonical_sha256, {_aliases('text')} AS aliases FROM documents")
@@ -115,13 +115,13 @@ def number_aliases_of_texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(copy.canonical_numbers(F.col("text")), 256).alias("canonical_sha256"), copy.number_aliases(F.col("text")).alias("aliases"))
 
 
-@query(f"""WITH {_FACTS}, c AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_name END AS text FROM part),
+@query(f"""WITH {FACTS_OF_PARTS}, c AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE p_name END AS text FROM part),
 near AS (SELECT c.p_partkey, text, coalesce(list(evidence_id ORDER BY f.p_partkey, pos) FILTER (WHERE evidence_id IS NOT NULL), []) AS ids, coalesce(list(evidence_id ORDER BY f.p_partkey, pos) FILTER (WHERE f.p_partkey <> c.p_partkey), []) AS foreign_ids
   FROM c LEFT JOIN facts f ON f.p_partkey IN (c.p_partkey, c.p_partkey + 1) AND f.kind = 'material' AND c.p_partkey % 3 > 0 GROUP BY c.p_partkey, text)
 SELECT p_partkey, list_concat(list_filter([CASE WHEN text = ' ' THEN 'hard claim text must not be blank' END, CASE WHEN len(ids) = 0 THEN 'hard claim has no evidence: ' || text END], lambda e: e IS NOT NULL), list_transform(foreign_ids, lambda i: 'hard claim references unknown evidence ID: ' || i)) AS errors FROM near""")
 def claim_attribution_errors(t: Tables) -> DataFrame:
     """A claim for each part that cites its own material and the next part's, if any."""
-    found = _facts(t)
+    found = part_facts(t)
     material = found.where("kind = 'material'").select(F.col("p_partkey").alias("of"), "evidence_id")
     cited = material.select(F.explode(F.array("of", F.col("of") - 1)).alias("p_partkey"), F.struct("of", "evidence_id").alias("x")).where("p_partkey % 3 > 0")
     ids = cited.groupBy("p_partkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select("p_partkey", F.col("x.evidence_id").alias("evidence_ids"))
