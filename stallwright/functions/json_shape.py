@@ -7,7 +7,7 @@ compiled to one expression that names each fault by its path.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column
@@ -44,13 +44,28 @@ def _is(kind: Column, value: Column, wanted: str) -> Column:
     return {"string": kind == "STRING", "boolean": kind == "BOOLEAN", "null": kind == "VOID", "number": kind.rlike(_NUMBER), "object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY")}[wanted]
 
 
-def _faults(base: Column, at: str, path: Column, schema: Mapping[str, Any]) -> Column:
-    """Faults of the value at ``at`` of a VARIANT, which is there; ``path`` is its name."""
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it's used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _faults(value: Column, path: Column, schema: Mapping[str, Any]) -> Column:
+    """Faults of a VARIANT that is there; ``path`` is its name."""
     if odd := set(schema) - _KNOWN - _NOTES:
         raise ValueError(f"not supported in a schema: {sorted(odd)}")
-    get = lambda kind: F.try_variant_get(base, at, kind)
+    return _bound(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")), lambda x: _checked(x.v, x.kind, path, schema))
+
+
+def _found(path: Column, missing: Column, schema: Mapping[str, Any] | None) -> Callable[[Column], Column]:
+    """Faults of a property: those of its value, or what it means that there's none."""
+    none = F.array().cast(_NONE)
+    return lambda child: F.when(child.isNull(), missing).otherwise(none if schema is None else _faults(child, path, schema))
+
+
+def _checked(v: Column, kind: Column, path: Column, schema: Mapping[str, Any]) -> Column:
+    get = lambda as_: F.try_variant_get(v, "$", as_)
     fault = lambda broken, what: F.when(broken, F.concat(path, F.lit(f": {what}")))
-    kind, number, string = F.schema_of_variant(get("variant")), get("double"), get("string")
+    number, string = get("double"), get("string")
     rules, parts = [], []
     if "enum" in schema:
         rules.append(fault(~F.coalesce(string.isin(*schema["enum"]), F.lit(False)), f"not one of {', '.join(map(str, schema['enum']))}"))
@@ -62,16 +77,16 @@ def _faults(base: Column, at: str, path: Column, schema: Mapping[str, Any]) -> C
             rules.append(fault(broken(schema[key]), f"{what} {schema[key]}"))
     if "pattern" in schema:
         rules.append(fault(~string.rlike(schema["pattern"]), f"doesn't match {schema['pattern']}"))
-    wanted = schema.get("required", [])
+    none, wanted = F.array().cast(_NONE), schema.get("required", [])
     for name in [*wanted, *(n for n in schema.get("properties", {}) if n not in wanted)]:
-        below, its = f'{at}["{name}"]', F.concat(path, F.lit(f".{name}"))
-        missing = F.array(F.concat(its, F.lit(": required"))) if name in wanted else F.array().cast(_NONE)
-        found = _faults(base, below, its, schema["properties"][name]) if name in schema.get("properties", {}) else F.array().cast(_NONE)
-        parts.append(F.when(F.try_variant_get(base, below, "variant").isNull(), missing).otherwise(found))
+        its = F.concat(path, F.lit(f".{name}"))
+        missing = F.array(F.concat(its, F.lit(": required"))) if name in wanted else none
+        under = schema.get("properties", {}).get(name)
+        parts.append(_bound(F.try_variant_get(v, f'$["{name}"]', "variant"), _found(its, missing, under)))
     if "items" in schema:
-        each = F.transform(get("array<variant>"), lambda x, i: _faults(x, "$", F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), schema["items"]))
-        parts.append(F.coalesce(F.flatten(each), F.array().cast(_NONE)))
-    own = F.array_compact(F.array(*rules)) if rules else F.array().cast(_NONE)
+        each = F.transform(get("array<variant>"), lambda x, i: _faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), schema["items"]))
+        parts.append(F.coalesce(F.flatten(each), none))
+    own = F.array_compact(F.array(*rules)) if rules else none
     inner = F.concat(own, *parts) if parts else own
     if "type" not in schema:
         return inner
@@ -85,5 +100,4 @@ def shape_errors(body: Column, schema: Mapping[str, Any]) -> Column:
     Understands type, required, properties, items, enum (of strings), minimum, maximum,
     minLength, maxLength and pattern; a schema with anything else is refused. A value of
     the wrong type has no other fault."""
-    parsed = F.try_parse_json(body)
-    return F.when(parsed.isNull(), F.array(F.lit("$: not JSON"))).otherwise(_faults(parsed, "$", F.lit("$"), schema))
+    return _bound(F.try_parse_json(body), lambda v: F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(_faults(v, F.lit("$"), schema)))
