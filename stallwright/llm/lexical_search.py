@@ -26,6 +26,9 @@ from .common import documents, hashed_sample, scratch, written
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: The bisection: sampled documents, hashed terms, levels, and exchanges a level.
 SAMPLE_DOCS, FEATURES, LEVELS, EXCHANGES = 4_096, 1 << 15, 6, 10
+#: A cluster's documents fall into so many ranges of the margin; a task gets ranges of
+#: about so many bytes of text.
+SLICES, TASK_BYTES = 16, 16 << 20
 #: A shard is closed at so many documents or postings (or at one document).
 SHARD_DOCS, SHARD_POSTINGS = 4_096, 1_000_000
 RANKED = 50
@@ -160,6 +163,22 @@ def _impact(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
     return 1_000_000_000 * tf // (1_000 * tf + 20 * norm)
 
 
+def _dealt(ordered: DataFrame) -> DataFrame:
+    """A written table of placed documents, dealt to tasks by their order in parts of about
+    TASK_BYTES of text: neighbouring ranges of the margin (its approximate quantiles in
+    each cluster) share a task, and a range that is larger, of many copies or of long
+    texts, is split by row. 2^LEVELS * SLICES sizes are all that is gathered."""
+    edges = [i / SLICES for i in range(1, SLICES)]
+    cuts = ordered.groupBy("cluster").agg(F.percentile_approx("margin", edges).alias("cuts"))
+    sliced = ordered.join(F.broadcast(cuts), "cluster").withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("margin")))).drop("cuts")
+    sizes = sliced.groupBy("cluster", "slice").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    before = F.sum("bytes").over(Window.orderBy("cluster", "slice")) - F.col("bytes")
+    parts = sizes.select("cluster", "slice", F.floor(before / TASK_BYTES).alias("first"), F.ceil(F.col("bytes") / TASK_BYTES).alias("pieces"))
+    last = parts.agg(F.max(F.col("first") + F.col("pieces"))).first()[0]
+    dealt = sliced.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(parts), ["cluster", "slice"])
+    return dealt.repartitionById(int(last or 1), (F.col("first") + F.pmod("row", "pieces")).cast("int"))
+
+
 class LexicalIndex:
     """The written index, and the sums over all documents that scores need."""
 
@@ -170,9 +189,8 @@ class LexicalIndex:
 def build_index(docs: DataFrame) -> LexicalIndex:
     """docs(doc_id, text, ...) -> an index of every row with a term.
 
-    Equal texts have equal places in the order of (cluster, margin), and then go by
-    doc_id, so copies fill as many shards as they need. A shard's arrays are all that a
-    task holds. Null texts and those without a term are in no ranking; null and repeated
+    Equal texts have equal places in the order of (cluster, margin), and copies fill as
+    many shards as they need. A shard's arrays are all that a task holds. Null texts and those without a term are in no ranking; null and repeated
     ids are rows of their own; other columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
     ordered = written(placed(docs), "placed")
@@ -201,7 +219,7 @@ def build_index(docs: DataFrame) -> LexicalIndex:
             yield from _shard_rows(shard, *held, n_docs, n_terms)
 
     by = ["cluster", "margin", "doc_id"]
-    rows = ordered.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text", "n").mapInArrow(shards, INDEX)
+    rows = _dealt(ordered).sortWithinPartitions(*by).select("doc_id", "text", "n").mapInArrow(shards, INDEX)
     return LexicalIndex(written(rows, "lexical-index"), n_docs, n_terms)
 
 

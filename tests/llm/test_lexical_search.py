@@ -54,6 +54,7 @@ def test_terms():
 def test_small_shards_many_rounds_and_ties(spark, monkeypatch, shard_docs, ranked, wider):
     monkeypatch.setattr(ls, "SHARD_DOCS", shard_docs)
     monkeypatch.setattr(ls, "WIDER", wider)
+    monkeypatch.setattr(ls, "TASK_BYTES", 3_000 * shard_docs)  # ranges share a task, or are split
     frame = brute.documents().head(150)
     docs = [(int(d), t) for d, t in zip(frame.doc_id, frame.text, strict=True)] + [(r[0], r[1]) for r in brute.ODD]
     docs += [(1_000 + i, docs[3][1]) for i in range(40)] + [(None, docs[3][1])]  # ties over many shards
