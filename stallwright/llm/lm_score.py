@@ -5,10 +5,10 @@ VOCABULARY most frequent words travel to the tasks; all rarer ones form the tail
 whose counts are joined. A gated recurrent unit reads the texts; its output softmax
 is factored into classes of like probability mass and words within a class. Words
 beyond the model's own share one class (two with the tail), within which the counts
-give the probability. The weights are fitted in numpy by backpropagation truncated
-to STEPS words, on a fixed share of the training texts, whole and of any length: each
-round's tasks fit on from the same weights, and a weighted mean by block of weights
-ends the round. Scoring carries the state on from window to window, so a text's score
+give the probability. Words become ids once, in a table that fitting and scoring read.
+The weights are fitted in numpy by backpropagation truncated to STEPS words, on all
+training texts, whole and of any length: each round's tasks fit on from the same
+weights, and a weighted mean by block of weights ends the round. Scoring carries the state on from window to window, so a text's score
 is that of the complete text.
 """
 
@@ -18,6 +18,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,11 @@ FOLDS, HELD_OUT = 5, 1
 #: Words whose counts travel to the tasks; words the model tells apart; their classes.
 VOCABULARY, MODEL_WORDS, CLASSES = 131_072, 4_096, 64
 HIDDEN, STEPS, LANES, SCORE_STEPS = 24, 32, 384, 32
-#: The weights are fitted on FIT_SHARE of all training texts, chosen by a hash: in each of
-#: ROUNDS rounds on other ones, in tasks of about TASK_CHARS characters. Beyond FIT_TASKS
-#: tasks each has more texts.
-FIT_SHARE, ROUNDS, TASK_CHARS, FIT_TASKS = 0.25, 4, 4_000_000, 4_096
-FIT_LANES, RATE, BLOCK = 64, 0.01, 16_384
-#: A task's counts and a chunk of texts are bounded by so many words.
+#: Each training text is in one of ROUNDS rounds, chosen by a hash; a round's tasks have
+#: about TASK_TOKENS tokens each. Beyond FIT_TASKS tasks each has more texts.
+ROUNDS, TASK_TOKENS, FIT_TASKS = 4, 1_280_000, 4_096
+FIT_LANES, RATE, BLOCK = 256, 0.03, 16_384
+#: A task's counts and a chunk of texts are bounded by so many words (or one text).
 COUNT_WORDS, CHUNK_WORDS = 300_000, 1_200_000
 #: Numbers at one level of the search for the least count.
 LEVEL_BITS = 16
@@ -84,52 +84,79 @@ class Lexicon:
         return np.where(self.hashes[at] == hashes, self.ids[at], self.tail)
 
 
-def numbered(texts: list[str | None], lexicon: Lexicon) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Per text its ids with the end, and the numbers of its words; the words' hashes."""
+class Numbers(dict):
+    """Words numbered as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def numbered(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts, each with its end; per text its number of words; the numbers of
+    all words; the hashes of the words by number."""
     from xxhash import xxh64_intdigest
 
-    split = [words_of(t, lower=True) for t in texts]
-    number: dict[bytes, int] = {}
-    for words in split:
-        for w in dict.fromkeys(words):
-            number.setdefault(w, len(number))
+    split, number = [words_of(t, lower=True) for t in texts], Numbers()
+    length = np.fromiter(map(len, split), np.int64, len(split))
+    numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, length.sum())
     hashes = np.fromiter(map(xxh64_intdigest, number), np.uint64, len(number)).view(np.int64)
-    ids = lexicon.lookup(hashes)
-    numbers = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words in split]
-    return [np.append(ids[x], END) for x in numbers], numbers, hashes
+    tokens = np.full(len(numbers) + len(texts), END, np.int32)
+    inside = np.ones(len(tokens), bool)
+    inside[np.cumsum(length + 1) - 1] = False
+    tokens[inside] = lexicon.lookup(hashes)[numbers]
+    return tokens, length, numbers, hashes
+
+
+class Steps:
+    """Values by step and lane, laid end to end: step t has as many as lanes are active."""
+
+    def __init__(self, flat: np.ndarray, offset: np.ndarray):
+        self.flat, self.offset = flat, offset
+
+    def __getitem__(self, at: tuple) -> np.ndarray:
+        step, lanes = at
+        return self.flat[self.offset[step] : self.offset[step + 1]][lanes]
 
 
 class Lanes:
-    """Texts laid end to end in lanes of like length, the longest lane first. step t
-    has the first active[t] lanes; text, before and target are steps x lanes."""
+    """Texts laid end to end in lanes of like length, the longest lane first. Step t
+    has the first active[t] lanes; target, before, text and first have a value for
+    each token and no more, so a long text takes no room beside the lanes that ended."""
 
     def __init__(self, ids: list[np.ndarray], lanes: int):
         heap = [(0, i) for i in range(min(lanes, max(1, len(ids))))]
         members: list[list[int]] = [[] for _ in heap]
-        for i in sorted(range(len(ids)), key=lambda i: (-len(ids[i]), i)):
-            load, lane = heapq.heappop(heap)
+        size = [len(x) for x in ids]
+        for i in sorted(range(len(ids)), key=lambda i: (-size[i], i)):
+            load, lane = heap[0]
             members[lane].append(i)
-            heapq.heappush(heap, (load + len(ids[i]), lane))
-        members.sort(key=lambda x: -sum(len(ids[i]) for i in x))
-        loads = [sum(len(ids[i]) for i in x) for x in members]
-        shape = (max(loads, default=0), len(members))
-        self.target, self.before, self.text = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-        self.first = np.zeros(shape, bool)
-        for lane, own in enumerate(members):
-            at = 0
-            for i in own:
-                n = len(ids[i])
-                self.target[at : at + n, lane] = ids[i]
-                self.before[at + 1 : at + n, lane] = ids[i][:-1]
-                self.text[at : at + n, lane] = i
-                self.first[at, lane] = True
-                at += n
-        self.before[self.first] = END
-        self.active = (np.array(loads)[None, :] > np.arange(shape[0])[:, None]).sum(axis=1)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+            heapq.heapreplace(heap, (load + size[i], lane))
+        members.sort(key=lambda x: -sum(size[i] for i in x))
+        loads = np.array([sum(size[i] for i in x) for x in members])
+        steps = int(loads.max(initial=0))
+        self.active = len(loads) - np.cumsum(np.bincount(loads, minlength=steps + 1))[:steps]
+        self.offset = np.append(0, np.cumsum(self.active))
+        order = [i for x in members for i in x]
+        length = np.array([size[i] for i in order], np.int64)
+        token = np.concatenate([np.asarray(ids[i], np.int32) for i in order]) if order else np.zeros(0, np.int32)
+        starts = (np.cumsum(length) - length)[length > 0]
+        at = self.offset[np.arange(len(token)) - np.repeat(np.cumsum(loads) - loads, loads)] + np.repeat(np.arange(len(loads)), loads)
+        before = np.append(np.int32(END), token[:-1])[: len(token)]
+        before[starts] = END
+        first = np.zeros(len(token), bool)
+        first[starts] = True
+        laid = []
+        for x in (token, before, np.repeat(np.array(order, np.int32), length), first):
+            flat = np.empty_like(x)
+            flat[at] = x
+            laid.append(Steps(flat, self.offset))
+        self.target, self.before, self.text, self.first = laid
+
+    def stop(self, start: int, steps: int, tokens: int) -> int:
+        """The end of a window of at least so many steps and, where the lanes have them, tokens."""
+        full = int(np.searchsorted(self.offset, self.offset[start] + tokens))
+        return min(max(start + steps, full), len(self.active))
 
 
 def new_weights(lexicon: Lexicon, seed: int = 7) -> dict[str, np.ndarray]:
@@ -142,114 +169,174 @@ def new_weights(lexicon: Lexicon, seed: int = 7) -> dict[str, np.ndarray]:
     return w
 
 
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """rows x 3 HIDDEN -> 3 x rows x HIDDEN: update gate, reset gate, new state."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
+
+
 def run_window(w: dict[str, np.ndarray], lexicon: Lexicon, lanes: Lanes, start: int, stop: int, state: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
     """The steps start .. stop - 1 -> (states, the state to carry on, what backward needs)."""
-    h, trace, rows = HIDDEN, [], []
-    for t in range(start, min(stop, len(lanes.active))):
-        a = lanes.active[t]
-        going = ~lanes.first[t, :a, None]
-        state = state[:a] * going
-        x = lexicon.input_of[lanes.before[t, :a]]
-        gx, gh = w["input"][x], state @ w["update"]
-        zr = _sigmoid(gx[:, : 2 * h] + gh[:, : 2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        new = np.tanh(gx[:, 2 * h :] + r * gh[:, 2 * h :])
-        old, state = state, new + z * (state - new)
-        rows.append(state)
+    h, stop = HIDDEN, min(stop, len(lanes.active))
+    ends = (lanes.offset[start : stop + 1] - lanes.offset[start]).tolist()
+    own = slice(lanes.offset[start], lanes.offset[stop])
+    x, first = lexicon.input_of[lanes.before.flat[own]], lanes.first.flat[own]
+    fresh = np.logical_or.reduceat(first, ends[:-1]).tolist() if len(x) else []
+    going = ~first[:, None]
+    gates = _by_gate(w["input"]).take(x, axis=1)
+    update = _by_gate(w["update"])
+    states = np.empty((len(x), h), gates.dtype)
+    old, product = (np.empty_like(states) if keep else None for _ in range(2))
+    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        state = state[: b - a]
+        if fresh[i]:
+            state = state * going[a:b]
+        zr, n, gh = gates[:2, a:b], gates[2, a:b], state @ update
+        zr += gh[:2]  # the logistic function in place
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        ghn = gh[2]
         if keep:
-            trace.append((x, old, z, r, new, gh[:, 2 * h :], going))
-    return np.concatenate(rows), state, trace
+            old[a:b], product[a:b] = state, ghn
+        ghn *= zr[1]
+        n += ghn
+        np.tanh(n, out=n)
+        new = np.subtract(state, n, out=states[a:b])
+        new *= zr[0]
+        new += n
+        state = new
+    return states, state, [ends, x, old, gates, product, going] if keep else []
+
+
+def _exponentials(q: np.ndarray, bias: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """q becomes e ** q, a row's greatest taken off where up to ``reach`` might be too
+    much -> (e ** bias but for a factor, sums of both multiplied, log of the true sums)."""
+    top = bias.max()
+    scale = np.exp(bias - top)
+    if reach > 60:
+        most = q.max(axis=1)
+        q -= most[:, None]
+        top = top + most
+    np.exp(q, out=q)
+    norm = q @ scale
+    return scale, norm, np.log(norm) + top
 
 
 def output(w: dict[str, np.ndarray], lexicon: Lexicon, states: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each target, and with ``grads`` the slope at the states."""
+    """Natural log probability of each target, and with ``grads`` the slope at the states.
+
+    With s the scale and n the norm of a row, its probabilities are e ** q * s / n; the
+    gradients multiply by s and n on their smaller sides."""
     group = lexicon.class_of[target]
-    logits = states @ w["classes"] + w["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    norm = p.sum(axis=1)
-    rows = np.arange(len(target))
-    logp = logits[rows, group] - np.log(norm) + lexicon.log_in_class[target]
+    order = np.argsort(group.astype(np.int16), kind="stable")  # rows of one class side by side
+    group, target, sorted_states = group[order], target[order], states.take(order, axis=0)
+    ends = np.searchsorted(group, np.arange(len(lexicon.starts) + 1)).tolist()
+    last = ends[-1]  # from here on the class is all
+    rows, heads, words = np.arange(len(target)), w["classes"].T.take(group, axis=0), w["words"].take(target[:last], axis=0)
+    q = sorted_states @ w["classes"]
+    scale, norm, log_norm = _exponentials(q, w["class_bias"], np.abs(w["classes"]).sum(axis=0).max())
+    logp = np.einsum("ij,ij->i", sorted_states, heads) + w["class_bias"][group] - log_norm + lexicon.log_in_class[target]
     slope = None
     if grads is not None:
-        p /= norm[:, None]
-        p[rows, group] -= 1
-        grads["classes"] += states.T @ p
-        grads["class_bias"] += p.sum(axis=0)
-        slope = p @ w["classes"].T
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(len(lexicon.starts) + 1))
-    for c, (first, size) in enumerate(zip(lexicon.starts, lexicon.sizes, strict=True)):
-        own = order[ends[c] : ends[c + 1]]
-        if size == 1 or not len(own):
+        q[rows, group] -= norm / scale[group]
+        share = 1 / norm
+        grads["classes"] += ((sorted_states * share[:, None]).T @ q) * scale
+        grads["class_bias"] += (share @ q) * scale
+        slope = (q @ (w["classes"] * scale).T) * share[:, None]
+    logp[:last] += np.einsum("ij,ij->i", sorted_states[:last], words) + w["word_bias"][target[:last]]
+    reach = np.abs(w["words"]).sum(axis=1).max(initial=0)
+    for c, (begin, size) in enumerate(zip(lexicon.starts.tolist(), lexicon.sizes.tolist(), strict=True)):
+        a, b = ends[c], ends[c + 1]
+        if a == b:
             continue
-        s, words = states[own], slice(first, first + size)
-        q = s @ w["words"][words].T + w["word_bias"][words]
-        q -= q.max(axis=1, keepdims=True)
-        at, e = target[own] - first, np.exp(q)
-        norm = e.sum(axis=1)
-        logp[own] += q[np.arange(len(own)), at] - np.log(norm)
+        own, s = slice(begin, begin + size), sorted_states[a:b]
+        if size == 1:
+            logp[a:b] -= s @ w["words"][begin] + w["word_bias"][begin]
+            continue
+        q = s @ w["words"][own].T
+        scale, norm, log_norm = _exponentials(q, w["word_bias"][own], reach)
+        logp[a:b] -= log_norm
         if grads is not None:
-            e /= norm[:, None]
-            e[np.arange(len(own)), at] -= 1
-            grads["words"][words] += e.T @ s
-            grads["word_bias"][words] += e.sum(axis=0)
-            slope[own] += e @ w["words"][words]
-    return logp, slope
+            at = target[a:b] - begin
+            q[rows[: b - a], at] -= norm / scale[at]
+            share = 1 / norm
+            grads["words"][own] += (q.T @ (s * share[:, None])) * scale[:, None]
+            grads["word_bias"][own] += (share @ q) * scale
+            slope[a:b] += (q @ (w["words"][own] * scale[:, None])) * share[:, None]
+    back = np.empty_like(order)
+    back[order] = rows
+    return logp[back], None if slope is None else slope.take(back, axis=0)
 
 
 def backward(w: dict[str, np.ndarray], slope: np.ndarray, trace: list, grads: dict[str, np.ndarray]) -> None:
-    """Through the steps of one window, from last to first."""
-    h, end, carried = HIDDEN, len(slope), np.zeros((0, HIDDEN), slope.dtype)
-    rows, gates = [], []
-    for i in range(len(trace) - 1, -1, -1):
-        x, old, z, r, new, ghn, fresh = trace[i]
-        d = slope[end - len(x) : end].copy()
-        end -= len(x)
+    """Through the steps of one window, from last to first, STEPS at a time."""
+    h, (ends, x, old, gates, product, going) = HIDDEN, trace
+    z, r, new = gates
+    by_new = (1 - z) * (1 - new * new)
+    by_z = (old - new) * z * (1 - z)
+    by_r = product * r * (1 - r)
+    gh, dn = np.empty_like(gates), np.empty_like(new)
+    back, carried = np.ascontiguousarray(_by_gate(w["update"]).transpose(0, 2, 1)), np.zeros((0, h), slope.dtype)
+    for i in range(len(ends) - 2, -1, -1):
+        a, b = ends[i], ends[i + 1]
+        d, own = slope[a:b], dn[a:b]
         d[: len(carried)] += carried
-        dn = d * (1 - z) * (1 - new * new)
-        dz = d * (old - new) * z * (1 - z)
-        dr = dn * ghn * r * (1 - r)
-        gx = np.concatenate([dz, dr, dn], axis=1)
-        gh = np.concatenate([dz, dr, dn * r], axis=1)
-        rows.append(x)
-        gates.append(gx)
-        grads["update"] += old.T @ gh
-        carried = (d * z + gh @ w["update"].T) * fresh  # nothing flows back over a text's start
-    if rows:  # each input's rows are summed once for the window
-        x, gx = np.concatenate(rows), np.concatenate(gates)
-        order = np.argsort(x, kind="stable")
-        starts = np.flatnonzero(np.diff(x[order], prepend=-1))
-        grads["input"][x[order[starts]]] += np.add.reduceat(gx[order], starts)
+        np.multiply(d, by_new[a:b], out=own)
+        np.multiply(d, by_z[a:b], out=gh[0, a:b])
+        np.multiply(own, by_r[a:b], out=gh[1, a:b])
+        np.multiply(own, r[a:b], out=gh[2, a:b])
+        carried = np.zeros((0, h), slope.dtype)
+        if i % STEPS:
+            carried = d * z[a:b]
+            for k in range(3):
+                carried += gh[k, a:b] @ back[k]
+            carried *= going[a:b]  # nothing flows back over a text's start
+    grads["update"] += np.concatenate([old.T @ g for g in gh], axis=1)
+    gx = np.concatenate([gh[0], gh[1], dn], axis=1)
+    order = np.argsort(x.astype(np.int16 if len(w["input"]) < 1 << 15 else np.int64), kind="stable")
+    x = x[order]  # each input's rows are summed once for the window
+    starts = np.flatnonzero(np.diff(x, prepend=-1))
+    grads["input"][x[starts]] += np.add.reduceat(gx.take(order, axis=0), starts)
 
 
 class Fitting:
-    """Adam over windows of STEPS steps, the state carried from window to window."""
+    """Adam over windows of at least STEPS steps and FIT_LANES * STEPS tokens, the state
+    carried from window to window."""
 
     def __init__(self, w: dict[str, np.ndarray], lexicon: Lexicon, rate: float):
         self.w, self.lexicon, self.rate, self.updates, self.tokens = w, lexicon, rate, 0, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.m, self.v, self.grads, self.room = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(4))
 
-    def read(self, texts: list[str | None]) -> None:
-        lanes = Lanes(numbered(texts, self.lexicon)[0], FIT_LANES)
+    def read(self, ids: list[np.ndarray]) -> None:
+        lanes, start = Lanes(ids, FIT_LANES), 0
         state = np.zeros((lanes.active[0] if len(lanes.active) else 0, HIDDEN), np.float32)
-        for start in range(0, len(lanes.active), STEPS):
-            grads = {k: np.zeros_like(x) for k, x in self.w.items()}
-            states, state, trace = run_window(self.w, self.lexicon, lanes, start, start + STEPS, state, keep=True)
-            stop = start + len(trace)
-            target = np.concatenate([lanes.target[t, : lanes.active[t]] for t in range(start, stop)])
-            _, slope = output(self.w, self.lexicon, states, target, grads)
-            backward(self.w, slope, trace, grads)
-            self._update(grads, len(target))
-
-    def _update(self, grads: dict[str, np.ndarray], tokens: int) -> None:
+        while start < len(lanes.active):
+            stop = lanes.stop(start, STEPS, FIT_LANES * STEPS)
+            for g in self.grads.values():
+                g.fill(0)
+            states, state, trace = run_window(self.w, self.lexicon, lanes, start, stop, state, keep=True)
+            target = lanes.target.flat[lanes.offset[start] : lanes.offset[stop]]
+            _, slope = output(self.w, self.lexicon, states, target, self.grads)
+            backward(self.w, slope, trace, self.grads)
+            self._update(len(target))
+            start = stop
+
+    def _update(self, tokens: int) -> None:
         self.updates, self.tokens = self.updates + 1, self.tokens + tokens
         one, two = 1 - 0.9**self.updates, 1 - 0.999**self.updates
-        for k, g in grads.items():
-            g /= tokens
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            self.w[k] -= self.rate * (self.m[k] / one) / (np.sqrt(self.v[k] / two) + 1e-8)
+        for k, g in self.grads.items():
+            m, v, room = self.m[k], self.v[k], self.room[k]
+            g *= 1 / tokens
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=room)
+            np.multiply(g, g, out=g)
+            v *= 0.999
+            v += np.multiply(g, 0.001, out=g)
+            np.sqrt(np.multiply(v, 1 / two, out=g), out=g)
+            g += 1e-8
+            np.divide(m, g, out=room)
+            self.w[k] -= np.multiply(room, self.rate / one, out=room)
 
 
 def _blocks(w: dict[str, np.ndarray]) -> list[bytes]:
@@ -265,55 +352,73 @@ def _from_blocks(blocks: list[bytes], like: dict[str, np.ndarray]) -> dict[str,
     return out
 
 
-def fit(train: DataFrame, lexicon: Lexicon, share: float | None = None) -> dict[str, np.ndarray]:
-    """train(doc_id, text) -> the weights. What is collected is one mean for each block
-    of weights; without texts the first weights stay as they are."""
-    slots = max(ROUNDS, round(ROUNDS / (share or FIT_SHARE)))
-    sample = train.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)).alias("round")).where(F.col("round") < ROUNDS)
-    sample = written(sample, "lm-sample")
-    sizes = {r["round"]: r.n for r in sample.groupBy("round").agg((F.sum(F.length(F.coalesce("text", F.lit("")))) + F.count("*")).alias("n")).collect()}
+def ids_of(column) -> list[np.ndarray]:
+    """Ids of each text, from a binary column of Arrow."""
+    return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+
+
+def by_tokens(ids: list[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """The texts in runs of at most so many tokens, or of one text."""
+    run, size = [], 0
+    for x in ids:
+        if run and size + len(x) > most:
+            yield run
+            run, size = [], 0
+        run.append(x)
+        size += len(x)
+    if run:
+        yield run
+
+
+def fit(train: DataFrame, lexicon: Lexicon) -> dict[str, np.ndarray]:
+    """train(key, n_tokens, ids) -> the weights, from all its texts; key is a hash that
+    tells texts apart. What is collected is one mean for each block of weights; without
+    texts the first weights stay as they are."""
+    train = train.withColumn("round", F.pmod("key", F.lit(ROUNDS)))
+    sizes = {r["round"]: r.n for r in train.groupBy("round").agg(F.sum("n_tokens").alias("n")).collect()}
     weights = new_weights(lexicon)
     for i in sorted(sizes):
 
         def local(batches: Iterator, weights=weights, rate=RATE * (1 - 0.9 * i / ROUNDS)) -> Iterator:
-            import pandas as pd
+            import pyarrow as pa
 
             fitting = Fitting({k: x.copy() for k, x in weights.items()}, lexicon, rate)
-            texts, size = [], 0
-            for pdf in batches:
-                for t in pdf["text"]:
-                    texts.append(t)
-                    size += len(t or "")
-                    if size > 6 * CHUNK_WORDS:
-                        fitting.read(texts)
-                        texts, size = [], 0
-            fitting.read(texts)
+            held, size = [], 0
+            for b in batches:
+                for run in by_tokens(ids_of(b.column(0)), CHUNK_WORDS):
+                    held.extend(run)
+                    size += sum(map(len, run))
+                    if size > CHUNK_WORDS:
+                        fitting.read(held)
+                        held, size = [], 0
+            fitting.read(held)
             blocks = _blocks(fitting.w) if fitting.tokens else []
-            yield pd.DataFrame({"block": np.arange(len(blocks), dtype=np.int32), "tokens": np.full(len(blocks), fitting.tokens, np.int64), "w": blocks})
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "tokens": pa.array([fitting.tokens] * len(blocks), pa.int64()), "w": pa.array(blocks, pa.binary())})
 
         def mean(pdf):  # a row for each task, FIT_TASKS at most
             share = pdf["tokens"] / pdf["tokens"].sum()
             total = sum(np.frombuffer(w, np.float32) * np.float32(s) for w, s in zip(pdf["w"], share, strict=True))
             return pdf.head(1).assign(w=[total.tobytes()])[["block", "w"]]
 
-        tasks = min(FIT_TASKS, -(-sizes[i] // TASK_CHARS))
-        texts = sample.where(F.col("round") == i).select("text").repartition(tasks).sortWithinPartitions(F.xxhash64("text"))
-        found = texts.mapInPandas(local, "block int, tokens long, w binary").groupBy("block").applyInPandas(mean, "block int, w binary")
+        tasks = min(FIT_TASKS, -(-sizes[i] // TASK_TOKENS))
+        texts = train.where(F.col("round") == i).select("key", "ids").repartition(tasks).sortWithinPartitions("key").select("ids")
+        found = texts.mapInArrow(local, "block int, tokens long, w binary").groupBy("block").applyInPandas(mean, "block int, w binary")
         weights = _from_blocks([bytes(r.w) for r in sorted(found.collect())], weights)
     return weights
 
 
 def score_texts(w: dict[str, np.ndarray], lexicon: Lexicon, ids: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text but for the tail words' share of the tail."""
-    lanes, out = Lanes(ids, LANES), np.zeros(len(ids))
+    lanes, start = Lanes(ids, LANES), 0
     state = np.zeros((lanes.active[0] if len(lanes.active) else 0, HIDDEN), np.float32)
-    for start in range(0, len(lanes.active), SCORE_STEPS):
-        stop = start + SCORE_STEPS
+    logp = np.zeros(len(lanes.target.flat))
+    while start < len(lanes.active):
+        stop = lanes.stop(start, SCORE_STEPS, LANES * SCORE_STEPS)
         states, state, _ = run_window(w, lexicon, lanes, start, stop, state)
-        inside = np.arange(lanes.target.shape[1]) < lanes.active[start:stop, None]
-        logp, _ = output(w, lexicon, states, lanes.target[start:stop][inside])
-        out += np.bincount(lanes.text[start:stop][inside], weights=logp, minlength=len(ids))
-    return out / np.log(10)
+        own = slice(lanes.offset[start], lanes.offset[stop])
+        logp[own] = output(w, lexicon, states, lanes.target.flat[own])[0]
+        start = stop
+    return np.bincount(lanes.text.flat, weights=logp, minlength=len(ids)) / np.log(10)
 
 
 def held_out() -> F.Column:
@@ -384,23 +489,32 @@ def score_documents(docs: DataFrame) -> DataFrame:
     train = rows.where("not held_out")
     counts = written(word_counts(train), "lm-counts")
     lexicon = build_lexicon(counts, train.count())
-    weights = fit(train, lexicon)
     log_count = np.append(np.log10(lexicon.count + 0.5), 0.0)
 
-    def run(batches: Iterator) -> Iterator:
+    def number(batches: Iterator) -> Iterator:
         for b in batches:
             lo, texts, size = 0, [], 0
             for i, t in enumerate(b.column(1)):
                 texts.append(t.as_py())
                 size += len(texts[-1] or "")
                 if size > 6 * CHUNK_WORDS or i + 1 == b.num_rows:
-                    yield _scored(b.slice(lo, len(texts)), texts, weights, lexicon, log_count)
+                    yield _numbered(b.slice(lo, len(texts)), texts, lexicon, log_count)
                     lo, texts, size = i + 1, [], 0
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_tail long, base double, score double, rid long, tail array<struct<h:long,n:long>>"
-    part = rows.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("rid")).mapInArrow(run, schema)
-    part = written(part, "lm-parts")
-    tail = part.select("rid", F.explode("tail").alias("x")).select("rid", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    def score(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            found = [score_texts(weights, lexicon, run) for run in by_tokens(ids_of(b.column("ids")), CHUNK_WORDS)]
+            own = b.drop_columns("ids")
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate([*found, []]), pa.float64())], [*own.schema.names, "score"])
+
+    columns = "doc_id long, held_out boolean, rid long, n_tokens long, n_tail long, base double"
+    laid = rows.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("rid"), F.xxhash64("doc_id", "text").alias("key"))
+    laid = written(laid.mapInArrow(number, f"{columns}, key long, ids binary, tail array<struct<h:long,n:long>>"), "lm-ids")
+    weights = fit(laid.where("not held_out").select("key", "n_tokens", "ids"), lexicon)
+    part = written(laid.select("doc_id", "held_out", "rid", "n_tokens", "n_tail", "base", "ids").mapInArrow(score, f"{columns}, score double"), "lm-parts")
+    tail = laid.select("rid", F.explode("tail").alias("x")).select("rid", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     c = F.coalesce("c", F.lit(0))
     tail = tail.join(counts, "h", "left").groupBy("rid").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("tail_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"))
     whole = float(np.log10(lexicon.total + 0.5 * (lexicon.distinct + 1)))
@@ -418,22 +532,24 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _scored(rows, texts: list[str | None], weights: dict[str, np.ndarray], lexicon: Lexicon, log_count: np.ndarray):
+def _numbered(rows, texts: list[str | None], lexicon: Lexicon, log_count: np.ndarray):
+    """rows(doc_id, text, held_out, rid, key) -> the rows of the table of ids."""
     import pyarrow as pa
 
-    ids, numbers, hashes = numbered(texts, lexicon)
-    score = score_texts(weights, lexicon, ids)
-    tails, base, n_tail = [], [], []
-    for x, own in zip(ids, numbers, strict=True):
-        base.append(log_count[x].sum())
-        rare = own[x[:-1] == lexicon.tail]
-        n_tail.append(len(rare))
-        at, n = np.unique(rare, return_counts=True)
-        tails.append((hashes[at], n))
-    offsets = np.concatenate([[0], np.cumsum([len(n) for _, n in tails])]).astype(np.int32)
-    entries = pa.StructArray.from_arrays([pa.array(np.concatenate([h for h, _ in tails])), pa.array(np.concatenate([n for _, n in tails]).astype(np.int64))], ["h", "n"])
-    tail = pa.ListArray.from_arrays(pa.array(offsets), entries)
-    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([len(x) for x in ids], pa.int64()), pa.array(n_tail, pa.int64()), pa.array(base, pa.float64()), pa.array(score), rows.column(3), tail], ["doc_id", "held_out", "n_tokens", "n_tail", "base", "score", "rid", "tail"])
+    tokens, length, numbers, hashes = numbered(texts, lexicon)
+    n = len(texts)
+    ends = np.append(0, np.cumsum(length + 1))
+    base = np.add.reduceat(log_count[tokens], ends[:-1])
+    rare = np.flatnonzero(np.delete(tokens, ends[1:] - 1) == lexicon.tail)
+    text = np.repeat(np.arange(n), length)[rare]
+    met, times = np.unique(text * len(hashes) + numbers[rare], return_counts=True)
+    entries = pa.StructArray.from_arrays([pa.array(hashes[met % max(len(hashes), 1)]), pa.array(times.astype(np.int64))], ["h", "n"])
+    tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(met, np.arange(n + 1) * len(hashes)).astype(np.int32)), entries)
+    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(4 * ends), pa.py_buffer(tokens)]).cast(pa.binary())
+    doc_id, _, held, rid, key = rows.columns
+    return pa.RecordBatch.from_arrays(
+        [doc_id, held, rid, pa.array(length + 1), pa.array(np.bincount(text, minlength=n)), pa.array(base), key, ids, tail], ["doc_id", "held_out", "rid", "n_tokens", "n_tail", "base", "key", "ids", "tail"]
+    )
 
 
 def op5_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

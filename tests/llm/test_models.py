@@ -261,3 +261,35 @@ def test_quality_awkward_rows(spark):
     assert len(rows) == len(ODD)
     assert [r.kept for r in rows if r.doc_id in (3, 4, 5)] == [False] * 3
     assert wq.classify(empty(spark)).count() == 0
+
+
+def test_all_training_texts_are_fitted(spark, monkeypatch):
+    """Each text has a word of its own; a word's row of the input table moves only
+    where a text with it is learned from, and no held-out one is."""
+    from xxhash import xxh64_intdigest
+
+    made = {}
+    for name in ("build_lexicon", "fit"):
+        real = getattr(lm, name)
+        monkeypatch.setattr(lm, name, lambda *a, real=real, name=name: made.setdefault(name, real(*a)))
+    rows = [(i, f"own{i} own{i} and some more words") for i in range(60)] + [(60, "own60 " * 25_000)]
+    assert len(lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == len(rows)
+    lex, w = made["build_lexicon"], made["fit"]
+    start = lm.new_weights(lex)["input"]
+    for i, _ in rows:
+        word = int(lex.lookup(np.array([xxh64_intdigest(f"own{i}")], np.uint64).view(np.int64))[0])
+        if zlib.crc32(str(i).encode()) % 5 == 1:
+            assert word == lex.tail
+        else:
+            assert np.abs(w["input"][word] - start[word]).max() > 1e-4, i
+
+
+def test_long_text_takes_room_for_itself_alone():
+    ids = [np.full(1_000_000, 3), *[np.full(60, 2)] * 400, np.zeros(1, int)]
+    lanes = lm.Lanes(ids, 384)
+    assert sum(x.flat.nbytes for x in (lanes.target, lanes.before, lanes.text, lanes.first)) < 16 * sum(map(len, ids))
+    assert lanes.active.sum() == sum(map(len, ids)) and lanes.active[-1] == 1
+    start = windows = 0
+    while start < len(lanes.active):
+        start, windows = lanes.stop(start, 32, 12_288), windows + 1
+    assert windows < 90  # not one for each 32 words of the long text
