@@ -19,8 +19,10 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain, filterfalse
+from operator import concat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +38,10 @@ END_ID = 2
 #: of at most SAMPLE_CHARS characters.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
 LEVEL = 3
-#: Bounds of each worker's cache of encoded pieces.
-CACHE_PIECES, CACHE_PIECE_CHARS = 500_000, 40
+#: Bounds of each worker's cache of encoded pieces (both halves together, and a piece's length).
+CACHE_PIECES, CACHE_PIECE_CHARS = 1_000_000, 40
 #: Texts are encoded together up to so many characters.
-CHUNK_CHARS = 1 << 17
+CHUNK_CHARS = 1 << 21
 #: Marks that a word is cut from; they are no letters, digits or white space.
 MARKS = ".,;:!?|#*$%&"
 #: Inside the encoder: marks that follow a word, a word that follows no space.
@@ -55,8 +57,9 @@ class PieceEncoder:
     single space or line end goes with what follows it or stands alone, so a text
     falls apart before each single space or line end between two other characters; and
     a word falls apart from the marks after its last letter. The pieces of many texts
-    that are new go through the library in one call and stay in a bounded cache; a text
-    with other white space, or with a token added to the model, is encoded whole."""
+    that are new go through the library in one call and stay in a bounded cache; when
+    half of it is full it becomes the older half, from which pieces met again come back.
+    A text with other white space, or with a token added to the model, is encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
@@ -68,7 +71,7 @@ class PieceEncoder:
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
         self.pieces: dict[str, bytes | None] = {}  # None: not to be encoded alone
-        self.again: set[str] = set()  # pieces met in a second chunk: kept when the cache is full
+        self.older: dict[str, bytes | None] = {}
         self.long: set[str] = set()  # pieces too long to be kept
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -82,6 +85,12 @@ class PieceEncoder:
         at = (np.flatnonzero(self.spaced[ids]) * self.ids.itemsize).tolist()
         return map(ids.tobytes().__getitem__, map(slice, at, [*at[1:], ids.nbytes]))
 
+    def _again(self, pieces: Iterable[str]) -> None:
+        """What the older half has of the pieces comes back."""
+        if self.older:
+            met = list(filter(self.older.__contains__, pieces))
+            self.pieces.update(zip(met, map(self.older.__getitem__, met), strict=True))
+
     def _learn(self, new: list[str]) -> None:
         known = self.pieces
         bare = " ".join(new).replace("\n", "")
@@ -89,63 +98,70 @@ class PieceEncoder:
             alone = [p for p in new if (x := p.removeprefix("\n")) and x.split() == [x] and not any(t in x for t in self.added)]
             known.update(dict.fromkeys(set(new).difference(alone)))
             new = alone
-        cut, wanted = [], set()
+        cut, words, marks, wanted = [], [], [], set()
         for p in new:
             word = p.rstrip(MARKS)
             if len(word) < len(p) and "A" <= word[-1:] <= "\u024f" and word[-1].isalpha():
-                marks = AFTER + p[len(word) :]
-                cut.append((p, word, marks))
-                if word not in known:
-                    wanted.add(word)
-                if marks not in known:
-                    wanted.add(marks)
+                cut.append(p)
+                words.append(word)
+                marks.append(AFTER + p[len(word) :])
             else:
                 wanted.add(p)
-        words = [p for p in wanted if p[0] not in _UNSPACED]
-        known.update(zip(words, self._after_space(words), strict=True))
-        others = list(wanted.difference(words))
+        parts = set(filterfalse(known.__contains__, chain(words, marks)))
+        self._again(parts)
+        wanted.update(filterfalse(known.__contains__, parts))
+        spaced = [p for p in wanted if p[0] not in _UNSPACED]
+        known.update(zip(spaced, self._after_space(spaced), strict=True))
+        others = list(wanted.difference(spaced))
         known.update(zip(others, self.whole([p.lstrip(AFTER + BARE) for p in others]), strict=True))
-        known.update([(p, known[word] + known[marks]) for p, word, marks in cut])
-        for p in wanted.union(new):
-            if len(p) > CACHE_PIECE_CHARS:
-                self.long.add(p)
+        known.update(zip(cut, map(concat, map(known.__getitem__, words), map(known.__getitem__, marks)), strict=True))
+        self.long.update(p for p in chain(wanted, cut) if len(p) > CACHE_PIECE_CHARS)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of one text."""
         return np.frombuffer(self.encode_all([text])[0], self.ids).astype("<u4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as numbers of type ``ids``."""
-        split = [[] if _OWN_MARKS(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        for s in split:
-            if s and s[0]:
-                s[0] = BARE + s[0]
-            elif s:
-                del s[0]  # the text is empty, or starts with a space or a line end
-        pieces, seen = self.pieces, set().union(*split)
-        new = [p for p in seen if p not in pieces]
-        if 2 * len(pieces) > CACHE_PIECES:
-            self.again.update(seen.difference(new))
+        """Ids of each text, as numbers of type ``ids``. Each different piece of the
+        texts is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array(["" if _OWN_MARKS(t) else _laid(t) for t in texts], pa.string()), " ")
+        words = lists.values.dictionary_encode()
+        met, known = words.dictionary.to_numpy(zero_copy_only=False).tolist(), self.pieces
+        new = list(filterfalse(known.__contains__, met))
+        if new:
+            self._again(new)
+            new = list(filterfalse(known.__contains__, new))
         if new:
             self._learn(new)
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            try:
-                out.append(b"".join(map(pieces.__getitem__, s)) if s else None)
-            except TypeError:
-                out.append(None)
-        at = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(at, self.whole([texts[i] for i in at]), strict=True):
-            out[i] = x
+        found = list(map(known.__getitem__, met))
+        at, bounds = words.indices.to_numpy(), lists.offsets.to_numpy()
+        size = np.fromiter((-1 if x is None else len(x) for x in found), np.int64, len(found)) // self.ids.itemsize
+        alone = np.logical_and.reduceat(size[at] >= 0, bounds[:-1]).tolist() if texts else []
+        size = np.maximum(size, 0)
+        pool, starts = np.frombuffer(b"".join(filter(None, found)), self.ids), np.cumsum(size) - size
+        n = size[at]
+        ends = np.append(0, np.cumsum(n))
+        ids = pool[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[bounds].tolist()
+        whole = iter(self.whole([t for t, a in zip(texts, alone, strict=True) if not a]))
+        out = [ids[x:y].tobytes() if a else next(whole) for a, x, y in zip(alone, cuts[:-1], cuts[1:], strict=True)]
         for p in self.long:
-            pieces.pop(p, None)
+            known.pop(p, None)
         self.long.clear()
-        if len(pieces) > CACHE_PIECES:
-            kept = self.again if len(self.again) < 0.7 * CACHE_PIECES else ()
-            self.pieces, self.again = {p: pieces[p] for p in kept if p in pieces}, set()
+        if 2 * len(known) > CACHE_PIECES:
+            self.pieces, self.older = {}, known
         return out
 
 
+def _laid(text: str) -> str:
+    """The pieces of a text with a space between; no text is one empty piece."""
+    text = text.replace("\n", " \n")
+    return text[1:] if text.startswith(" ") else BARE + text if text else text
+
+
 def chunked(texts: list[str]) -> Iterator[list[str]]:
     """The texts in runs of at most CHUNK_CHARS characters, or of one text."""
     run, size = [], 0

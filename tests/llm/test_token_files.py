@@ -47,3 +47,20 @@ def test_awkward_rows_and_random_access(spark):
         seen += [x for x, _ in shard.documents()]
     assert len(seen) == len(ODD)
     assert tf.token_output(empty(spark)).count() == 0
+
+
+def test_each_piece_is_looked_up_once_and_comes_back(monkeypatch):
+    """Many texts together, the cache too small for them: the ids are the library's,
+    and pieces met again come back from the older half."""
+    monkeypatch.setattr(tf, "CACHE_PIECES", 400)
+    enc = tf.PieceEncoder(tf.tokenizer_path("byte_bpe_50k.json"))
+    learned, real = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda new: learned.extend(new) or real(new))
+    odd_texts = ["", "\n", " \n", "a\x00b c", "\x01", "x <|endoftext|> y", "a b c", "long" * 30 + " it", "  ", "z \u0085"]
+    frequent = "the words of all texts, again and again! "
+    for run in range(8):
+        texts = [frequent + " ".join(f"w{run}x{i}." for i in range(n)) for n in range(40)] + odd_texts
+        for t, ids in zip(texts, enc.encode_all(texts), strict=True):
+            assert np.frombuffer(ids, enc.ids).tolist() == TOK.encode(t, add_special_tokens=False).ids, repr(t)
+        assert len(enc.pieces) + len(enc.older) < 1_000
+    assert learned.count("words") == 1 and learned.count("again!") == 1
