@@ -42,6 +42,8 @@ LEVEL = 3
 CACHE_PIECES, CACHE_PIECE_CHARS = 1_000_000, 40
 #: Texts are encoded together up to so many characters.
 CHUNK_CHARS = 1 << 21
+#: New words go through the library in runs of so many.
+RUN_WORDS = 100
 #: Marks that a word is cut from; they are no letters, digits or white space.
 MARKS = ".,;:!?|#*$%&"
 #: Inside the encoder: marks that follow a word, a word that follows no space.
@@ -57,7 +59,7 @@ class PieceEncoder:
     single space or line end goes with what follows it or stands alone, so a text
     falls apart before each single space or line end between two other characters; and
     a word falls apart from the marks after its last letter. The pieces of many texts
-    that are new go through the library in one call and stay in a bounded cache; when
+    that are new go through the library together and stay in a bounded cache; when
     half of it is full it becomes the older half, from which pieces met again come back.
     A text with other white space, or with a token added to the model, is encoded whole."""
 
@@ -80,8 +82,10 @@ class PieceEncoder:
     def _after_space(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words with a space before each. Words have no white space themselves,
         so exactly their first tokens start with a space."""
-        e = self.tok.encode_batch_fast([[" " + w for w in words]], is_pretokenized=True, add_special_tokens=False)[0]
-        ids = np.array(e.ids, self.ids)
+        ids = []
+        for i in range(0, len(words), RUN_WORDS):
+            ids += self.tok.encode_batch_fast([" " + " ".join(words[i : i + RUN_WORDS])], add_special_tokens=False)[0].ids
+        ids = np.array(ids, self.ids)
         at = (np.flatnonzero(self.spaced[ids]) * self.ids.itemsize).tolist()
         return map(ids.tobytes().__getitem__, map(slice, at, [*at[1:], ids.nbytes]))
 
