@@ -34,8 +34,8 @@ MAGIC, TAIL = b"TOKZ1\n", b"TOKZ"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8")])
 FOOTER = "<QQB32s4s"
 END_ID = 2
-#: The dictionary is trained on about SAMPLE_DOCS texts, chosen by a hash among those
-#: of at most SAMPLE_CHARS characters.
+#: The dictionary is trained on about SAMPLE_DOCS texts, chosen by a hash, but for those
+#: of more than SAMPLE_CHARS characters. Rows are counted without their texts.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
 LEVEL = 3
 #: Bounds of each worker's cache of encoded pieces (both halves together, and a piece's length).
@@ -196,7 +196,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     empty where there is nothing to train on."""
     import zstandard
 
-    rows = hashed_sample(docs.where(F.length("text").between(1, SAMPLE_CHARS)), SAMPLE_DOCS, "doc_id", "text").select("text").collect()
+    rows = hashed_sample(docs, SAMPLE_DOCS, "doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS)).select("text").collect()
     samples = [x for run in chunked([r.text for r in rows]) for x in piece_encoder(path).encode_all(run)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
