@@ -3,8 +3,11 @@ splitting, and file access from tasks."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +87,30 @@ def words_of(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+#: This process's model with its caches, by what makes it and its path.
+_models: dict[tuple[Callable, str], object] = {}
+
+
+def worker_model(make: Callable, path: str):
+    """make(path), once for each worker process, so its caches outlive a task. A process
+    holds one model: that of another stage goes first."""
+    if (make, path) not in _models:
+        release_models()
+        _models[make, path] = make(path)
+    return _models[make, path]
+
+
+def release_models() -> None:
+    """For tasks of stages that follow one with a model: its memory goes back, instead of
+    staying with the worker process beside what these tasks need."""
+    if _models:
+        _models.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim:
+            trim(0)
+
+
 def open_out(uri: str):
     """Output stream for a URI of any store pyarrow knows; makes the folder."""
     from pyarrow import fs

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import scratch, words_of, written
+from .common import release_models, scratch, words_of, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -86,6 +86,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        release_models()
         for b in batches:
             rows = [(i, s) for i, s in zip(b.column(0).to_pylist(), (shingle_set(t.as_py()) for t in b.column(1)), strict=True) if len(s)]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for _, s in rows], np.uint64).view(np.int64)
@@ -103,6 +104,7 @@ def shingle_sets(met: DataFrame, docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        release_models()
         for b in batches:
             found = [shingle_set(t.as_py()) for t in b.column(1)]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)

@@ -13,13 +13,12 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, words_of
+from .common import documents, words_of, worker_model
 
 
 @dataclass(frozen=True)
@@ -124,10 +123,8 @@ class Fertility:
 _LATIN, _CYRILLIC = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ӿ]")
 
 
-@cache
 def fertility_of(path: str) -> Fertility:
-    """One for each worker process, so its cache outlives a task."""
-    return Fertility(path)
+    return worker_model(Fertility, path)
 
 
 def band_of(lang: str | None, text: str) -> str:

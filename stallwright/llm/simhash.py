@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, words_of, written
+from .common import documents, release_models, words_of, written
 from .components import connected_components
 
 BITS = 64
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_models()
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])

@@ -20,7 +20,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import chain, filterfalse
 from operator import concat
 
@@ -28,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, hashed_sample, open_in, open_out, written
+from .common import documents, fresh_path, hashed_sample, open_in, open_out, worker_model, written
 
 MAGIC, TAIL = b"TOKZ1\n", b"TOKZ"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u8")])
@@ -179,10 +178,8 @@ def chunked(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-@cache
 def piece_encoder(path: str) -> PieceEncoder:
-    """One for each worker process, so its cache outlives a task."""
-    return PieceEncoder(path)
+    return worker_model(PieceEncoder, path)
 
 
 def tokenizer_path(name: str) -> str:

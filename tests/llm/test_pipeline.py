@@ -42,3 +42,46 @@ def test_stages(spark):
             assert out.columns == odd(spark).columns
         assert stage(spark, empty(spark), SMALL).count() == 0
     assert decontaminate.benchmark_table(spark, SMALL).count() > 0
+
+
+def test_worker_holds_one_model():
+    """A stage's model goes before the next one's: together they outgrew an executor."""
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from stallwright.llm import common, token_files
+
+    fertility = quality.fertility_of(public_tokenizers.path("piece_bpe_32k.model"))
+    assert quality.fertility_of(public_tokenizers.path("piece_bpe_32k.model")) is fertility
+    gone = weakref.ref(fertility)
+    del fertility
+    encoder = weakref.ref(token_files.piece_encoder(token_files.tokenizer_path("byte_bpe_50k.json")))
+    gc.collect()
+    assert gone() is None and encoder() is token_files.piece_encoder(token_files.tokenizer_path("byte_bpe_50k.json"))
+    common.release_models()
+    assert encoder() is None
+
+
+def test_near_duplicate_tasks_hold_no_model(spark):
+    """Worker processes that serve a stage without a model give back the one before."""
+    import sys
+
+    from pyspark.sql import functions as F
+
+    from stallwright.llm import near_copies, simhash
+
+    docs = spark.createDataFrame([(i, f"some words of text {i} and a few more") for i in range(8)], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        import pyarrow as pa
+
+        common = sys.modules.get("stallwright.llm.common")
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common._models) if common else 0] * b.num_rows)], ["n"])
+
+    for stage in (simhash.fingerprints, near_copies.signatures):
+        quality.quality_rules(docs).collect()
+        stage(docs).collect()
+        assert docs.select("doc_id").mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
