@@ -15,16 +15,14 @@ is that of the complete text.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, words_of, written
+from .common import documents, written
 
 FOLDS, HELD_OUT = 5, 1
 #: Words whose counts travel to the tasks; words the model tells apart; their classes.
@@ -34,8 +32,10 @@ HIDDEN, STEPS, LANES, SCORE_STEPS = 24, 32, 384, 32
 #: about TASK_TOKENS tokens each. Beyond FIT_TASKS tasks each has more texts.
 ROUNDS, TASK_TOKENS, FIT_TASKS = 4, 1_280_000, 4_096
 FIT_LANES, RATE, BLOCK = 256, 0.03, 16_384
-#: A task's counts and a chunk of texts are bounded by so many words (or one text).
-COUNT_WORDS, CHUNK_WORDS = 300_000, 1_200_000
+#: A chunk of texts is bounded by about so many bytes, or words (or one text).
+CHUNK_BYTES, CHUNK_WORDS = 7_200_000, 1_200_000
+#: Longer runs of rows are summed one by one.
+SHORT_RUN = 16
 #: Numbers at one level of the search for the least count.
 LEVEL_BITS = 16
 END = 0
@@ -84,23 +84,33 @@ class Lexicon:
         return np.where(self.hashes[at] == hashes, self.ids[at], self.tail)
 
 
-class Numbers(dict):
-    """Words numbered as they are met."""
+def words_met(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrow's texts -> per text its number of words, A-Z lowered (null: none); the numbers
+    of all words; the hashes of the different words by number.
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+    Arrow splits on the white space of words_of, with an empty word where a text starts or
+    ends with some. Texts are not cast before: ascii_lower misreads a slice cast to large_string."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from xxhash import xxh64_intdigest
 
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    offsets = split.offsets.to_numpy()
+    words = split.values.slice(offsets[0], offsets[-1] - offsets[0])
+    full = pc.greater(pc.binary_length(words), 0)
+    length = np.diff(np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[offsets - offsets[0]])
+    coded = words.filter(full).dictionary_encode()
+    different = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxh64_intdigest, different), np.uint64, len(different)).view(np.int64)
+    return length, coded.indices.to_numpy().astype(np.int64), hashes
 
-def numbered(texts: list[str | None], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts, each with its end; per text its number of words; the numbers of
-    all words; the hashes of the words by number."""
-    from xxhash import xxh64_intdigest
 
-    split, number = [words_of(t, lower=True) for t in texts], Numbers()
-    length = np.fromiter(map(len, split), np.int64, len(split))
-    numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, length.sum())
-    hashes = np.fromiter(map(xxh64_intdigest, number), np.uint64, len(number)).view(np.int64)
+def numbered(texts, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all texts (a list or Arrow's), each with its end; per text its number of
+    words; the numbers of all words; the hashes of the words by number."""
+    import pyarrow as pa
+
+    length, numbers, hashes = words_met(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
     tokens = np.full(len(numbers) + len(texts), END, np.int32)
     inside = np.ones(len(tokens), bool)
     inside[np.cumsum(length + 1) - 1] = False
@@ -297,7 +307,22 @@ def backward(w: dict[str, np.ndarray], slope: np.ndarray, trace: list, grads: di
     order = np.argsort(x.astype(np.int16 if len(w["input"]) < 1 << 15 else np.int64), kind="stable")
     x = x[order]  # each input's rows are summed once for the window
     starts = np.flatnonzero(np.diff(x, prepend=-1))
-    grads["input"][x[starts]] += np.add.reduceat(gx.take(order, axis=0), starts)
+    grads["input"][x[starts]] += sums_of_runs(gx.take(order, axis=0), starts)
+
+
+def sums_of_runs(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows (np.add.reduceat goes value by value here): long runs
+    one by one, the first, second, ... rows of all short runs together."""
+    size = np.diff(starts, append=len(rows))
+    out = rows.take(starts, axis=0)
+    for i in np.flatnonzero(size > SHORT_RUN).tolist():
+        run = rows[starts[i] : starts[i] + size[i]]
+        out[i] = np.ones(len(run), rows.dtype) @ run
+    left = np.flatnonzero((size > 1) & (size <= SHORT_RUN))
+    for k in range(1, SHORT_RUN):
+        out[left] += rows.take(starts[left] + k, axis=0)
+        left = left[size[left] > k + 1]
+    return out
 
 
 class Fitting:
@@ -426,26 +451,25 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def text_runs(texts) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of Arrow's texts of about CHUNK_BYTES bytes, or of one text."""
+    import pyarrow.compute as pc
+
+    run = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK_BYTES
+    starts = np.flatnonzero(np.diff(run, prepend=-1))
+    yield from zip(starts.tolist(), np.diff(starts, append=len(run)).tolist(), strict=True)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs(text) -> (h, c): count of each word, under its 64-bit hash."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
-
-        held: Counter[bytes] = Counter()
-
-        def emit():
-            h = np.fromiter(map(xxh64_intdigest, held), np.uint64, len(held)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(held.values(), np.int64, len(held)))], ["h", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                held.update(words_of(t.as_py(), lower=True))
-                if len(held) > COUNT_WORDS:
-                    yield emit()
-                    held.clear()
-        yield emit()
+            for lo, n in text_runs(b.column(0)):
+                _, numbers, hashes = words_met(b.column(0).slice(lo, n))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.bincount(numbers, minlength=len(hashes)))], ["h", "n"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
@@ -493,13 +517,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def number(batches: Iterator) -> Iterator:
         for b in batches:
-            lo, texts, size = 0, [], 0
-            for i, t in enumerate(b.column(1)):
-                texts.append(t.as_py())
-                size += len(texts[-1] or "")
-                if size > 6 * CHUNK_WORDS or i + 1 == b.num_rows:
-                    yield _numbered(b.slice(lo, len(texts)), texts, lexicon, log_count)
-                    lo, texts, size = i + 1, [], 0
+            for lo, n in text_runs(b.column(1)):
+                yield _numbered(b.slice(lo, n), lexicon, log_count)
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -532,12 +551,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(rows, texts: list[str | None], lexicon: Lexicon, log_count: np.ndarray):
+def _numbered(rows, lexicon: Lexicon, log_count: np.ndarray):
     """rows(doc_id, text, held_out, rid, key) -> the rows of the table of ids."""
     import pyarrow as pa
 
-    tokens, length, numbers, hashes = numbered(texts, lexicon)
-    n = len(texts)
+    tokens, length, numbers, hashes = numbered(rows.column(1), lexicon)
+    n = rows.num_rows
     ends = np.append(0, np.cumsum(length + 1))
     base = np.add.reduceat(log_count[tokens], ends[:-1])
     rare = np.flatnonzero(np.delete(tokens, ends[1:] - 1) == lexicon.tail)

@@ -298,3 +298,46 @@ def test_long_text_takes_room_for_itself_alone():
     while start < len(lanes.active):
         start, windows = lanes.stop(start, 32, 12_288), windows + 1
     assert windows < 90  # not one for each 32 words of the long text
+
+
+def test_words_met_are_those_of_words_of():
+    """Split, lowered and numbered in Arrow, in slices, too; each run of texts is bounded."""
+    import numpy as np
+    import pyarrow as pa
+    from stallwright.llm.common import words_of
+    from xxhash import xxh64_intdigest
+
+    texts = ["", None, " ", " a B\tc\x0b\x0cD\r\n", "É é x \x1f y\x85z", "a", "  q", " lead", "trail ", "A B b"]
+    for column in (pa.array(texts), pa.array(["zz zz", *texts]).slice(1), pa.array([], pa.string())):
+        length, numbers, hashes = lm.words_met(column)
+        want = [words_of(t, lower=True) for t in column.to_pylist()]
+        assert length.tolist() == [len(x) for x in want]
+        assert hashes.view(np.uint64)[numbers].tolist() == [xxh64_intdigest(w) for x in want for w in x]
+        runs = list(lm.text_runs(column))
+        assert [i for a, n in runs for i in range(a, a + n)] == list(range(len(column)))
+
+
+def test_words_met_in_runs_of_a_batch(monkeypatch):
+    """Runs from the middle of a batch without nulls lose no word."""
+    import pyarrow as pa
+    from stallwright.llm.common import words_of
+    from xxhash import xxh64_intdigest
+
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 700)
+    texts = [f"Ab {i} cd " * (i % 9) for i in range(1_000)]
+    column, met = pa.array(texts), []
+    for a, n in lm.text_runs(column):
+        length, numbers, hashes = lm.words_met(column.slice(a, n))
+        assert length.tolist() == [len(t.split()) for t in texts[a : a + n]]
+        met += hashes.astype("u8")[numbers].tolist()
+    assert met == [xxh64_intdigest(w) for t in texts for w in words_of(t, lower=True)]
+
+
+def test_sums_of_runs():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, most in ((1, 1), (16, 1), (17, 1), (50, 3), (8_192, 4_000), (8_192, 20)):
+        x = np.sort(rng.zipf(1.3, n) % most)
+        starts, rows = np.flatnonzero(np.diff(x, prepend=-1)), rng.standard_normal((n, 72)).astype(np.float32)
+        assert np.allclose(lm.sums_of_runs(rows, starts), np.add.reduceat(rows.astype(float), starts), atol=1e-3)
