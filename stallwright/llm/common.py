@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +111,14 @@ def release_models() -> None:
             trim(0)
 
 
+def slices(batches: Iterator, rows: int = 1_000) -> Iterator:
+    """Arrow batches in slices of so many rows, without copies: what a task makes of a
+    slice is bounded, whatever the session's batch size."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def open_out(uri: str):
     """Output stream for a URI of any store pyarrow knows; makes the folder."""
     from pyarrow import fs

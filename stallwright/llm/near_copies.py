@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import release_models, scratch, words_of, written
+from .common import release_models, scratch, slices, words_of, written
 from .components import connected_components
 
 SHINGLE = 5
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         import xxhash
 
         release_models()
-        for b in batches:
+        for b in slices(batches):
             rows = [(i, s) for i, s in zip(b.column(0).to_pylist(), (shingle_set(t.as_py()) for t in b.column(1)), strict=True) if len(s)]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for _, s in rows], np.uint64).view(np.int64)
             keys = [bands(least_values(s)).view(np.int64) for _, s in rows]
@@ -105,7 +105,7 @@ def shingle_sets(met: DataFrame, docs: DataFrame) -> DataFrame:
         import xxhash
 
         release_models()
-        for b in batches:
+        for b in slices(batches):
             found = [shingle_set(t.as_py()) for t in b.column(1)]
             same = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
             longs = lambda xs: pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64()))

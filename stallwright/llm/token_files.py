@@ -38,9 +38,10 @@ END_ID = 2
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
 LEVEL = 3
 #: Bounds of each worker's cache of encoded pieces (both halves together, and a piece's length).
-CACHE_PIECES, CACHE_PIECE_CHARS = 1_000_000, 40
+#: A piece takes about 130 bytes.
+CACHE_PIECES, CACHE_PIECE_CHARS = 300_000, 40
 #: Texts are encoded together up to so many characters.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 #: New words go through the library in runs of so many.
 RUN_WORDS = 100
 #: Marks that a word is cut from; they are no letters, digits or white space.
@@ -165,8 +166,9 @@ def _laid(text: str) -> str:
     return text[1:] if text.startswith(" ") else BARE + text if text else text
 
 
-def chunked(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in runs of at most CHUNK_CHARS characters, or of one text."""
+def chunked(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in runs of at most CHUNK_CHARS characters, or of one text; one run is
+    held at a time."""
     run, size = [], 0
     for t in texts:
         if run and size + len(t) > CHUNK_CHARS:
@@ -231,7 +233,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             if b.num_rows and out is None:
                 out = open_out(uri)
                 out.write(MAGIC)
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = (t.as_py() or "" for t in b.column(1))
             encoded = (x for run in chunked(texts) for x in encoder.encode_all(run))
             for doc_id, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
                 frame = cctx.compress(ids + end)

@@ -59,3 +59,28 @@ def test_a_chain_over_copies(spark):
     near = edited(rng, " ".join(base), 2)
     docs = spark.createDataFrame([(5, " ".join(base)), (9, " ".join(base)), (3, near), (7, near.upper()), (8, "other text")], "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == [3, 8]
+
+
+def test_memory_of_a_batch_is_bounded(spark):
+    """The shingle sets of a whole Arrow batch stood in a worker's memory together."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Captured:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(4_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    run, n = near_copies.signatures(Captured()), 0
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        n += out.num_rows
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and most < 8e6

@@ -1,3 +1,4 @@
+import sys
 import zlib
 
 import numpy as np
@@ -64,3 +65,14 @@ def test_each_piece_is_looked_up_once_and_comes_back(monkeypatch):
             assert np.frombuffer(ids, enc.ids).tolist() == TOK.encode(t, add_special_tokens=False).ids, repr(t)
         assert len(enc.pieces) + len(enc.older) < 1_000
     assert learned.count("words") == 1 and learned.count("again!") == 1
+
+
+def test_bytes_of_the_cache_are_bounded():
+    """Words that never come again filled the cache up to a million: two workers with
+    such caches outgrew an executor beside its JVM."""
+    enc, most = tf.PieceEncoder(tf.tokenizer_path("byte_bpe_50k.json")), 0
+    for run in range(14):
+        enc.encode_all([" ".join(f"w{run}x{i}" for i in range(40_000))])
+        halves = (enc.pieces, enc.older)
+        most = max(most, sum(map(sys.getsizeof, halves)) + sum(sys.getsizeof(k) + sys.getsizeof(v) for half in halves for k, v in half.items()))
+    assert most < 60e6
