@@ -20,8 +20,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, filterfalse
-from operator import concat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,19 +35,64 @@ END_ID = 2
 #: of more than SAMPLE_CHARS characters. Rows are counted without their texts.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 65_536
 LEVEL = 3
-#: Bounds of each worker's cache of encoded pieces (both halves together, and a piece's length).
-#: A piece takes about 130 bytes.
-CACHE_PIECES, CACHE_PIECE_CHARS = 300_000, 40
+#: Bounds of each worker's cache of encoded pieces (their number, and a piece's length).
+#: A piece takes about 30 bytes.
+CACHE_PIECES, CACHE_PIECE_CHARS = 320_000, 40
 #: Texts are encoded together up to so many characters.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 21
 #: New words go through the library in runs of so many.
-RUN_WORDS = 100
+RUN_WORDS = 20
 #: Marks that a word is cut from; they are no letters, digits or white space.
 MARKS = ".,;:!?|#*$%&"
 #: Inside the encoder: marks that follow a word, a word that follows no space.
 AFTER, BARE = "\x00", "\x01"
 _UNSPACED = (AFTER, BARE, "\n")
 _OWN_MARKS = re.compile(f"[{AFTER}{BARE}]").search
+#: The byte-level alphabet: its space, and what it makes of the Latin letters beyond ASCII.
+SPACE = "\u0120"
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = dict.fromkeys(_PRINTED) | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTED)))}
+_IN_BYTES = {c: "".join(chr(_BYTES[b] or b) for b in chr(c).encode()) for c in range(0xC0, 0x250)}
+
+
+class Pieces:
+    """Different pieces, an Arrow array; how many ids each has (-1: not to be encoded
+    alone); the ids of all end to end."""
+
+    def __init__(self, text, size: np.ndarray, ids: np.ndarray):
+        self.text, self.size, self.ids = text, size, ids
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def __sizeof__(self) -> int:
+        return self.text.get_total_buffer_size() + self.size.nbytes + self.ids.nbytes
+
+    def __add__(self, other: Pieces) -> Pieces:
+        import pyarrow as pa
+
+        return Pieces(pa.concat_arrays([self.text, other.text]), np.append(self.size, other.size), np.append(self.ids, other.ids))
+
+    def starts(self) -> np.ndarray:
+        n = np.maximum(self.size, 0)
+        return np.cumsum(n) - n
+
+    def take(self, at: np.ndarray) -> Pieces:
+        return Pieces(self.text.take(at), self.size[at], self.ids[_spans(self.starts()[at], self.size[at])])
+
+    def items(self) -> Iterator[tuple[str, bytes | None]]:
+        for text, at, n in zip(self.text.to_pylist(), self.starts().tolist(), self.size.tolist(), strict=True):
+            yield text, None if n < 0 else self.ids[at : at + n].tobytes()
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many as its size says, end to end."""
+    sizes = np.maximum(sizes, 0)
+    ends = np.cumsum(sizes)
+    numbers = np.repeat((starts - ends + sizes).astype(np.int32), sizes)  # of one run's ids
+    numbers += np.arange(len(numbers), dtype=np.int32)
+    return numbers
 
 
 class PieceEncoder:
@@ -59,67 +102,79 @@ class PieceEncoder:
     single space or line end goes with what follows it or stands alone, so a text
     falls apart before each single space or line end between two other characters; and
     a word falls apart from the marks after its last letter. The pieces of many texts
-    that are new go through the library together and stay in a bounded cache; when
-    half of it is full it becomes the older half, from which pieces met again come back.
+    that are new go through the library together and stay in a bounded cache: those of
+    the latest run, then older ones, the last met first.
     A text with other white space, or with a token added to the model, is encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
-        from tokenizers import Tokenizer
+        import pyarrow as pa
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        #: The same model behind a plainer split, for words of Latin letters in the byte-level
+        #: alphabet: its own pre-tokenizer leaves them whole.
+        self.letters = Tokenizer(self.tok.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         #: Little-endian ids of 16 bits where the vocabulary allows, else 32.
         self.ids = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(self.tok.get_vocab_size())])
-        self.pieces: dict[str, bytes | None] = {}  # None: not to be encoded alone
-        self.older: dict[str, bytes | None] = {}
-        self.long: set[str] = set()  # pieces too long to be kept
+        self.spaced = np.array([(self.tok.id_to_token(i) or "").startswith(SPACE) for i in range(self.tok.get_vocab_size())])
+        self.pieces = self.older = Pieces(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, self.ids))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _after_space(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words with a space before each. Words have no white space themselves,
-        so exactly their first tokens start with a space."""
-        ids = []
+    def _after_space(self, words: list[str], tok, space: str) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each, ids) of words with a space before each. Words have no white
+        space themselves, so exactly their first tokens start with a space."""
+        between, ids = " " + space.strip(), []
         for i in range(0, len(words), RUN_WORDS):
-            ids += self.tok.encode_batch_fast([" " + " ".join(words[i : i + RUN_WORDS])], add_special_tokens=False)[0].ids
+            ids += tok.encode_batch_fast([space + between.join(words[i : i + RUN_WORDS])], add_special_tokens=False)[0].ids
         ids = np.array(ids, self.ids)
-        at = (np.flatnonzero(self.spaced[ids]) * self.ids.itemsize).tolist()
-        return map(ids.tobytes().__getitem__, map(slice, at, [*at[1:], ids.nbytes]))
-
-    def _again(self, pieces: Iterable[str]) -> None:
-        """What the older half has of the pieces comes back."""
-        if self.older:
-            met = list(filter(self.older.__contains__, pieces))
-            self.pieces.update(zip(met, map(self.older.__getitem__, met), strict=True))
-
-    def _learn(self, new: list[str]) -> None:
-        known = self.pieces
-        bare = " ".join(new).replace("\n", "")
-        if bare.split() != bare.split(" ") or any(t in bare for t in self.added):
-            alone = [p for p in new if (x := p.removeprefix("\n")) and x.split() == [x] and not any(t in x for t in self.added)]
-            known.update(dict.fromkeys(set(new).difference(alone)))
-            new = alone
-        cut, words, marks, wanted = [], [], [], set()
-        for p in new:
-            word = p.rstrip(MARKS)
-            if len(word) < len(p) and "A" <= word[-1:] <= "\u024f" and word[-1].isalpha():
-                cut.append(p)
-                words.append(word)
-                marks.append(AFTER + p[len(word) :])
-            else:
-                wanted.add(p)
-        parts = set(filterfalse(known.__contains__, chain(words, marks)))
-        self._again(parts)
-        wanted.update(filterfalse(known.__contains__, parts))
-        spaced = [p for p in wanted if p[0] not in _UNSPACED]
-        known.update(zip(spaced, self._after_space(spaced), strict=True))
-        others = list(wanted.difference(spaced))
-        known.update(zip(others, self.whole([p.lstrip(AFTER + BARE) for p in others]), strict=True))
-        known.update(zip(cut, map(concat, map(known.__getitem__, words), map(known.__getitem__, marks)), strict=True))
-        self.long.update(p for p in chain(wanted, cut) if len(p) > CACHE_PIECE_CHARS)
+        return np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids)), ids
+
+    def _learn(self, new: list[str]) -> Pieces:
+        """The pieces and their ids, each from those of a word and of the marks after it."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = pa.array(new, pa.string())
+        word = pc.utf8_rtrim(text, MARKS)
+        plain = pc.match_substring_regex(word, f"^{LETTERS}$").to_numpy(zero_copy_only=False).copy()
+        joined = " ".join(new)
+        added = [t for t in self.added if t in joined]
+        if added:
+            plain[:] = False
+        words = word.filter(pa.array(plain)).dictionary_encode()
+        letters, number = words.dictionary.to_numpy(zero_copy_only=False).tolist(), {}
+        head, marks = np.full((2, len(new)), -1)  # parts by number; the last has no ids
+        head[plain] = words.indices.to_numpy()
+        marked = np.flatnonzero(plain & pc.less(pc.binary_length(word), pc.binary_length(text)).to_numpy(zero_copy_only=False))
+        after = pc.replace_substring_regex(text.take(marked), f"^{LETTERS}", AFTER).dictionary_encode()
+        marks[marked] = len(letters) + after.indices.to_numpy()
+        number.update(zip(after.dictionary.to_pylist(), range(len(letters), len(letters) + len(after.dictionary)), strict=True))
+        for i in np.flatnonzero(~plain).tolist():
+            p = new[i]
+            x = p.removeprefix("\n")
+            if x.split() != [x] or any(t in x for t in added):
+                continue
+            w = p.rstrip(MARKS)
+            if len(w) < len(p) and "A" <= w[-1:] <= "\u024f" and w[-1].isalpha():
+                marks[i] = number.setdefault(AFTER + p[len(w) :], len(letters) + len(number))
+                p = w
+            head[i] = number.setdefault(p, len(letters) + len(number))
+        spaced = [p for p in number if p[0] not in _UNSPACED]
+        others = [p for p in number if p[0] in _UNSPACED]
+        found = self.whole([p.lstrip(AFTER + BARE) for p in others])
+        runs = [self._after_space([w if w.isascii() else w.translate(_IN_BYTES) for w in letters], self.letters, SPACE), self._after_space(spaced, self.tok, " ")]
+        runs.append((np.array([len(x) // self.ids.itemsize for x in found], np.int64), np.frombuffer(b"".join(found), self.ids)))
+        size, ids = (np.concatenate(x) for x in zip(*runs, strict=True))
+        place = np.append(np.arange(len(letters)), [number[p] for p in [*spaced, *others]]).astype(np.int64)
+        starts, sizes = np.zeros((2, len(size) + 1), np.int64)
+        starts[place], sizes[place] = np.cumsum(size) - size, size
+        parts = np.stack([head, marks], axis=1)
+        return Pieces(text, np.where(head < 0, -1, sizes[parts].sum(axis=1)), ids[_spans(starts[parts].ravel(), sizes[parts].ravel())])
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of one text."""
@@ -131,32 +186,29 @@ class PieceEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if not texts:
+            return []
         lists = pc.split_pattern(pa.array(["" if _OWN_MARKS(t) else _laid(t) for t in texts], pa.string()), " ")
         words = lists.values.dictionary_encode()
-        met, known = words.dictionary.to_numpy(zero_copy_only=False).tolist(), self.pieces
-        new = list(filterfalse(known.__contains__, met))
-        if new:
-            self._again(new)
-            new = list(filterfalse(known.__contains__, new))
-        if new:
-            self._learn(new)
-        found = list(map(known.__getitem__, met))
-        at, bounds = words.indices.to_numpy(), lists.offsets.to_numpy()
-        size = np.fromiter((-1 if x is None else len(x) for x in found), np.int64, len(found)) // self.ids.itemsize
-        alone = np.logical_and.reduceat(size[at] >= 0, bounds[:-1]).tolist() if texts else []
-        size = np.maximum(size, 0)
-        pool, starts = np.frombuffer(b"".join(filter(None, found)), self.ids), np.cumsum(size) - size
-        n = size[at]
-        ends = np.append(0, np.cumsum(n))
-        ids = pool[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
-        cuts = ends[bounds].tolist()
+        met, known = words.dictionary, self.pieces + self.older
+        at = pc.index_in(met, value_set=known.text).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(known) + np.arange(len(new))
+            known += self._learn(met.take(new).to_numpy(zero_copy_only=False).tolist())
+        of, bounds = at[words.indices.to_numpy()], lists.offsets.to_numpy()
+        size = known.size[of]
+        alone = np.logical_and.reduceat(size >= 0, bounds[:-1]).tolist()
+        cuts = np.append(0, np.cumsum(np.maximum(size, 0)))[bounds].tolist()
+        ids = known.ids[_spans(known.starts()[of], size)]
         whole = iter(self.whole([t for t, a in zip(texts, alone, strict=True) if not a]))
         out = [ids[x:y].tobytes() if a else next(whole) for a, x, y in zip(alone, cuts[:-1], cuts[1:], strict=True)]
-        for p in self.long:
-            known.pop(p, None)
-        self.long.clear()
-        if 2 * len(known) > CACHE_PIECES:
-            self.pieces, self.older = {}, known
+        del lists, words, of, size, ids, cuts
+        left = np.ones(len(known), bool)
+        left[at] = False
+        short = pc.less_equal(pc.utf8_length(met), CACHE_PIECE_CHARS).to_numpy(zero_copy_only=False)
+        self.pieces = known.take(at[short][:CACHE_PIECES])
+        self.older = known.take(np.flatnonzero(left)[: CACHE_PIECES - len(self.pieces)])
         return out
 
 
