@@ -341,3 +341,21 @@ def test_sums_of_runs():
         x = np.sort(rng.zipf(1.3, n) % most)
         starts, rows = np.flatnonzero(np.diff(x, prepend=-1)), rng.standard_normal((n, 72)).astype(np.float32)
         assert np.allclose(lm.sums_of_runs(rows, starts), np.add.reduceat(rows.astype(float), starts), atol=1e-3)
+
+
+def test_products_and_updates_go_in_parts():
+    """The fit works on a core's cache of rows and weights at a time; results are those of the whole."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 255, 256, 1_000):
+        a, b = rng.standard_normal((n, 24)), rng.standard_normal((n, 63))
+        assert np.allclose(lm.over_tokens(a, b), a.T @ b)
+    w = {"input": rng.standard_normal((1_500, 72)).astype(np.float32), "word_bias": rng.standard_normal(7).astype(np.float32)}
+    fitting, grad = lm.Fitting({k: x.copy() for k, x in w.items()}, None, 0.03), {k: rng.standard_normal(x.shape).astype(np.float32) for k, x in w.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    for step in range(1, 4):
+        for k, g in grad.items():
+            fitting.grads[k] += g
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g / 50, 0.999 * v[k] + 0.001 * (g / 50) ** 2
+            w[k] = w[k] - 0.03 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        fitting._update(50)
+        assert all(np.allclose(fitting.w[k], w[k], atol=1e-5) and not fitting.grads[k].any() for k in w)
