@@ -183,15 +183,21 @@ def issues_of(errors: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(errors, one)))
 
 
+def _comparable_issue(issue: Column, needle: Column) -> Column:
+    """An issue with what it is looked for by: the compact form of its needle (in NFKC), and
+    for an audit's claim its tokens."""
+    tokens = F.filter(F.transform(F.split(needle, "[\\s　:：,，、。・()（）【】「」]+"), compact), lambda t: F.length(t) >= 2)
+    return F.struct(issue.kind.alias("kind"), issue.needle.alias("needle"), compact(needle).alias("c"), F.when(issue.kind == "unsupported_audit", tokens).otherwise(F.array().cast("array<string>")).alias("tokens"))
+
+
 def _has(text: Column, i: Column) -> Column:
     """Whether a compact text has an issue's needle, or for an audit's claim all its tokens."""
-    tokens = F.filter(F.transform(F.split(i.needle, "[\\s　:：,，、。・()（）【】「」]+"), compact), lambda t: F.length(t) >= 2)
-    every = (i.kind == "unsupported_audit") & (F.size(tokens) > 0) & F.forall(tokens, lambda t: F.contains(text, t))
-    return ((compact(i.needle) != "") & F.contains(text, compact(i.needle))) | every
+    every = (F.size(i.tokens) > 0) & F.forall(i.tokens, lambda t: F.contains(text, t))
+    return ((i.c != "") & F.contains(text, i.c)) | every
 
 
 def flagged(value: Column, issues: Column) -> Column:
-    """Whether an issue flags a text; both in NFKC."""
+    """Whether an issue flags a text in NFKC."""
     return _bound(compact(value), lambda text: F.exists(issues, lambda i: _has(text, i)))
 
 
@@ -208,41 +214,45 @@ def repair_parts(df: DataFrame, title: str, description: str, issues: str) -> Da
     return x.withColumn("__n", nfkc_terms(raw))  # words, sentences, needles, then the clauses of each sentence
 
 
-def repaired(df: DataFrame, issues: str) -> DataFrame:
+def repaired(df: DataFrame, issues: str, audits_in_all: bool = False) -> DataFrame:
     """repair_parts() -> adds repaired_title, repaired_description, n_removed (words and
-    clauses taken out) and unresolved (issues that what is left still has)."""
+    clauses taken out) and unresolved (issues that what is left still has).
+
+    A sentence that no issue names stays as it is. With ``audits_in_all`` an audit's claim with
+    tokens counts as named in every sentence: clauses go by the same tests, but all sentences
+    lose the marks and white space at their ends, and those of nothing else go."""
     n = F.col("__n")
-    known = F.transform(F.arrays_zip(F.col(issues).alias("i"), n[2].alias("needle")), lambda x: F.struct(x.i.kind.alias("kind"), x.needle.alias("needle")))
-    x = df.withColumn("__i", known)
-    edge = "^[、，,；;\\s]+|[、，,；;\\s]+$"
+    x = df.withColumn("__i", F.transform(F.arrays_zip(F.col(issues).alias("i"), n[2].alias("needle")), lambda x: _comparable_issue(x.i, x.needle)))
+    edge = "^[、，,；;\\s]+|[、，,；;\\s]+\\z"
     good = F.filter(F.arrays_zip(F.col("__w").alias("w"), n[0].alias("n")), lambda p: ~flagged(p.n, F.col("__i")))
 
     def sentence(s: Column, i: Column) -> Column:
-        mine = F.filter("__i", lambda issue: _has(compact(n[1][i]), issue))
+        named = lambda text, issue: _has(text, issue) | (F.size(issue.tokens) > 0) if audits_in_all else _has(text, issue)
+        mine = _bound(compact(n[1][i]), lambda text: F.filter("__i", lambda issue: named(text, issue)))
+        whole = F.struct(F.concat(s.t, s.end).alias("t"), F.concat(n[1][i], s.end).alias("n"), F.lit(0).alias("removed"))
 
         def clauses(issues_: Column) -> Column:
             zipped = F.transform(F.arrays_zip(s.clauses.alias("c"), F.get(n, i + 3).alias("n")), lambda c: F.struct(c.c.t.alias("t"), c.c.end.alias("end"), c.n.alias("n"), flagged(c.n, issues_).alias("bad")))
-            return _bound(zipped, lambda cs: result(cs, issues_))
+            return F.when(F.size(issues_) == 0, whole).otherwise(_bound(zipped, lambda cs: result(cs, issues_)))
 
         def result(cs: Column, issues_: Column) -> Column:
             kept = F.filter(cs, lambda c: ~c.bad)
             left = F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda c: F.concat(c.t, c.end)), ""), edge, ""))
             still = flagged(F.array_join(F.transform(kept, lambda c: F.concat(c.n, c.end)), ""), issues_)
             removed = F.size(F.filter(cs, lambda c: c.bad & (F.trim(c.t) != "")))
-            return F.when(F.size(issues_) == 0, F.struct(F.concat(s.t, s.end).alias("t"), F.concat(n[1][i], s.end).alias("n"), F.lit(0).alias("removed"))).otherwise(
-                _bound(F.struct(left.alias("left"), still.alias("still")), lambda r: F.when(r.still, F.struct(F.lit("").alias("t"), F.lit("").alias("n"), (removed + 1).alias("removed"))).otherwise(
-                    F.struct(F.when(r.left == "", "").otherwise(F.concat(r.left, s.end)).alias("t"), F.concat(F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda c: F.concat(c.n, c.end)), ""), edge, "")), s.end).alias("n"), removed.alias("removed"))))
-            )
+            return _bound(F.struct(left.alias("left"), still.alias("still")), lambda r: F.when(r.still, F.struct(F.lit("").alias("t"), F.lit("").alias("n"), (removed + 1).alias("removed"))).otherwise(
+                F.struct(F.when(r.left == "", "").otherwise(F.concat(r.left, s.end)).alias("t"), F.when(r.left == "", "").otherwise(F.concat(F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda c: F.concat(c.n, c.end)), ""), edge, "")), s.end)).alias("n"), removed.alias("removed"))))
 
         return _bound(mine, clauses)
 
     x = x.withColumns({"__good": good, "__d": F.transform("__s", sentence)})
     whole = F.array_join(F.transform("__d", lambda d: d.t), "")
     text = F.trim(F.regexp_replace(F.regexp_replace(whole, "\n{3,}", "\n\n"), edge, ""))
-    rest = compact(F.concat_ws("\n", F.array_join(F.transform("__good", lambda p: p.n), " "), F.array_join(F.transform("__d", lambda d: d.n), "")))
+    rest = compact(F.concat_ws("\n", F.array_join(F.transform("__good", lambda p: p.n), " "), F.regexp_replace(F.array_join(F.transform("__d", lambda d: d.n), ""), edge, "")))
     counts = F.size("__w") - F.size("__good") + F.aggregate("__d", F.lit(0), lambda acc, d: acc + d.removed)
     done = x.withColumns({"repaired_title": F.array_join(F.transform("__good", lambda p: p.w), " "), "repaired_description": text, "n_removed": counts.cast("long"), "__rest": rest})
-    return done.withColumn("unresolved", F.filter("__i", lambda i: _has(F.col("__rest"), i))).drop("__w", "__s", "__n", "__i", "__good", "__d", "__rest")
+    left = _bound(F.col("__rest"), lambda text: F.filter("__i", lambda i: _has(text, i)))
+    return done.withColumn("unresolved", F.transform(left, lambda i: F.struct(i.kind.alias("kind"), i.needle.alias("needle")))).drop("__w", "__s", "__n", "__i", "__good", "__d", "__rest")
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
