@@ -73,14 +73,22 @@ def nfkc_terms(c: pd.Series) -> pd.Series:
     return c.map(lambda xs: None if xs is None else [[None if x is None else unicodedata.normalize("NFKC", x) for x in ts] for ts in xs])
 
 
+def in_nfkc(c: Column) -> Column:
+    """The same, but texts in ASCII, which it leaves as they are, don't go to Python."""
+    return F.coalesce(nfkc(F.when(F.octet_length(c) != F.char_length(c), c)), c)
+
+
 def compact(c: Column) -> Column:
     """Lower case without white space, of a text in NFKC."""
     return F.regexp_replace(F.lower(c), "[\\s　]+", "")
 
 
 def bare(c: Column) -> Column:
-    """The same without the marks between words and around headings."""
-    return F.regexp_replace(F.lower(c), "[\\s　|・:：,【】「」『』()（）]", "")
+    """The same without the marks between words and around headings. A class of characters
+    beyond ASCII is tried member by member at each character, so it's only used on texts
+    that have one of its blocks."""
+    plain = F.regexp_replace(F.lower(c), "[ \\t\\n\\x0B\\f\\r|:,()]+", "")
+    return F.when((F.octet_length(c) == F.char_length(c)) | ~c.rlike("[\u3000-\u30ff\uff00-\uff1f]"), plain).otherwise(F.regexp_replace(F.lower(c), "[\\s　|・:：,【】「」『』()（）]+", ""))
 
 
 def sizes_in(c: Column) -> Column:
@@ -279,39 +287,46 @@ def heading(line: Column) -> Column:
 
 
 def section_lines(text: Column) -> Column:
-    """array<struct<section, line>> of a visible text in NFKC: each line under the
-    heading before it (overview before the first), headings only where they stay."""
+    """array<struct<section, line, b>> of a visible text in NFKC: each line and its bare form
+    under the heading before it (overview before the first), headings only where they stay."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    zero = F.struct(F.lit("overview").alias("now"), F.array().cast("array<struct<section:string,line:string>>").alias("out"))
+    code = lambda section: F.substring(section, 1, 1)
+    named = F.create_map(*[F.lit(x) for s in SECTIONS for x in (s[0], s)])
+    zero = F.struct(F.lit("o").alias("now"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        def place(h: Column) -> Column:
-            now = F.coalesce(h.section, acc.now)
-            stays = F.coalesce(h.retain, F.lit(True))
-            return F.struct(now.alias("now"), F.when(stays, F.array_append(acc.out, F.struct(now.alias("section"), x.alias("line")))).otherwise(acc.out).alias("out"))
+    def step(acc: Column, h: Column) -> Column:
+        now = F.coalesce(code(h.section), acc.now)
+        return F.struct(now.alias("now"), F.concat(acc.out, F.when(F.coalesce(h.retain, F.lit(True)), now).otherwise("-")).alias("out"))
 
-        return _bound(heading(x), place)
+    def place(xs: Column) -> Column:
+        # One letter a line: what a fold has gathered is copied at each of its steps.
+        codes = F.aggregate(F.transform(xs, heading), zero, step, lambda acc: acc.out)
+        return _bound(codes, lambda cs: F.array_compact(F.transform(xs, lambda x, i: one(x, F.substring(cs, i + 1, F.lit(1))))))
 
-    return F.aggregate(lines, zero, step, lambda acc: acc.out)
+    def one(x: Column, c: Column) -> Column:
+        return F.when(c != "-", F.struct(F.element_at(named, c).alias("section"), x.alias("line"), bare(x).alias("b")))
 
+    return _bound(lines, place)
 
-def unique_lines(lines: Column) -> Column:
-    """Lines without those whose bare form came before, or is empty."""
 
-    def first(forms: Column) -> Column:
-        bares = F.transform(forms, lambda x: x.b)
-        return _bound(bares, lambda bs: F.transform(F.filter(forms, lambda x, i: (x.b != "") & (F.array_position(bs, x.b) == i + 1)), lambda x: x.line))
+def unique_lines(placed: Column) -> Column:
+    """Placed lines without those whose bare form came before, or is empty."""
+    bares = F.transform(placed, lambda x: x.b)
+    return _bound(bares, lambda bs: F.filter(placed, lambda x, i: (x.b != "") & (F.array_position(bs, x.b) == i + 1)))
 
-    return _bound(F.transform(lines, lambda x: F.struct(x.alias("line"), bare(x).alias("b"))), first)
+
+def _in_section(placed: Column, section: str) -> Column:
+    return F.filter(placed, lambda x: x.section == section)
 
 
 def of_section(placed: Column, section: str) -> Column:
-    return F.transform(F.filter(placed, lambda x: x.section == section), lambda x: x.line)
+    return F.transform(_in_section(placed, section), lambda x: x.line)
 
 
 def specifications(lines: Column) -> Column:
-    """array<struct<label, value>> of specification lines: cells or "label: value"; of a
-    label's values with one bare form the first."""
+    """array<struct<label, value, plain>> of specification lines: cells or "label: value"; of a
+    label's values with one bare form the first. ``plain`` is the form that values compare
+    by: bare, without the label that it may start with."""
     pattern = "^([^:：]{1,20})[:：]\\s*(.+)$"
 
     def one(raw: Column) -> Column:
@@ -325,23 +340,22 @@ def specifications(lines: Column) -> Column:
         return _bound(F.struct(label.alias("label"), value.alias("value")), lambda s: F.when((s.label != "") & (s.value != "") & ~s.value.rlike("商品詳細をご確認|ご参照ください"), F.struct(bare(s.label).alias("label"), s.value.alias("value"), bare(s.value).alias("b"))))
 
     def first(found: Column) -> Column:
-        kept = F.filter(found, lambda x, i: ~F.exists(F.slice(found, 1, i), lambda y: (y.label == x.label) & (y.b == x.b)))
-        return F.transform(kept, lambda x: F.struct(x.label.alias("label"), x.value.alias("value")))
-
-    return _bound(F.array_compact(F.transform(lines, one)), first)
+        keys = F.transform(found, lambda x: F.struct(x.label, x.b))
+        return _bound(keys, lambda ks: F.transform(F.filter(found, lambda x, i: F.array_position(ks, F.struct(x.label, x.b)) == i + 1), lambda x: F.struct(x.label.alias("label"), x.value.alias("value"), plain(x).alias("plain"))))
 
+    def plain(x: Column) -> Column:
+        return F.when(F.startswith(x.b, x.label), F.substring(x.b, F.length(x.label) + 1, F.length(x.b))).otherwise(x.b)
 
-def _comparable(label: Column, value: Column) -> Column:
-    """A value's bare form without the label that it may start with."""
-    return _bound(F.struct(label.alias("label"), bare(value).alias("b")), lambda x: F.when(F.startswith(x.b, x.label), F.substring(x.b, F.length(x.label) + 1, F.length(x.b))).otherwise(x.b))
+    stated = F.filter(lines, lambda x: F.contains(x, F.lit("|")) | F.contains(x, F.lit(":")) | F.contains(x, F.lit("：")))
+    return _bound(F.array_compact(F.transform(stated, one)), first)
 
 
 def conflict_values(before: Column, after: Column) -> Column:
     """array<struct<label, source_values, enrichment_value>>: each value of ``after`` that
     differs from values that ``before`` has under its label, with these; by label in the
-    order of ``after``."""
+    order of ``after``. Both are specifications()."""
     labels = F.array_distinct(F.transform(after, lambda a: a.label))
-    different = lambda a: F.transform(F.filter(before, lambda b: (b.label == a.label) & (_comparable(b.label, b.value) != _comparable(a.label, a.value))), lambda b: b.value)
+    different = lambda a: F.transform(F.filter(before, lambda b: (b.label == a.label) & (b.plain != a.plain)), lambda b: b.value)
     clash = lambda a: F.struct(a.label.alias("label"), different(a).alias("source_values"), a.value.alias("enrichment_value"))
     every = F.flatten(F.transform(labels, lambda l: F.transform(F.filter(after, lambda a: a.label == l), clash)))
     return F.filter(every, lambda c: F.size(c.source_values) > 0)
@@ -353,19 +367,39 @@ def conflicts(before: Column, after: Column) -> Column:
 
 
 def source_blocks(placed: Column) -> Column:
-    """Lines of a placed text that a proposal has to keep: section by section, once each."""
-    return F.flatten(F.array(*[unique_lines(of_section(placed, s)) for s in SECTIONS]))
+    """Placed lines of a text that a proposal has to keep: section by section, once each."""
+    return F.flatten(F.array(*[unique_lines(_in_section(placed, s)) for s in SECTIONS]))
 
 
-def missing_blocks(blocks: Column, proposed: Column) -> Column:
-    """Blocks whose bare form a proposed text (in NFKC) has lost."""
-    return _bound(bare(proposed), lambda text: F.filter(blocks, lambda b: ~F.contains(text, bare(b))))
+def missing_blocks(blocks: Column, proposed: Column, made_of: Column) -> Column:
+    """Lines of the blocks whose bare form a proposed text (in NFKC) has lost. ``made_of`` are
+    placed lines that the text has whole: blocks among these aren't looked for in it."""
+    bares = lambda c: F.transform(c, lambda x: x.b)
+    rest = lambda others: _bound(bare(proposed), lambda text: F.filter(blocks, lambda x: F.array_contains(others, x.b) & ~F.contains(text, x.b)))
+    none = F.array().cast("array<string>")
+    return _bound(F.array_except(bares(blocks), bares(made_of)), lambda others: F.when(F.size(others) == 0, none).otherwise(F.transform(rest(others), lambda x: x.line)))
 
 
 def composed(source: Column, addition: Column) -> Column:
     """Both placed texts under the titles of all sections, repeated lines once."""
-    parts = [F.concat(F.lit(f"【{title}】\n"), F.array_join(unique_lines(F.concat(of_section(source, s), of_section(addition, s))), "\n")) for s, title in SECTIONS.items()]
-    return F.regexp_replace(F.concat_ws("\n\n", *parts), "\\s+$", "")
+    lines = lambda s: F.transform(unique_lines(F.concat(_in_section(source, s), _in_section(addition, s))), lambda x: x.line)
+    parts = [F.concat(F.lit(f"【{title}】\n"), F.array_join(lines(s), "\n")) for s, title in SECTIONS.items()]
+    return F.concat_ws("\n\n", *parts[:-1], F.regexp_replace(parts[-1], "\\s+$", ""))
+
+
+def new_claims(source: Column, text: Column) -> Column:
+    """Prohibited claims and hard facts that a text has and its source hasn't. Those with
+    characters beyond U+3000 are only looked for in texts with such characters."""
+    wide = [f for f in PROHIBITED + HARD_FACTS if max(f) >= "\u3000"]
+    narrow = [f for f in PROHIBITED + HARD_FACTS if f not in wide]
+    of = lambda fs: F.array(*map(F.lit, fs))
+    named = F.when(text.rlike("[^\\x{0}-\\x{2fff}]"), of(narrow + wide)).otherwise(of(narrow))
+    return _bound(F.struct(F.lower(text).alias("text"), F.lower(source).alias("known")), lambda x: F.filter(named, lambda f: F.contains(x.text, f) & ~F.contains(x.known, f)))
+
+
+def says_any(text: Column, claims: Column) -> Column:
+    """Whether a text has one of the claims, case ignored."""
+    return (F.size(claims) > 0) & _bound(F.lower(text), lambda x: F.exists(claims, lambda f: F.contains(x, f)))
 
 
 def proposal_errors(title: Column, description: Column, source_title: Column, source_description: Column, confidence: Column, evidence: Column) -> Column:

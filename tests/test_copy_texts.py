@@ -30,3 +30,15 @@ def test_repairs_of_sentences_that_no_issue_names(spark, folder):
     short = "few words,\nno claim of an audit, "
     where = folder([ends, claim, short, f"{ends}。{claim}！\n\n\n,w3,", None, "", ",", f"{WORDS},"])
     assert_same(plans.queries()["repairs_of_texts"](spark, where), plans.oracle_sql()["repairs_of_texts"], where)
+
+
+def test_copy_loop_does_each_thing_once(spark, folder):
+    """What is looked for in a text must not be computed again for each word or fact."""
+    lines = ["Size: 3", "Colour | red", "", "【特徴】", "no.1 and abs", "(Size): 4", "Size:3", " ・ Size: 5", "a" * 30 + ":" + "b", "サイズ重量", "the street", "ab s"]
+    texts = ["\n".join(lines), "\n".join(reversed(lines)), "\n".join(lines[3:]) + "\nwarranty\x0b\n \t", None, "", "\n \n", "【キャスター】\nabspc\n" + "x\n" * 50, "No", "license 1 @ zz", "Size: 9\nSize: 3\nCOLOUR | blue | red", "pse\nPSE tsa ロック"]
+    where = folder(texts * 2)
+    for name in ("copy_loop_of_texts", "enrichments_of_texts"):
+        assert_same(plans.queries()[name](spark, where), plans.oracle_sql()[name], where)
+    plan = plans.queries()["copy_loop_of_texts"](spark, where)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert plan.count("regexp_replace(lower(") < 40, plan.count("regexp_replace(lower(")
