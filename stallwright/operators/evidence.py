@@ -48,15 +48,15 @@ def evidence_id(kind: Column, reference: Column, value: Column) -> Column:
     return F.concat(kind, F.lit("."), F.substring(F.sha2(F.concat(reference, F.lit(":"), value), 256), 1, 12))
 
 
-def consensus(variants: DataFrame, product: str) -> DataFrame:
+def consensus(variants: DataFrame, product: str, kinds: Sequence[str] | None = None) -> DataFrame:
     """variants(product, payload map<string, string>) -> product, n_variants, agreed: for each
-    field of the dictionary the value of its first key that all variants have alike, as
-    (pos, key, kind, label, title_eligible, value).
+    field of the dictionary (of these kinds) the value of its first key that all variants have
+    alike, as (pos, key, kind, label, title_eligible, value).
 
     Counts, minima and maxima by (product, key) combine before the shuffle, however many
     variants a product has; only keys of the dictionary are exploded."""
     spark = variants.sparkSession
-    keys = [(key, pos, alt, kind, label, eligible) for pos, (alts, kind, label, eligible) in enumerate(FIELDS, 1) for alt, key in enumerate(alts)]
+    keys = [(key, pos, alt, kind, label, eligible) for pos, (alts, kind, label, eligible) in enumerate(FIELDS, 1) for alt, key in enumerate(alts) if kinds is None or kind in kinds]
     known = F.broadcast(spark.createDataFrame([*keys, ("", 0, 0, "", "", False)], "key string, pos int, alt int, kind string, label string, title_eligible boolean"))
     listed = F.map_entries(F.map_filter(F.coalesce("payload", F.create_map().cast("map<string,string>")), lambda k, v: k.isin([key for key, *_ in keys])))
     marked = F.array_append(listed, F.struct(F.lit("").alias("key"), F.lit("").alias("value")))  # one row a variant, to count them
@@ -69,13 +69,14 @@ def consensus(variants: DataFrame, product: str) -> DataFrame:
     return alike.select(product, "n_variants", F.transform(first, lambda x: F.struct(x.pos.alias("pos"), x.key.alias("key"), x.kind.alias("kind"), x.label.alias("label"), x.title_eligible.alias("title_eligible"), x.lo.alias("value"))).alias("agreed"))
 
 
-def facts(products: DataFrame, variants: DataFrame, product: str) -> DataFrame:
+def facts(products: DataFrame, variants: DataFrame, product: str, kinds: Sequence[str] | None = None) -> DataFrame:
     """products(product, title), variants(product, payload) -> one row a fact: product, pos,
     evidence_id, kind, label, value, source_kind, source_ref, title_eligible.
 
     A fact whose kind and value (in NFKC, case ignored) came before is left out. Ids are
-    hashes of where a value comes from and of the value, so they are the same each time."""
-    found = products.select(product, "title").join(consensus(variants, product), product, "left")
+    hashes of where a value comes from and of the value, so they are the same each time.
+    With ``kinds`` only facts of these are made; a kind's facts don't depend on another's."""
+    found = products.select(product, "title").join(consensus(variants, product, kinds), product, "left")
     code, title = F.col(product).cast("string"), _value(F.col("title"))
     own = F.struct(
         F.lit(0).alias("pos"), F.lit("identity").alias("kind"), F.lit(TITLE_LABEL).alias("label"), title.alias("value"), F.lit("product_spu").alias("source_kind"),
@@ -83,8 +84,9 @@ def facts(products: DataFrame, variants: DataFrame, product: str) -> DataFrame:
     )
     reference = lambda x: F.concat(F.lit("product_variants.raw_payload:"), code, F.lit(":"), x.key, F.lit(":consensus-"), F.col("n_variants").cast("string"))
     agreed = F.transform("agreed", lambda x: F.struct(x.pos.alias("pos"), x.kind.alias("kind"), x.label.alias("label"), x.value.alias("value"), F.lit("variant_consensus").alias("source_kind"), reference(x).alias("source_ref"), reference(x).alias("id_ref"), x.title_eligible.alias("title_eligible")))
-    every = F.concat(F.when(title.isNotNull(), F.array(own)).otherwise(F.array()), F.coalesce(agreed, F.array()))
-    rows = found.select(product, F.inline(every)).withColumn("alike", F.lower(copy.nfkc(F.col("value"))))
+    titled = title.isNotNull() if kinds is None or "identity" in kinds else F.lit(False)
+    every = F.concat(F.when(titled, F.array(own)).otherwise(F.array()), F.coalesce(agreed, F.array()))
+    rows = found.select(product, F.inline(every)).withColumn("alike", F.lower(copy.in_nfkc(F.col("value"))))
     first = Window.partitionBy(product, "kind", "alike").orderBy("pos")
     kept = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     return kept.select(product, "pos", evidence_id(F.col("kind"), F.col("id_ref"), F.col("value")).alias("evidence_id"), "kind", "label", "value", "source_kind", "source_ref", "title_eligible")

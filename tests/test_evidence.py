@@ -54,3 +54,23 @@ def test_numbers_are_rewritten_in_one_pass(spark):
     rows = [("007.50cm x 1.50.07", "7.5cm x 1.5.07".replace(".07", ".7"), ["7.5cm"]), ("10 MM, 5ml 0.0個", "10 MM, 5ml 0個", ["10MM", "5ml", "0個"]), ("none", "none", []), ("123456789012345678901.10kg", "123456789012345678901.1kg", ["123456789012345678901.1kg"]), ("100 3日", "100 3日", ["3日"])]
     for r in spark.createDataFrame(rows, "t string, want string, pairs array<string>").select("want", "pairs", copy.canonical_numbers(F.col("t")).alias("got"), copy.number_aliases(F.col("t")).alias("found")).collect():
         assert (r.got, r.found) == (r.want, r.pairs)
+
+
+def test_facts_of_some_kinds_are_those_of_all(spark):
+    every = found(spark)
+    products = every.select("spu").distinct().withColumn("title", F.lit("t"))
+    variants = spark.createDataFrame(PAYLOADS, "spu string, payload map<string,string>")
+    for kinds in (["material"], ["feature", "dimension"], ["identity"]):
+        some = evidence.facts(products, variants, "spu", kinds)
+        want = evidence.facts(products, variants, "spu").where(F.col("kind").isin(kinds))
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_attribution_does_not_carry_texts_of_documents(spark, tables):
+    """What is cited are materials; the texts, once for each supplier of a part, aren't needed."""
+    from stallwright.plans.evidence import claim_attribution_errors
+
+    plan = claim_attribution_errors(tables)._jdf.queryExecution().executedPlan().toString()
+    read = [line.split("ReadSchema:")[1] for line in plan.splitlines() if "ReadSchema:" in line]
+    assert any("doc_id" in x for x in read)
+    assert not any("text" in x for x in read)
